@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import host_rules
+from . import host_rules, url_markov
 
 
 def queries() -> dict:
-    return {"op5_host_rules": host_rules.op5_host_rules}
+    return {"op5_host_rules": host_rules.op5_host_rules, "op10_url_markov": url_markov.op10_url_markov}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_host_rules": host_rules.ORACLE}
+    return {"op5_host_rules": host_rules.ORACLE, "op10_url_markov": url_markov.ORACLE}
