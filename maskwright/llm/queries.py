@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import host_rules, line_chunks, url_markov
+from . import bpe_trie, host_rules, line_chunks, url_markov
 
 
 def queries() -> dict:
-    return {"op5_host_rules": host_rules.op5_host_rules, "op9_line_chunks": line_chunks.op9_line_chunks, "op10_url_markov": url_markov.op10_url_markov}
+    return {
+        "op2_bpe_trie": bpe_trie.op2_bpe_trie,
+        "op5_host_rules": host_rules.op5_host_rules,
+        "op9_line_chunks": line_chunks.op9_line_chunks,
+        "op10_url_markov": url_markov.op10_url_markov,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
