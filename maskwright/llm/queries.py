@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, host_rules, line_chunks, token_files, url_markov
+from . import bpe_trie, host_rules, line_chunks, mixing, token_files, url_markov
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_bpe_trie": bpe_trie.op2_bpe_trie,
         "op3_token_files": token_files.op3_token_files,
         "op5_host_rules": host_rules.op5_host_rules,
