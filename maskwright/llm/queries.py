@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, flac, host_rules, line_chunks, mixing, token_files, url_markov
+from . import bigru_lang, bpe_trie, flac, host_rules, line_chunks, mixing, token_files, url_markov
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_files": token_files.op3_token_files,
         "op5_host_rules": host_rules.op5_host_rules,
         "op6_flac": flac.op6_flac,
+        "op7_bigru_lang": bigru_lang.op7_bigru_lang,
         "op9_line_chunks": line_chunks.op9_line_chunks,
         "op10_url_markov": url_markov.op10_url_markov,
     }
