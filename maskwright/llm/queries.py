@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bigru_lang, bpe_trie, flac, host_rules, line_chunks, mixing, token_files, url_markov
+from . import bag_minhash, bigru_lang, bpe_trie, flac, host_rules, line_chunks, mixing, token_files, url_markov
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mixing": mixing.op1_mixing,
         "op2_bpe_trie": bpe_trie.op2_bpe_trie,
         "op3_token_files": token_files.op3_token_files,
+        "op4_bag_minhash": bag_minhash.op4_bag_minhash,
         "op5_host_rules": host_rules.op5_host_rules,
         "op6_flac": flac.op6_flac,
         "op7_bigru_lang": bigru_lang.op7_bigru_lang,
