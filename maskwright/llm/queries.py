@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, bigru_lang, bpe_trie, flac, host_rules, line_chunks, mixing, token_files, url_markov
+from . import bag_minhash, bigru_lang, bloom_lm, bpe_trie, flac, host_rules, line_chunks, mixing, token_files, url_markov
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_host_rules": host_rules.op5_host_rules,
         "op6_flac": flac.op6_flac,
         "op7_bigru_lang": bigru_lang.op7_bigru_lang,
+        "op8_bloom_lm": bloom_lm.op8_bloom_lm,
         "op9_line_chunks": line_chunks.op9_line_chunks,
         "op10_url_markov": url_markov.op10_url_markov,
     }
