@@ -233,7 +233,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, digest, class_id, group_id for each row."""
+    """doc_id, digest, class_id, group_id for each row, and comp, which names the group even where ids repeat."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(signed(docs), "bag-signed")
     classes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "bag-classes")
@@ -275,10 +275,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
     ids = classes.join(labels, classes["digest"] == labels["v"], "left").select("digest", "class_id", F.coalesce("label", "digest").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("class_id").alias("group_id"))
-    ids = ids.join(least, "comp").select("digest", "class_id", "group_id")
+    ids = ids.join(least, "comp").select("digest", "class_id", "group_id", "comp")
     out = rows.select("doc_id", "digest").join(ids, "digest")
-    none = docs.where(F.col("text").isNull()).select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"))
-    return out.select("doc_id", "digest", "class_id", "group_id").unionByName(none)
+    none = docs.where(F.col("text").isNull()).select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(None).cast("binary").alias("comp"))
+    return out.select("doc_id", "digest", "class_id", "group_id", "comp").unionByName(none)
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the document with the least doc_id stays, of repeated rows one.
+
+    Rows with a null text all stay.
+    """
+    found = groups(docs, threshold=threshold)
+    first = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.digest").alias("_digest"))
+    marked = docs.withColumn("_md5", F.unhex(F.md5("text")))
+    stay = marked.join(first, marked["doc_id"].eqNullSafe(first["_id"]) & (marked["_md5"] == first["_digest"]), "left_semi").dropDuplicates(["doc_id", "_md5"])
+    return stay.select(*docs.columns).unionByName(docs.where(F.col("text").isNull()))
 
 
 def op4_bag_minhash(spark, sf_dir: str) -> DataFrame:

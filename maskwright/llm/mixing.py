@@ -17,7 +17,11 @@ The driver sees one row for each source (words and blocks), never one for each d
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +37,7 @@ PARTS = 1024
 SEED = 20_240_601
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 24
+_WORD = re.compile(WORD)
 #: Slots that one row stands for before the last explode.
 RUN = 4096
 
@@ -149,5 +154,52 @@ class Mix:
         return out.select("doc_id", "source", "_text", "_part", "_row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+    def documents(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The mix as rows of ``docs``: for each pass that takes words of a document, a row with the text of these words.
+
+        A pass that takes all words has the whole text as it is; else the text has each run of taken words as it stands
+        in the document, with a line feed between runs. Documents without a taken word have no row.
+        """
+        piece = F.struct("pass", "first_word", "n_words")
+        taken = self.output().groupBy("doc_id", "_text", "_part", "_row").agg(F.collect_list(piece).alias("_pieces")).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "_pieces")
+        marked = docs.withColumn("_text", F.xxhash64(text_col))
+        if self.placed.groupBy("doc_id", "_text").count().where("count > 1").limit(1).count():
+            marked = marked.dropDuplicates([id_col, "_text"])  # each of the equal rows has pieces of its own
+        both = marked.join(taken, marked[id_col].eqNullSafe(taken["_id"]) & (marked["_text"] == taken["_hash"]))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+        at, names = docs.columns.index(text_col), docs.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows, texts = [], []
+                for i, (text, pieces) in enumerate(zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist())):
+                    passes: dict[int, list[tuple[int, int]]] = {}
+                    for p in pieces:
+                        passes.setdefault(p["pass"], []).append((p["first_word"], p["first_word"] + p["n_words"]))
+                    spans = None
+                    for number in sorted(passes):
+                        runs = merged(passes[number])
+                        if spans is None:
+                            spans = [m.span() for m in _WORD.finditer(text)]
+                        whole = runs == [(0, len(spans))]
+                        rows.append(i)
+                        texts.append(text if whole else "\n".join(text[spans[a][0] : spans[z - 1][1]] for a, z in runs))
+                pick = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else b.column(k).take(pick) for k in range(len(names))], names)
+
+        return both.select(*names, "_pieces").mapInArrow(run, schema)
+
+
+def merged(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Adjacent half-open ranges put together, in order."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(pieces):
+        if out and out[-1][1] == a:
+            out[-1] = (out[-1][0], z)
+        else:
+            out.append((a, z))
+    return out
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
