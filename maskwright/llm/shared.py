@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A word in Java's and DuckDB's pattern syntax: no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,12 +56,11 @@ def words(text: str | None) -> list[bytes]:
 
 #: Two adjacent white-space characters, by any definition of white space.
 _ADJACENT = re.compile(r"[\s\x1c-\x1f\x85]{2}")
+#: All white space but space and line feed.
+_OTHER_SPACE = [chr(c) for c in (9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 def has_adjacent_space(text: str) -> bool:
-    return _ADJACENT.search(text) is not None
-
-
-def row_key(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _key: equal for rows with equal doc_id and text, which all operators treat alike."""
-    return df.withColumn("_key", F.xxhash64(F.lit(17), F.col("doc_id"), F.col(text)))
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return True
+    return any(c in text for c in _OTHER_SPACE) and _ADJACENT.search(text) is not None

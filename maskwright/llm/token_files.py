@@ -21,8 +21,12 @@ same file again. All of them are in the shared folder, reached through pyarrow's
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,14 +37,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokens import Cache, encode_texts, groups
+from .pretokens import groups, units
 from .shared import scratch, table
 
 MAGIC = b"MWTOKEN1"
 #: Documents in a shard, about; and the most shards, above which shards grow.
 SHARD_ROWS, MOST_SHARDS = 4096, 4096
-#: Units that a worker keeps between batches.
-MOST_UNITS = 500_000
+#: Units that a worker remembers, of each kind.
+MOST_UNITS = 1_000_000
 END_ID = 2
 
 _SLOT = np.dtype([("print", "<u4"), ("first", "<u8"), ("count", "<u4")])
@@ -178,27 +182,80 @@ class Shard:
 
 # ---- encoding with the tokenizers library
 
+#: A letter run and ASCII punctuation after it, which byte-level splitting parts in two and leaves whole otherwise.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ž]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class _Units(dict):
+    """Encodings of units, made when first asked for; it empties itself at MOST_UNITS, which changes no result."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, unit):
+        out = self.make(unit)
+        if len(self) >= MOST_UNITS:
+            self.clear()
+        self[unit] = out
+        return out
+
+
 class LibraryEncoder:
-    def __init__(self, path: str, width: int):
-        import os
+    """Encodes with the tokenizers library: each distinct unit once for as long as it is remembered.
 
+    A letter run, and the punctuation behind it, go to the library's BPE model directly, all other units through the
+    whole tokenizer; that needs the byte-level splitting of the vocabulary file to be the plain one, else all do.
+    """
+
+    def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        from .bpe_trie import byte_symbols
+
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.kind = f"<u{width}"
-        self.heads, self.tails = Cache(MOST_UNITS // 4), Cache(MOST_UNITS)
+        self.model, self.kind = self.lib.model, f"<u{width}"
+        self.code = {2: "H", 4: "I"}[width]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        self.plain = not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.stems = _Units(self._word)
+        self.heads, self.tails = _Units(self._head), _Units(self._tail)
+
+    def _word(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]).tobytes()
+
+    def _unit(self, before: str, unit: str) -> bytes:
+        m = _SIMPLE.fullmatch(unit) if self.plain else None
+        if m is None:
+            return self._encode([before + unit])[0]
+        word, marks = m.groups()
+        return self.stems[before + word] + (self.stems[marks] if marks else b"")
+
+    def _head(self, unit: str) -> bytes:
+        return self._unit("", unit)
+
+    def _tail(self, unit: str) -> bytes:
+        return self._unit(" ", unit)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 20_000):
-            out += [np.array(x.ids, self.kind).tobytes() for x in self.lib.encode_batch(texts[i : i + 20_000], add_special_tokens=False)]
-        return out
+        return [np.array(x.ids, self.kind).tobytes() for x in self.lib.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return encode_texts(texts, self.heads, self.tails, self._encode, self._encode)
+        feed, head, tail = self.heads["\n"], self.heads.__getitem__, self.tails.__getitem__
+        out = []
+        for t in texts:
+            lines = units(t)
+            if lines is None:
+                out += self._encode([t])
+            else:
+                out.append(feed.join([head(p[0]) + b"".join(map(tail, p[1:])) for p in lines]))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -222,8 +279,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END
     Texts are encoded where they are read; what is shuffled is ids of 2 bytes where the vocabulary fits. The ranges of
     the shards come from a bounded quantile sketch of the ids alone.
     """
-    import json
-
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         spec = json.load(f)

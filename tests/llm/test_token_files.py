@@ -47,6 +47,16 @@ def test_round_trip(spark, monkeypatch):
     assert shard.ids(int(first[0])).tolist() == LIB.encode(dict(rows)[key] or "", add_special_tokens=False).ids + [2]
 
 
+def test_encoder_like_the_library():
+    r = random.Random(6)
+    marks = ["", ".", ",", "!!", "'s", "'", "**", "|", "<|endoftext|>", "...", "'ll!", "-", "$%"]
+    texts = [" ".join("".join(r.choice("abcdeéüßñıž²½中'") for _ in range(r.randint(0, 6))) + r.choice(marks) for _ in range(30)) for _ in range(300)]
+    texts += ["a\nb\tc", "x  y", "don't I'LL", "ª º", "\u017fs", "1a a1 a.1"]
+    enc = T.LibraryEncoder(PATH, 2)
+    for text, got in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(got, "<u2").tolist() == LIB.encode(text, add_special_tokens=False).ids, text
+
+
 def test_edge_cases(spark):
     rows = [(None, "x y"), (None, "z"), (4, "same"), (4, "same"), (4, "same"), (1, None)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, shard int")
