@@ -134,7 +134,8 @@ class Mix:
         self.pieces = pieces.select("doc_id", "_text", "_s", "_part", "_row", "block", (lo - start).alias("first_word"), (hi - lo).alias("n_words"))
 
         chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN)))
-        slots = runs.repartition("_s", "shard").withColumn("_k", chunk)
+        spread = max(shards, sum(wanted) // 1_000_000)
+        slots = runs.withColumn("_k", chunk).repartition(spread, "_s", "shard", "_k")
         lo = F.col("first") + F.col("_k") * RUN
         hi = F.least(F.col("first") + F.col("n"), lo + RUN) - 1
         slots = slots.withColumn("slot", F.explode(F.sequence(lo, hi))).withColumn("pass", F.floor(F.col("slot") / F.col("blocks")))
@@ -142,14 +143,17 @@ class Mix:
         self.slots = slots.select("shard", "_s", "slot", "pass", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("_s"), F.col("pass")).alias("block"))
 
     def output(self) -> DataFrame:
-        """The mix: a row for each piece of each slot, with shard, slot, pass, doc_id, first_word, n_words."""
-        return self.slots.join(self.pieces, ["_s", "block"])
+        """The mix: a row for each piece of each slot, with shard, slot, pass, doc_id, first_word, n_words.
+
+        Slots grow with the words, though the planner takes them for as small as the rows they are made from: hence the hint.
+        """
+        return self.slots.hint("merge").join(self.pieces, ["_s", "block"])
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken for each document, with the words its pieces give to the mix."""
         # how often a block was drawn is one row for each block before it meets the pieces
         times = self.slots.groupBy("_s", "block").agg(F.count(F.lit(1)).alias("_times"))
-        used = self.pieces.join(times, ["_s", "block"]).groupBy("_s", "_part", "_row").agg(F.sum(F.col("n_words") * F.col("_times")).alias("taken"))
+        used = self.pieces.join(times.hint("merge"), ["_s", "block"]).groupBy("_s", "_part", "_row").agg(F.sum(F.col("n_words") * F.col("_times")).alias("taken"))
         out = self.placed.join(used, ["_s", "_part", "_row"], "left")
         return out.select("doc_id", "source", "_text", "_part", "_row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
