@@ -1,0 +1,323 @@
+"""The registered queries of the scanning engine, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import detectors as D
+from ..operators import evaluate as E
+from ..operators import findings as G
+from ..operators import masking as M
+from ..sources import rules as R
+from ..streaming import events as V
+from . import oracle as O
+
+_BY_ID = {d.id: d for d in D.BUILT_IN}
+#: The corpus has no token at the built-in threshold; its highest is 3.93 bits.
+TOKEN = replace(_BY_ID["high_entropy_secret"], entropy_threshold=3.0)
+CARD, PHONE, SSN, AWS = _BY_ID["credit_card"], _BY_ID["phone"], _BY_ID["us_ssn"], _BY_ID["aws_access_key"]
+#: Declarative rules of our own, so that detections overlap in this corpus.
+EMAIL = replace(_BY_ID["email"], suppresses=("email_host",))
+HOST = D.Detector("email_host", "network", "Host of an address", 0.40, r"(@)([A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,63})", value="$1\u0001$2\u0001", specificity=20)
+ASSIGNED = D.Detector("assigned_token", "credential", "Token put into code", 0.75, r"(token = \")([^\"\n]{4,64})", value="$1\u0001$2\u0001", specificity=80, suppresses=("high_entropy_secret",), boosters=(D.Rule(0.10, pattern=r"(?i)key|secret"),))
+LICENSE = D.literal_target(0, "Apache License")
+SCAN = [CARD, PHONE, SSN, AWS, EMAIL, HOST, TOKEN, ASSIGNED, LICENSE]
+PLAIN = [CARD, PHONE, SSN, AWS, EMAIL, TOKEN]
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def documents(spark, sf_dir: str) -> DataFrame:
+    path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(path.alias("path"), "text", "lang", "doc_id")
+
+
+def detections(spark, sf_dir: str, **how) -> DataFrame:
+    return D.detect(documents(spark, sf_dir), SCAN, **how)
+
+
+def findings(spark, sf_dir: str, **how) -> DataFrame:
+    return G.consolidate(detections(spark, sf_dir, **how))
+
+
+_DET = f"WITH RECURSIVE {O.DOCS}, {O.scored(SCAN)}"
+_FIND = f"{_DET}, {O.FINDINGS}"
+
+
+def _spans(d: D.Detector, table: str = "documents", key: str = ""):
+    def run(spark, sf_dir: str) -> DataFrame:
+        if table == "documents":
+            docs = documents(spark, sf_dir)
+        else:
+            docs = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            docs = docs.select(F.expr(key).alias("path"), F.col("html" if table == "pages" else "text").alias("text")).where("text IS NOT NULL")
+        found = D.spans_of(d, F.col("text"))
+        return docs.select("path", F.explode(found).alias("s")).select("path", "s.start", "s.end", "s.value")
+
+    return run
+
+
+for _name, _d in (("scan_email_spans", EMAIL), ("scan_phone_spans", PHONE), ("scan_card_spans", CARD), ("scan_token_spans", TOKEN), ("scan_ssn_spans", SSN), ("scan_aws_key_spans", AWS)):
+    _Q[_name] = _spans(_d)
+    _SQL[_name] = f'WITH {O.DOCS}, {O.spans([_d])} SELECT path, start, "end", value FROM raw'
+for _name, _d in (("scan_pages_cards", CARD), ("scan_pages_phones", PHONE), ("scan_pages_emails", EMAIL)):
+    _Q[_name] = _spans(_d, "pages", "url")
+    _SQL[_name] = f'WITH docs AS (SELECT url AS path, html AS text FROM pages WHERE html IS NOT NULL), {O.spans([_d])} SELECT path, start, "end", value FROM raw'
+_Q["scan_conversation_tokens"] = _spans(TOKEN, "conversations", "concat(conv_id, '#', turn)")
+_SQL["scan_conversation_tokens"] = f"WITH docs AS (SELECT conv_id || '#' || turn AS path, text FROM conversations WHERE text IS NOT NULL), {O.spans([TOKEN])} SELECT path, start, \"end\", value FROM raw"
+
+
+@query(f'{_DET} SELECT path, detector_id, start, line, "column" FROM det')
+def line_column(spark, sf_dir):
+    return detections(spark, sf_dir).select("path", "detector_id", "start", "line", "column")
+
+
+@query(f"WITH {O.DOCS}, {O.spans([CARD])} SELECT {O.LUHN} AS valid, count(*) AS n FROM raw GROUP BY 1")
+def luhn_partition(spark, sf_dir):
+    return _spans(CARD)(spark, sf_dir).groupBy(T.luhn(F.col("value")).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {O.DOCS}, {O.spans([TOKEN])} SELECT path, start, value, round({O.ENTROPY}, 9) AS bits FROM raw")
+def entropy_tokens(spark, sf_dir):
+    return _spans(TOKEN)(spark, sf_dir).select("path", "start", "value", F.round(T.entropy(F.col("value")), 9).alias("bits"))
+
+
+@query(f'WITH {O.DOCS}, {O.spans(PLAIN)} SELECT path, detector_id, start, substr(text, greatest(start - 100, 0) + 1, "end" + 100 - greatest(start - 100, 0)) AS near FROM raw')
+def context_window(spark, sf_dir):
+    text = F.col("text")
+
+    def near(d):
+        return F.transform(D.spans_of(d, text), lambda s: F.struct(F.lit(d.id).alias("detector_id"), s["start"].alias("start"), T.window(text, s["start"], s["end"]).alias("near")))
+
+    hits = F.concat(*map(near, PLAIN))
+    return documents(spark, sf_dir).select("path", F.explode(hits).alias("h")).select("path", "h.*")
+
+
+@query(f'{_DET} SELECT path, detector_id, category, start, "end", value, round(confidence, 9) AS confidence, tier FROM det')
+def scored_detections(spark, sf_dir):
+    return detections(spark, sf_dir).select("path", "detector_id", "category", "start", "end", "value", F.round("confidence", 9).alias("confidence"), "tier")
+
+
+@query(f"WITH {O.DOCS}, {O.spans([LICENSE])} SELECT path, start, value FROM raw")
+def keyword_target(spark, sf_dir):
+    return _spans(LICENSE)(spark, sf_dir).select("path", "start", "value")
+
+
+@query(f"{_DET} SELECT detector_id, tier, count(*) AS n, round(min(confidence), 9) AS low, round(max(confidence), 9) AS high FROM det GROUP BY 1, 2")
+def hits_by_detector(spark, sf_dir):
+    return detections(spark, sf_dir).groupBy("detector_id", "tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("confidence"), 9).alias("low"), F.round(F.max("confidence"), 9).alias("high"))
+
+
+@query(f"""{_DET} SELECT a.path, a.detector_id AS outer_id, b.detector_id AS inner_id, a.start, a."end", b.start AS inner_start, b."end" AS inner_end FROM det a JOIN det b
+ON a.path = b.path AND (a.start, a."end", a.detector_id) <> (b.start, b."end", b.detector_id) AND a.start <= b.start AND a."end" >= b."end" AND list_contains(a.suppresses, b.detector_id)""")
+def containment_pairs(spark, sf_dir):
+    """Equi-joined on path and overlap island, so no theta join runs over a whole path."""
+    a = G.islands(detections(spark, sf_dir), "detector_id").select("path", "island", "detector_id", "start", "end", "suppresses")
+    b = a.select(F.col("path").alias("_p"), F.col("island").alias("_i"), F.col("detector_id").alias("inner_id"), F.col("start").alias("inner_start"), F.col("end").alias("inner_end"))
+    on = (F.col("path") == F.col("_p")) & (F.col("island") == F.col("_i")) & (F.col("start") <= F.col("inner_start")) & (F.col("end") >= F.col("inner_end")) & F.array_contains("suppresses", F.col("inner_id"))
+    same = (F.col("start") == F.col("inner_start")) & (F.col("end") == F.col("inner_end")) & (F.col("detector_id") == F.col("inner_id"))
+    return a.join(b, on & ~same).select("path", F.col("detector_id").alias("outer_id"), "inner_id", "start", "end", "inner_start", "inner_end")
+
+
+@query(f"""{_FIND} SELECT path, id, detector_id, category, start, "end", line, "column", preview, round(confidence, 9) AS confidence, tier, suggested_action, group_start, group_end, raw_count, suppressed_count, supporting FROM find""")
+def consolidated_findings(spark, sf_dir):
+    supporting = F.array_join(F.transform("supporting", lambda x: F.concat_ws(":", x["detector_id"], x["relationship"])), ",")
+    return findings(spark, sf_dir).select("path", "id", "detector_id", "category", "start", "end", "line", "column", "preview", F.round("confidence", 9).alias("confidence"), "tier", "suggested_action", "group_start", "group_end", "raw_count", "suppressed_count", supporting.alias("supporting"))
+
+
+@query(f"{_FIND} SELECT f.path, f.detector_id, s.detector_id AS supporting_id, round(s.confidence, 9) AS confidence, rel AS relationship FROM sup0 s JOIN find f ON f.path = s.path AND f.group_start <= s.gs AND f.group_end >= s.ge WHERE k = 1".replace("row_number() OVER (PARTITION BY r.path, r.component, r.detector_id", "r.start AS gs, r.\"end\" AS ge, row_number() OVER (PARTITION BY r.path, r.component, r.detector_id"))
+def supporting_detections(spark, sf_dir):
+    return findings(spark, sf_dir).select("path", "detector_id", F.explode("supporting").alias("s")).select("path", "detector_id", F.col("s.detector_id").alias("supporting_id"), F.round("s.confidence", 9).alias("confidence"), "s.relationship")
+
+
+@query(f"WITH RECURSIVE {O.DOCS}, {O.scored(SCAN, ('financial',))}, {O.FINDINGS} SELECT path, id, detector_id, category FROM find WHERE category_selected OR has_user_target")
+def category_projection(spark, sf_dir):
+    return G.visible(findings(spark, sf_dir, categories=("financial",))).select("path", "id", "detector_id", "category")
+
+
+@query(f"{_FIND} SELECT coalesce(tier, '*') AS tier, coalesce(category, '*') AS category, count(*) AS n, sum(raw_count)::BIGINT AS raw, sum(suppressed_count)::BIGINT AS suppressed FROM find GROUP BY GROUPING SETS ((), (tier), (category))")
+def summary_counts(spark, sf_dir):
+    return G.summary(findings(spark, sf_dir))
+
+
+@query(f"{_FIND} SELECT lang, tier, count(*) AS n FROM find JOIN docs USING (path) GROUP BY GROUPING SETS ((lang, tier), (lang)) HAVING lang IS NOT NULL".replace("lang, tier, count", "lang, coalesce(tier, '*') AS tier, count"))
+def tier_by_lang(spark, sf_dir):
+    langs = documents(spark, sf_dir).select("path", "lang")
+    both = findings(spark, sf_dir).select("path", "tier").join(langs, "path").where("lang IS NOT NULL")
+    return both.groupingSets([["lang", "tier"], ["lang"]], "lang", "tier").agg(F.count(F.lit(1)).alias("n")).select("lang", F.coalesce("tier", F.lit("*")).alias("tier"), "n")
+
+
+@query(f"{_FIND} SELECT id, tier, round(confidence, 9) AS confidence, path FROM find ORDER BY tier, find.confidence DESC, path, line, \"column\", id LIMIT 25")
+def triage_topk(spark, sf_dir):
+    return G.triage_order(findings(spark, sf_dir)).limit(25).select("id", "tier", F.round("confidence", 9).alias("confidence"), "path")
+
+
+@query(f"{_FIND} SELECT path, tier, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM find GROUP BY 1, 2")
+def triage_groups(spark, sf_dir):
+    return findings(spark, sf_dir).groupBy("path", "tier").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+
+
+@query(f"{_FIND} SELECT id, path, line, \"column\", detector_id, category, round(confidence, 9) AS confidence, tier, suggested_action, true AS can_anonymize, preview, raw_count, suppressed_count FROM find")
+def public_findings(spark, sf_dir):
+    return G.public(findings(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(f"{_FIND} SELECT l.doc_id, l.quality::BIGINT AS quality, l.toxic::BIGINT AS toxic, count(id) AS n, count(*) FILTER (tier = 'A') AS certain FROM labels l LEFT JOIN (SELECT doc_id, id, tier FROM find JOIN docs USING (path)) f ON f.doc_id = l.doc_id GROUP BY 1, 2, 3")
+def labels_join_findings(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").cast("long"), F.col("toxic").cast("long"))
+    counts = findings(spark, sf_dir).join(documents(spark, sf_dir).select("path", "doc_id"), "path").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") == "A").alias("certain"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return labels.join(counts, "doc_id", "left").select("doc_id", "quality", "toxic", zero("n"), zero("certain"))
+
+
+@query(f"{_FIND} SELECT path, detector_id, start, {O.REPLACEMENT} AS replacement FROM find")
+def replacement_values(spark, sf_dir):
+    return findings(spark, sf_dir).select("path", "detector_id", "start", M.replacement(F.col("detector_id"), F.col("category"), F.col("value")).alias("replacement"))
+
+
+@query(f'{_FIND}, {O.ISLANDS} SELECT path, island::BIGINT AS island, start, "end", n FROM span')
+def overlap_islands(spark, sf_dir):
+    out = G.islands(findings(spark, sf_dir).select("path", "start", "end", "id"), "id")
+    return out.groupBy("path", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f'{_FIND}, {O.ISLANDS} SELECT path, start, "end", text FROM spans_')
+def remediation_spans(spark, sf_dir):
+    return M.replacement_spans(findings(spark, sf_dir))
+
+
+def redaction(spark, sf_dir: str) -> DataFrame:
+    return M.redacted(documents(spark, sf_dir), M.replacement_spans(findings(spark, sf_dir)))
+
+
+_REDACTED = f"""{_FIND}, {O.ISLANDS},
+cuts AS (SELECT s.*, docs.text AS whole, coalesce(lag(s."end") OVER (PARTITION BY path ORDER BY s.start), 0) AS before_ FROM spans_ s JOIN docs USING (path)),
+redacted AS (SELECT path, string_agg(substr(whole, before_ + 1, start - before_) || text, '' ORDER BY start) || substr(min(whole), max("end") + 1) AS text FROM cuts GROUP BY path)"""
+
+
+@query(f"{_REDACTED} SELECT path, md5(text) AS digest, length(text)::BIGINT AS n FROM redacted")
+def redacted_text(spark, sf_dir):
+    return redaction(spark, sf_dir).select("path", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
+
+
+@query()
+def rescan_residual(spark, sf_dir):
+    """Detections that are still in the redacted texts, by detector; synthetic addresses are among them."""
+    return D.detect(redaction(spark, sf_dir), SCAN).groupBy("detector_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT path, length(text)::BIGINT AS n, sha256(text) AS sha256, replace(path, '.txt', '-auto-redacted-copy.txt') AS output FROM (SELECT source || '/' || doc_id || '.txt' AS path, text FROM documents WHERE text IS NOT NULL)")
+def file_fingerprints(spark, sf_dir):
+    return documents(spark, sf_dir).select("path", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha256"), M.output_path(F.col("path")).alias("output"))
+
+
+@query("SELECT path, n FROM (SELECT source || '/' || doc_id || '.txt' AS path, length(text)::BIGINT AS n FROM documents WHERE text IS NOT NULL) WHERE (path LIKE 'src1%' AND path NOT LIKE 'src1/%7.txt') IS NOT TRUE AND path NOT LIKE 'src2/%'")
+def ignore_rules(spark, sf_dir):
+    """The last rule that fits decides: all below src1*, src1's files that end with 7 after all, all below src2."""
+    docs = documents(spark, sf_dir).select("path", F.length("text").cast("long").alias("n"))
+    return docs.where(~R.ignored(F.col("path"), ["/src1*", "!/src1/*7.txt", "src2/"]))
+
+
+@query("SELECT CASE WHEN path LIKE '%0.txt' THEN '0.txt' WHEN path LIKE '%.txt' THEN '.txt' END AS ext, count(*) AS n FROM (SELECT source || '/' || doc_id || '.txt' AS path FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+def extension_filter(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy(R.longest_extension(F.col("path"), [".txt", "0.txt", ".md"]).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f'{_DET} SELECT path, detector_id, start, "end", value FROM det')
+def chunked_equals_whole(spark, sf_dir):
+    """Detections by overlapping windows of the texts, each hit kept by the window that owns its start."""
+    return R.chunked_detections(documents(spark, sf_dir), SCAN, core=3000).select("path", "detector_id", "start", "end", "value")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 2000")
+def event_log_tail(spark, sf_dir):
+    return V.tail(spark.read.parquet(f"{sf_dir}/events.parquet"), 2000).select("event_id", "event_type")
+
+
+@query("SELECT event_id, user_id, count(*) OVER w AS seen, round(sum(value) OVER w, 6) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def event_progress(spark, sf_dir):
+    return V.progress(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", "user_id", "seen", F.round("total", 6).alias("total"))
+
+
+# ---- evaluation: cards and tokens are the planted values, every third of them a decoy, by the hash of their place
+
+_PLANT = "('0x' || substr(md5(path || ':' || start), 1, 6))::BIGINT"
+
+
+def plants(spark, sf_dir: str) -> DataFrame:
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", "path", F.col("start").cast("string"))), 1, 6), 16, 10).cast("long")
+    out = detections(spark, sf_dir).where(F.col("detector_id").isin("credit_card", "email", "high_entropy_secret"))
+    return out.select(F.col("path").alias("file"), "start", "end", "category", "detector_id", (h % 3 != 0).alias("is_positive"), h.alias("plant_id"))
+
+
+def rated(spark, sf_dir: str) -> DataFrame:
+    found = findings(spark, sf_dir).select(F.col("path").alias("file"), F.col("id").alias("finding_id"), "start", "end", "category", "detector_id", "confidence", "tier")
+    return E.outcomes(plants(spark, sf_dir), found)
+
+
+# spans differ here, so a finding around one plant of its category is that plant's match
+_RATED = f"""{_FIND}, plant AS (SELECT path, start, "end", category FROM det WHERE detector_id IN ('credit_card', 'email', 'high_entropy_secret') AND {_PLANT} % 3 <> 0),
+rated AS (SELECT f.*, EXISTS (SELECT 1 FROM plant p WHERE p.path = f.path AND p.category = f.category AND f.start <= p.start AND f."end" >= p."end") AS hit FROM find f)"""
+
+
+@query(f"{_RATED} SELECT detector_id, tier, count(*) AS n, count(*) FILTER (hit) AS tp FROM rated GROUP BY 1, 2")
+def plant_match_metrics(spark, sf_dir):
+    return rated(spark, sf_dir).groupBy("detector_id", "tier").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("tp"))
+
+
+_LEVELS = [0.0, 0.25, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 1.0]
+_SWEEP = f"""{_RATED}, pos AS (SELECT count(*) AS p FROM plant), lev AS (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in _LEVELS)}]) AS threshold),
+sw0 AS (SELECT threshold, count(*) FILTER (hit AND confidence >= threshold) AS tp, count(*) FILTER (NOT hit AND confidence >= threshold) AS fp FROM lev, rated GROUP BY 1),
+sw1 AS (SELECT threshold, tp, fp, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN p > 0 THEN tp / p ELSE 1 END AS recall FROM sw0, pos),
+sw AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM sw1)"""
+
+
+def _swept(spark, sf_dir: str) -> DataFrame:
+    return E.sweep(rated(spark, sf_dir), plants(spark, sf_dir).where("is_positive").count(), _LEVELS)
+
+
+@query(f"{_SWEEP} SELECT threshold, tp, fp, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM sw")
+def threshold_sweep(spark, sf_dir):
+    return _swept(spark, sf_dir).select("threshold", "tp", "fp", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(f"{_SWEEP} SELECT threshold, tp, fp FROM sw WHERE precision >= 0.3 ORDER BY recall DESC, precision DESC, abs(threshold - 0.85), threshold LIMIT 1")
+def threshold_choice(spark, sf_dir):
+    return E.choose(_swept(spark, sf_dir), least_precision=0.3).select("threshold", "tp", "fp")
+
+
+_BUCKETS = f"{_RATED}, cal AS (SELECT least(floor(confidence * 10), 9)::INT AS bucket, count(*) AS n, avg(confidence) AS mean_confidence, avg(hit::INT) AS hit_rate, sum((confidence - hit::INT) ** 2) AS squares FROM rated GROUP BY 1)"
+
+
+@query(f"{_BUCKETS} SELECT bucket, n, round(mean_confidence, 9) AS mean_confidence, round(hit_rate, 9) AS hit_rate FROM cal")
+def calibration_buckets(spark, sf_dir):
+    return E.calibration(rated(spark, sf_dir)).select("bucket", "n", F.round("mean_confidence", 9).alias("mean_confidence"), F.round("hit_rate", 9).alias("hit_rate"))
+
+
+@query(f"{_BUCKETS} SELECT round(sum(squares) / sum(n), 9) AS brier, round(sum(n * abs(mean_confidence - hit_rate)) / sum(n), 9) AS ece FROM cal")
+def calibration_error(spark, sf_dir):
+    return E.calibration_error(E.calibration(rated(spark, sf_dir))).select(F.round("brier", 9).alias("brier"), F.round("ece", 9).alias("ece"))
