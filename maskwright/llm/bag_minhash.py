@@ -10,10 +10,15 @@ Texts with equal signatures in a band share a bucket. Links are found in each bu
 themselves:
 
 1. equal texts are one class from the start, so copies cost nothing below;
-2. in each bucket all classes are compared with the least one;
-3. where a bucket still holds classes of several components, classes outside its largest component are pivots, a few
-   at first and twice as many each round, and are compared with all classes of other components in the bucket, until at
-   most one component is left beside the pivots. Links inside one component can't change the result and aren't looked for.
+2. in each bucket all classes are compared with one, drawn by a hash of bucket and class, so that each bucket of a large
+   group brings other links;
+3. where a bucket still holds classes of several components, classes outside its largest component are pivots, PIVOTS
+   at first and MORE_PIVOTS times as many each round, and are compared with all classes of other components in the
+   bucket, until at most one component is left beside the pivots. Links inside one component can't change the result
+   and aren't looked for.
+
+Before two texts are read, one byte of each component is compared: pairs that agree in fewer are left out than six
+standard deviations below what a pair of the threshold's similarity has (a chance of 1e-9).
 
 Result: each document's class_id (the least doc_id with the same text) and group_id (the least doc_id of its component).
 
@@ -40,8 +45,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares no bucket with a probability of (1 - 0.8**5)**25, which is 5e-5.
 BANDS, ROWS = 25, 5
-#: Pivots of a bucket in the first round.
-PIVOTS = 16
+#: Pivots of a bucket in the first round, and how many times more each round.
+PIVOTS, MORE_PIVOTS = 64, 16
 #: Bytes of text hashed at a time.
 GROUP = 1_000_000
 
@@ -185,7 +190,7 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, n_shingles, bands for rows with a text; texts are read where they are."""
+    """doc_id, digest, n_shingles, bands, sketch for rows with a text; texts are read where they are."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,15 +204,32 @@ def signed(docs: DataFrame) -> DataFrame:
                     end += 1
                 part = texts[start:end]
                 owner, shingle, weight, n = bags(part)
-                keys = band_keys(signatures(len(part), owner, shingle, weight))
+                ident = signatures(len(part), owner, shingle, weight)
+                keys, sketches = band_keys(ident), ident.astype(np.uint8)
                 sizes = np.where(n > 0, BANDS, 0)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].reshape(-1)))
                 digests = [hashlib.md5(t).digest() for t in part]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), lists], ["doc_id", "digest", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), lists, pa.array([x.tobytes() for x in sketches], pa.binary())], ["doc_id", "digest", "n_shingles", "bands", "sketch"])
                 start = end
 
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, digest binary, n_shingles long, bands array<long>")
+    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, digest binary, n_shingles long, bands array<long>, sketch binary")
+
+
+def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the threshold."""
+    least = int(_M * threshold - 6 * (_M * threshold * (1 - threshold)) ** 0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, _M) for c in (b.column(2), b.column(3)))
+            keep = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(i).take(keep) for i in (0, 1)], ["a", "b"])
+
+    one = classes.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    other = classes.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(one, "a").join(other, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -236,15 +258,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """doc_id, digest, class_id, group_id for each row, and comp, which names the group even where ids repeat."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(signed(docs), "bag-signed")
-    classes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "bag-classes")
-    placed = cut(classes.select("digest", "n", F.explode("bands").alias("bucket")), "bag-buckets")
-    leaders = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"), F.min("digest").alias("leader")).where("_size > 1")
-    shared = cut(placed.join(leaders, "bucket"), "bag-shared")
-
-    near = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)  # noqa: E731  shares of unequal sizes can't reach it
-    sizes = classes.select(F.col("digest").alias("leader"), F.col("n").alias("_n"))
-    pairs = shared.where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader"), "n").distinct()
-    pairs = cut(pairs.join(sizes, "leader").where(near(F.col("n"), F.col("_n"))).select("a", F.col("leader").alias("b")), "bag-pairs")
+    classes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "bag-classes")
+    placed = cut(classes.select("digest", F.explode("bands").alias("bucket")), "bag-buckets")
+    leaders = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct(F.xxhash64("bucket", "digest").alias("h"), "digest")).alias("l")).where("_size > 1")
+    shared = cut(placed.join(leaders.select("bucket", "_size", F.col("l.digest").alias("leader")), "bucket"), "bag-shared")
+    pairs = shared.where("digest <> leader").select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct()
+    pairs = cut(likely(pairs, classes, threshold), "bag-pairs")
 
     # the texts of all classes that share a bucket, one row each: copies are dropped before the shuffle
     wanted = shared.select("digest").distinct()
@@ -254,24 +273,26 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     labels = components(edges)
 
     # the leaders were compared with all in their buckets
-    open_ = cut(shared.where("_size > 2 AND digest <> leader").select("bucket", "digest", "n"), "bag-open")
+    open_ = shared.where("_size > 2 AND digest <> leader").select("bucket", "digest")
     pivots = PIVOTS
     while True:
-        here = open_.join(labels, open_["digest"] == labels["v"], "left").select("bucket", "digest", "n", F.coalesce("label", "digest").alias("comp"))
-        main = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_k")).groupBy("bucket").agg(F.count(F.lit(1)).alias("_comps"), F.max_by("comp", F.struct("_k", "comp")).alias("_main")).where("_comps > 1")
-        here = cut(here.join(main, "bucket"), "bag-open")
-        some = here.where("comp <> _main").withColumn("_r", F.row_number().over(W.partitionBy("bucket").orderBy("digest"))).where(F.col("_r") <= pivots)
-        some = cut(some.select("bucket", F.col("digest").alias("b"), F.col("n").alias("_n"), F.col("comp").alias("_comp")), "bag-pivots")
+        here = open_.join(labels, open_["digest"] == labels["v"], "left").select("bucket", "digest", F.coalesce("label", "digest").alias("comp"))
+        # most buckets hold one component; their rows end here
+        mixed = here.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("bucket")
+        here = cut(here.join(mixed, "bucket"), "bag-open")
+        main = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_k")).groupBy("bucket").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_main"))
+        some = here.join(main, "bucket").where("comp <> _main").withColumn("_r", F.row_number().over(W.partitionBy("bucket").orderBy("digest"))).where(F.col("_r") <= pivots)
+        some = cut(some.select("bucket", F.col("digest").alias("b"), F.col("comp").alias("_comp")), "bag-pivots")
         if not some.limit(1).count():
             break
-        fresh = here.join(some, "bucket").where((F.col("comp") != F.col("_comp")) & near(F.col("n"), F.col("_n")))
-        fresh = cut(fresh.select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct(), "bag-pairs")
-        more = cut(verified(fresh, texts, threshold), "bag-edges")
+        fresh = here.join(some, "bucket").where(F.col("comp") != F.col("_comp"))
+        fresh = fresh.select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct()
+        more = cut(verified(likely(fresh, classes, threshold), texts, threshold), "bag-edges")
         if more.limit(1).count():
             edges = cut(edges.union(more), "bag-edges")
             labels = components(edges)
-        open_ = here.join(some.select("bucket", F.col("b").alias("digest")), ["bucket", "digest"], "left_anti").select("bucket", "digest", "n")
-        pivots *= 2
+        open_ = here.join(some.select("bucket", F.col("b").alias("digest")), ["bucket", "digest"], "left_anti").select("bucket", "digest")
+        pivots *= MORE_PIVOTS
 
     ids = classes.join(labels, classes["digest"] == labels["v"], "left").select("digest", "class_id", F.coalesce("label", "digest").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("class_id").alias("group_id"))

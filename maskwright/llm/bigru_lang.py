@@ -193,6 +193,11 @@ def sample_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(language, window) of the bounded sample. Only windows are shuffled, and of each language only the first few of each task."""
     places = F.explode(F.array(*(F.lit(k) for k in range(SAMPLE_WINDOWS)))).alias("_k")
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & F.col(id_col).isNotNull() & ~held_out(id_col))
+    # of a language with many rows only low hashes can be among the first: four times as many as wanted stay, wherever they are
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    limits = [x for k, n in counts.items() for x in (F.lit(k), F.lit(int(-(2**63) + min(1.0, 4 * SAMPLE_DOCS / n) * (2**64 - 1025))))]
+    if limits:
+        rows = rows.where(F.xxhash64(F.lit(SEED), F.col(id_col)) <= F.element_at(F.create_map(*limits), F.col(lang_col)))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(SEED), F.col(id_col)).alias("_hash"), places)
     at = 1 + F.pmod(F.xxhash64(F.lit(SEED), "id", "_k"), F.greatest(F.length("text") - (WINDOW - 1), F.lit(1)))
     rows = rows.select("lang", "_hash", "_k", F.substring(F.col("text"), at.cast("int"), F.lit(WINDOW)).alias("window"))
