@@ -12,12 +12,12 @@ themselves:
 1. equal texts are one class from the start, so copies cost nothing below;
 2. in each bucket all classes are compared with one, drawn by a hash of bucket and class, so that each bucket of a large
    group brings other links;
-3. where a bucket still holds classes of several components, classes outside its largest component are pivots, PIVOTS
-   at first and MORE_PIVOTS times as many each round, and are compared with all classes of other components in the
-   bucket, until at most one component is left beside the pivots. Links inside one component can't change the result
-   and aren't looked for.
+3. where a bucket still holds classes of several components, all outside its largest component are compared with all
+   of other components in the bucket: blocks of about BLOCK such classes are held while the bucket's classes stream
+   past, so no pairs are made but those that are links. Links inside one component can't change the result and aren't
+   looked for.
 
-Before two texts are read, one byte of each component is compared: pairs that agree in fewer are left out than six
+In the second step, one byte of each component is compared before two texts are read: pairs that agree in fewer are left out than six
 standard deviations below what a pair of the threshold's similarity has (a chance of 1e-9).
 
 Result: each document's class_id (the least doc_id with the same text) and group_id (the least doc_id of its component).
@@ -35,7 +35,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -45,8 +44,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares no bucket with a probability of (1 - 0.8**5)**25, which is 5e-5.
 BANDS, ROWS = 25, 5
-#: Pivots of a bucket in the first round, and how many times more each round.
-PIVOTS, MORE_PIVOTS = 64, 16
+#: Classes held at a time in the third step.
+BLOCK = 256
 #: Bytes of text hashed at a time.
 GROUP = 1_000_000
 
@@ -254,6 +253,85 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+class _Held:
+    """The classes of one block, against which others are compared by their shingles' hashes."""
+
+    def __init__(self):
+        self.rows: list[tuple[bytes, bytes, np.ndarray, np.ndarray, int]] = []
+        self.all = np.zeros(0, np.uint64)
+
+    def add(self, digests, comps, texts) -> None:
+        for digest, comp, (shingle, weight, n) in zip(digests, comps, _bags_apart(texts)):
+            self.rows.append((digest, comp, shingle, weight, n))
+
+    def links(self, digests, comps, texts, threshold: float) -> list[tuple[bytes, bytes]]:
+        """For each held class and other component among the given ones, the pair of the highest similarity, if that is enough."""
+        if not self.rows or not len(digests):
+            return []
+        if not len(self.all):
+            self.all = np.unique(np.concatenate([r[2] for r in self.rows]))
+        owner, shingle, weight, n = bags(texts)
+        at = np.searchsorted(self.all, shingle)
+        at[at == len(self.all)] = 0
+        known = self.all[at] == shingle
+        at, weight, owner = at[known], weight[known], owner[known]
+        scratch, out = np.zeros(len(self.all), np.int64), []
+        for digest, comp, own, own_weight, own_n in self.rows:
+            slots = np.searchsorted(self.all, own)
+            scratch[slots] = own_weight
+            common = np.bincount(owner, np.minimum(scratch[at], weight), len(digests))
+            scratch[slots] = 0
+            alike = common / np.maximum(own_n + n - common, 1)
+            best: dict[bytes, tuple[float, bytes]] = {}
+            for k in np.flatnonzero(alike >= threshold - 1e-9):
+                if comps[k] != comp and alike[k] > best.get(comps[k], (0.0, b""))[0]:
+                    best[comps[k]] = (float(alike[k]), digests[k])
+            out += [(min(digest, d), max(digest, d)) for _, d in best.values()]
+        return out
+
+
+def _bags_apart(texts: list[bytes]):
+    owner, shingle, weight, n = bags(texts)
+    edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [(shingle[a:z], weight[a:z], int(k)) for a, z, k in zip(edges, edges[1:], n)]
+
+
+def rest(open_: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that link components: the third step over (bucket, digest) rows."""
+    here = open_.join(labels, open_["digest"] == labels["v"], "left").select("bucket", "digest", F.coalesce("label", "digest").alias("comp"))
+    # most buckets hold one component; their rows end here
+    counts = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_k")).groupBy("bucket").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_main"), (F.sum("_k") - F.max("_k")).alias("_others")).where("_others > 0")
+    here = here.join(counts.withColumn("_blocks", F.ceil(F.col("_others") / BLOCK).cast("int")), "bucket")
+    here = cut(here.join(texts, "digest"), "bag-open")
+    cols = ("bucket", "block", "held", "digest", "comp", "text")
+    held = here.where("comp <> _main").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("_blocks")).cast("int")).withColumn("held", F.lit(0))
+    past = here.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("held", F.lit(1))
+    rows = held.select(*cols).union(past.select(*cols)).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, _Held()
+        for b in batches:
+            bucket, part, kind = (b.column(i).to_numpy() for i in range(3))
+            edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
+            out: list[tuple[bytes, bytes]] = []
+            for a, z in zip([0, *edges], [*edges, b.num_rows]):
+                if z == a:
+                    continue
+                if (bucket[a], part[a]) != key:
+                    key, block = (bucket[a], part[a]), _Held()
+                digests, comps = (b.column(i).slice(a, z - a).to_pylist() for i in (3, 4))
+                whole = [x.encode("utf-8", "surrogatepass") for x in b.column(5).slice(a, z - a).to_pylist()]
+                if kind[a] == 0:
+                    block.add(digests, comps, whole)
+                else:
+                    for s in range(0, len(whole), 500):
+                        out += block.links(digests[s : s + 500], comps[s : s + 500], whole[s : s + 500], threshold)
+            out = sorted(set(out))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, digest, class_id, group_id for each row, and comp, which names the group even where ids repeat."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -274,25 +352,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
     # the leaders were compared with all in their buckets
     open_ = shared.where("_size > 2 AND digest <> leader").select("bucket", "digest")
-    pivots = PIVOTS
-    while True:
-        here = open_.join(labels, open_["digest"] == labels["v"], "left").select("bucket", "digest", F.coalesce("label", "digest").alias("comp"))
-        # most buckets hold one component; their rows end here
-        mixed = here.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("bucket")
-        here = cut(here.join(mixed, "bucket"), "bag-open")
-        main = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_k")).groupBy("bucket").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_main"))
-        some = here.join(main, "bucket").where("comp <> _main").withColumn("_r", F.row_number().over(W.partitionBy("bucket").orderBy("digest"))).where(F.col("_r") <= pivots)
-        some = cut(some.select("bucket", F.col("digest").alias("b"), F.col("comp").alias("_comp")), "bag-pivots")
-        if not some.limit(1).count():
-            break
-        fresh = here.join(some, "bucket").where(F.col("comp") != F.col("_comp"))
-        fresh = fresh.select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct()
-        more = cut(verified(likely(fresh, classes, threshold), texts, threshold), "bag-edges")
-        if more.limit(1).count():
-            edges = cut(edges.union(more), "bag-edges")
-            labels = components(edges)
-        open_ = here.join(some.select("bucket", F.col("b").alias("digest")), ["bucket", "digest"], "left_anti").select("bucket", "digest")
-        pivots *= MORE_PIVOTS
+    more = cut(verified(rest(open_, labels, texts, threshold), texts, threshold), "bag-edges")
+    if more.limit(1).count():
+        labels = components(edges.union(more))
 
     ids = classes.join(labels, classes["digest"] == labels["v"], "left").select("digest", "class_id", F.coalesce("label", "digest").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("class_id").alias("group_id"))

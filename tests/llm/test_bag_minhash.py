@@ -91,6 +91,16 @@ def test_large_group_needs_no_all_pairs(spark):
     assert {c for i, (c, _) in got.items() if i >= 1000 and i < 5000} <= set(range(300)) | {1000}
 
 
+def test_graded_group_like_brute_force(spark):
+    """Texts at all distances from one base: buckets hold many that link to nothing, or only through few others."""
+    r = random.Random(5)
+    base = text_of(r, 150)
+    rows = [(i, edit(r, base, r.randint(0, 12))) for i in range(260)]
+    got = {x["doc_id"]: x["group_id"] for x in M.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and 20 < len(set(want.values())) < 250
+
+
 def test_edge_cases(spark):
     rows = [(None, "x y z", 1), (3, "x y z", 2), (3, "x y z", 2), (4, None, 3), (5, "w " * 50_000, 4), (6, "w " * 50_001, 5)]
     out = M.groups(spark.createDataFrame(rows, "doc_id long, text string, digest int")).collect()
