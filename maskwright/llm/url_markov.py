@@ -64,9 +64,10 @@ def ruled(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> Da
 def grams(urls: DataFrame, *keep: str) -> DataFrame:
     """A row for each character of each URL: the kept columns, ``ctx`` (the ORDER characters before it, \\u0002 before the start) and ``ch``."""
     padded = F.concat(F.lit("\u0002" * ORDER), F.translate("url", _AZ, _LOW))
-    at = F.explode(F.sequence(F.lit(1), F.length("url"))).alias("_i")
-    out = urls.where(F.length("url") > 0).select(*keep, padded.alias("_u"), at)
-    return out.select(*keep, F.substring(F.col("_u"), F.col("_i"), F.lit(ORDER)).alias("ctx"), F.substring(F.col("_u"), F.col("_i") + ORDER, F.lit(1)).alias("ch"))
+    # single characters once, so that a long URL costs no more than its length
+    out = urls.where(F.length("url") > 0).select(*keep, F.filter(F.split(padded, ""), lambda c: c != "").alias("_c"))
+    at = lambda i: F.struct(F.concat(*(F.get("_c", i + k) for k in range(ORDER))).alias("ctx"), F.get("_c", i + ORDER).alias("ch"))
+    return out.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.size("_c") - (ORDER + 1)), at)).alias("_g")).select(*keep, "_g.ctx", "_g.ch")
 
 
 def llr_table(counts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -102,17 +103,18 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> Da
     urls = cut(rows.where(F.col("url").isNotNull()).groupBy("url").agg(F.first("label").alias("label")), "url-markov")
     # the part comes from the URL itself: reruns and other SQL engines agree
     part = F.conv(F.substring(F.md5("url"), 1, 6), 16, 10).cast("long") % HOLD_OUT
-    chars = cut(grams(urls.withColumn("held", F.col("label").isNotNull() & (part == 0)), "url", "label", "held"), "url-grams")
+    keyed = urls.withColumn("_k", F.unhex(F.md5("url"))).withColumn("held", F.col("label").isNotNull() & (part == 0))
+    chars = cut(grams(keyed, "_k", "label", "held"), "url-grams")
     counts = chars.where(F.col("label").isNotNull() & ~F.col("held")).groupBy("label", "ctx", "ch").agg(F.count(F.lit(1)).alias("n"))
     scored = chars.where(F.col("label").isNull() | F.col("held"))
     llr = llr_table(counts, scored.select("ctx", "ch").distinct())
     # both sides shrink before they meet: a URL's equal n-grams are one row
-    each = scored.groupBy("url", "label", "ctx", "ch").agg(F.count(F.lit(1)).alias("n"))
-    score = cut(each.join(llr, ["ctx", "ch"]).groupBy("url", "label").agg((F.sum(F.col("n") * F.col("llr")) / F.sum("n")).alias("score")), "url-scores")
+    each = scored.groupBy("_k", "label", "ctx", "ch").agg(F.count(F.lit(1)).alias("n"))
+    score = cut(each.join(llr, ["ctx", "ch"]).groupBy("_k", "label").agg((F.sum(F.col("n") * F.col("llr")) / F.sum("n")).alias("score")), "url-scores")
     taught = {r["label"] for r in counts.select("label").distinct().collect()}
     limit = calibrate(score.where(F.col("label").isNotNull())) if len(taught) == 2 else float("-inf")
-    unruled = score.where(F.col("label").isNull()).select(F.col("url").alias("_url"), "score")
-    out = rows.join(unruled, F.col("url") == F.col("_url"), "left")
+    unruled = score.where(F.col("label").isNull()).select("_k", "score")
+    out = rows.join(unruled, F.unhex(F.md5("url")) == F.col("_k"), "left")
     verdict = F.when(F.coalesce(F.round("score", 9), F.lit(0.0)) >= F.lit(limit), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce(F.col("label"), verdict).alias("verdict"), F.round("score", 6).alias("score"))
 
