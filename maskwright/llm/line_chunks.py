@@ -1,14 +1,20 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines and by repeated runs of lines.
 
 A text is cut at ``\\n`` into lines. A rolling hash over the hashes of the last WINDOW lines ends a chunk after a line when
-it falls to 0 of DIVISOR parts, so the same passage is cut at the same places whatever stands before it. A chunk that
-other places have too is removed everywhere but at its first place (by doc_id, then position), after its bytes are
-compared with those of the first place. Chunks of at least MIN_LINES lines and MIN_WORDS words count, and chunks of
-fewer lines from LONG_WORDS words. Everything is DataFrame functions.
+it falls to 0 of DIVISOR parts, so the same passage is cut at the same places whatever stands before it. Chunks of at
+least MIN_LINES lines and MIN_WORDS words count, and chunks of fewer lines from LONG_WORDS words.
+
+Boundaries depend on what stands around a passage, so runs of lines count as well, wherever they begin: from each line
+with words the shortest run of LONG_WORDS words that starts there, and the shortest that ends there. Any run of at
+least LONG_WORDS words from a line with words to another is covered by such runs inside it.
+
+A chunk or run that other places have too is removed everywhere but at its first place (by doc_id, then position), which is
+found by SHA-256 of its bytes. A run that overlaps its first place loses only the lines after it. Everything is
+DataFrame functions.
 
 Nulls: a null text stays null; null ids sort first. Empty texts stay as they are. Rows with equal id and text are one
 document: they don't make each other's chunks repeated, and get the same result. Empty tables give no rows; other columns
-pass through. A text can end up empty; no row is dropped.
+pass through. A text can end up empty; no row is dropped. Lines without a word at a run's edges stay.
 """
 
 from __future__ import annotations
@@ -48,49 +54,73 @@ def _start(j):
     return F.when(j == 0, F.lit(1)).otherwise(F.get("_ends", j - 1) + 1)
 
 
-def _slice(array: str, j):
-    return F.slice(array, _start(j), F.get("_ends", j) - _start(j) + 1)
+def _shortest(array: str, i):
+    """How many items from 0-based i on have LONG_WORDS words together, and the words of these; null if all have fewer."""
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+    add = lambda a, x: F.when(a["words"] >= LONG_WORDS, a).otherwise(F.struct((a["words"] + F.least(x, F.lit(LONG_WORDS))).alias("words"), (a["n"] + 1).alias("n")))
+    reach = lambda most: F.aggregate(F.slice(array, i + 1, most), start, add, lambda a: F.when(a["words"] >= LONG_WORDS, a))
+    # each item has a word, so LONG_WORDS items are enough; mostly a few are
+    return F.coalesce(reach(4), reach(LONG_WORDS))
+
+
+def _runs():
+    """Spans of lines, from _w (words of each line that has any), _r (_w backwards) and _at (these lines' numbers)."""
+    span = lambda a, z: F.struct(F.get("_at", a).alias("start"), F.get("_at", z).alias("end"))
+    forward = F.transform(F.transform("_w", lambda x, i: F.struct(i.alias("i"), _shortest("_w", i)["n"].alias("n"))), lambda r: F.when(r["n"].isNotNull(), span(r["i"], r["i"] + r["n"] - 1)))
+    last = lambda i: F.size("_w") - 1 - i
+    back = F.transform("_r", lambda x, i: F.struct(i.alias("i"), F.least(x, F.lit(LONG_WORDS)).alias("own"), _shortest("_r", i).alias("s")))
+    # without its last line too long to be the shortest from its start; else it is a forward run
+    back = F.transform(back, lambda r: F.when(r["s"]["words"] - r["own"] >= LONG_WORDS, span(last(r["i"] + r["s"]["n"] - 1), last(r["i"]))))
+    return F.filter(F.concat(forward, back), lambda x: x.isNotNull())
 
 
 def references(docs: DataFrame, **how) -> DataFrame:
-    """A narrow row for each chunk of each document: _key, doc_id, idx, hash. Equal rows are one before they are shuffled."""
-    # a short single line can't have LONG_WORDS words; it needs no row
-    counts = lambda j: (F.get("_ends", j) - _start(j) + 1 >= MIN_LINES) | (F.length(F.get("_lines", _start(j) - 1)) >= 2 * LONG_WORDS - 1)
-    each = F.transform(F.filter(F.sequence(F.lit(0), F.size("_ends") - 1), counts), lambda j: F.struct(j.alias("idx"), F.xxhash64(_slice("_h", j)).alias("hash")))
-    out = chunked(docs, **how).select("_key", "doc_id", F.explode(each).alias("_c"))
-    return out.select("_key", "doc_id", "_c.idx", "_c.hash").distinct()
+    """A narrow row for each chunk and run of each document: _key, chunk (or run), start, end, hash."""
+    out = chunked(docs, **how).withColumn("_n", F.transform("_lines", lambda x: F.regexp_count(x, F.lit(WORD))))
+    out = out.withColumns({"_w": F.filter("_n", lambda x: x > 0), "_at": F.filter(F.transform("_n", lambda x, i: F.when(x > 0, i + 1)), lambda x: x.isNotNull())})
+    out = out.withColumn("_r", F.reverse("_w"))
+    chunks = F.transform("_ends", lambda end, j: F.struct(_start(j).alias("start"), end.alias("end")))
+    words = lambda c: F.aggregate(F.slice("_n", c["start"], c["end"] - c["start"] + 1), F.lit(0), lambda a, x: F.least(a + x, F.lit(LONG_WORDS)))
+    chunks = F.filter(chunks, lambda c: (words(c) >= LONG_WORDS) | ((c["end"] - c["start"] + 1 >= MIN_LINES) & (words(c) >= MIN_WORDS)))
+    row = lambda kind: lambda c: F.struct(F.lit(kind).alias("chunk"), c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(F.lit(kind), F.slice("_h", c["start"], c["end"] - c["start"] + 1)).alias("hash"))
+    return out.select("_key", F.explode(F.concat(F.transform(chunks, row(True)), F.transform(_runs(), row(False)))).alias("_c")).select("_key", "_c.*")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` with repeated chunks taken from the text, and removed_chunks, removed_lines (long).
+    """The rows of ``docs`` with repeated chunks and runs taken from the text, and removed_chunks, removed_lines (long; all
+    lines that went, by a chunk or a run).
 
-    Shuffles: narrow chunk rows by hash, and the documents by row key to bring them their repeated chunks. No row holds
-    more than one document; a hash that a third of all documents share is one row after partial counts, and AQE splits
-    the join that brings it back.
+    Shuffles: narrow chunk and run rows by hash, and the documents by row key to bring them their repeated ones. No row
+    holds more than one document; a hash that a third of all documents share is one row after partial aggregates, and AQE
+    splits the join that brings it back.
     """
     base = docs.withColumn("_key", F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)))
     named = base.select("_key", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     refs = cut(references(named, **how), "line-refs")
-    first = refs.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_key", "idx")).alias("first")).where("n > 1")
-    hits = refs.join(first, "hash").select("_key", "hash", "idx", (F.struct("doc_id", "_key", "idx").eqNullSafe(F.col("first"))).alias("is_first"))
-    suspects = cut(hits.groupBy("_key").agg(F.collect_list(F.struct("idx", "hash", "is_first")).alias("_hits")), "line-hits")
-
-    parts = chunked(named.join(suspects, "_key"), **how).withColumn("_c", F.explode("_hits"))
-    parts = parts.select("_key", "_c.hash", "_c.idx", "_c.is_first", F.array_join(_slice("_lines", F.col("_c.idx")), "\n").alias("chunk"), F.size(_slice("_lines", F.col("_c.idx"))).alias("n_lines"))
-    words = F.regexp_count("chunk", F.lit(WORD))
-    parts = cut(parts.where(((F.col("n_lines") >= MIN_LINES) & (words >= MIN_WORDS)) | (words >= LONG_WORDS)).dropDuplicates(["_key", "idx"]), "line-parts")
-    kept = parts.where("is_first").select("hash", F.col("chunk").alias("_kept"))
-    gone = parts.where("NOT is_first").join(kept, "hash").where(F.col("chunk") == F.col("_kept"))
-    gone = gone.groupBy("_key").agg(F.collect_list("idx").alias("_gone"), F.sum("n_lines").alias("removed_lines"))
-
-    out = base.join(gone, "_key", "left")
+    # equal rows have equal keys and positions
+    again = refs.groupBy("hash").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("_key", "start")))
+    again = again.where("min__key <> max__key OR min_start <> max_start").select("hash")
+    suspects = cut(refs.join(again, "hash").groupBy("_key").agg(F.collect_set(F.struct("chunk", "start", "end")).alias("_hits")), "line-hits")
+
+    found = named.join(suspects, "_key").withColumn("_lines", F.split("text", "\n", -1))
+    digest = lambda h: F.unhex(F.sha2(F.concat(F.when(h["chunk"], "c").otherwise("r"), F.array_join(F.slice("_lines", h["start"], h["end"] - h["start"] + 1), "\n")), 256))
+    parts = found.select("doc_id", "_key", F.explode(F.transform("_hits", lambda h: F.struct(h["chunk"].alias("chunk"), h["start"].alias("start"), h["end"].alias("end"), digest(h).alias("digest")))).alias("_c"))
+    parts = cut(parts.select("_key", F.struct("doc_id", "_key", "_c.start", "_c.end").alias("place"), "_c.*"), "line-parts")
+    gone = parts.join(parts.groupBy("digest").agg(F.min("place").alias("first")), "digest").where(~F.col("place").eqNullSafe(F.col("first")))
+    after = F.when(F.col("first._key") == F.col("_key"), F.greatest("start", F.col("first.end") + 1)).otherwise(F.col("start"))
+    gone = gone.select("_key", "chunk", after.alias("start"), "end").where("start <= end")
+    gone = gone.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone"), F.count_distinct(F.when(F.col("chunk"), F.col("start"))).alias("removed_chunks"))
+
     # only documents that lose something are cut again; the others have null here and keep their text
-    out = _with_chunks(out.withColumn("_t", F.when(F.col("_gone").isNotNull(), F.col(text_col))), "_t", **how)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_ends") - 1), F.col("_gone"))
-    text = F.array_join(F.flatten(F.transform(stay, lambda j: _slice("_lines", j))), "\n")
+    out = base.join(gone, "_key", "left").withColumn("_l", F.split(F.when(F.col("_gone").isNotNull(), F.col(text_col)), "\n", -1))
+    # spans in order of their starts: what the one before has already is left out
+    rest = lambda x, i: F.greatest(x["start"], F.coalesce(F.get("_gone", i - 1)["end"] + 1, F.lit(1)))
+    numbers = F.flatten(F.transform("_gone", lambda x, i: F.when(rest(x, i) <= x["end"], F.sequence(rest(x, i), x["end"])).otherwise(F.array().cast("array<int>"))))
+    out = out.withColumn("_stay", F.array_except(F.sequence(F.lit(1), F.size("_l")), numbers))
+    text = F.array_join(F.transform("_stay", lambda i: F.get("_l", i - 1)), "\n")
     cols = [F.coalesce(text, F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select(*cols, count(F.size("_gone")).alias("removed_chunks"), count(F.col("removed_lines")).alias("removed_lines"))
+    return out.select(*cols, count(F.col("removed_chunks")).alias("removed_chunks"), count(F.size("_l") - F.size("_stay")).alias("removed_lines"))
 
 
 def op9_line_chunks(spark, sf_dir: str) -> DataFrame:

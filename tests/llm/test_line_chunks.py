@@ -64,3 +64,36 @@ def test_edge_cases(spark):
     assert L.dedup(df.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "a b\n" * 200_000), (2, "a b\n" * 200_000)], "doc_id long, text string")
     assert L.dedup(long).count() == 2
+
+
+def test_runs_over_50_words_go_whatever_stands_around_brute_force(spark):
+    """Against all pairs of lines, without the chunker: what a run of 50 words that an earlier place has covers, is gone."""
+    r = random.Random(7)
+    texts = [[line(r, r.choice([1, 3, 12, 20, 60])) for _ in range(r.randint(0, 4))] for _ in range(60)]
+    for lines in range(1, 7):
+        for words in (51, 60, 80):
+            cuts = sorted(r.sample(range(1, words), lines - 1))
+            passage = [line(r, b - a) for a, b in zip([0, *cuts], [*cuts, words])]
+            for i in r.sample(range(60), 3):
+                texts[i] += [*passage, *(line(r, r.choice([1, 12, 60])) for _ in range(r.randint(1, 3)))]
+    texts += [["", *texts[5][:3], " ", *texts[5][3:]], [line(r, 2)] * 90]
+    docs = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    n = [[len(x.split()) for x in t] for t in texts]
+    first, gone = {}, [set() for _ in texts]
+    for i, t in enumerate(texts):
+        for a in range(len(t)):
+            for z in range(a, len(t)):
+                if n[i][a] and n[i][z] and sum(n[i][a : z + 1]) >= 50:
+                    d, _, end = first.setdefault(tuple(t[a : z + 1]), (i, a, z))
+                    if (d, end) != (i, z):
+                        gone[i] |= set(range(a if d != i else max(a, end + 1), z + 1))
+    assert sum(map(len, gone)) > 100
+    got = {x["doc_id"]: x for x in L.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        left = got[i]["text"].split("\n")
+        if i < 60:  # lines differ here
+            assert not {t[k] for k in gone[i]} & set(left), i
+            # a chunk of fewer words can take more, but only what another text has
+            assert all(sum(x in u for u in texts) > 1 for x in set(t) - set(left) - {t[k] for k in gone[i]})
+        assert len(t) - got[i]["removed_lines"] <= len(t) - len(gone[i])
+    assert got[61]["removed_lines"] == 65 and got[61]["text"].count("\n") == 24  # the first 50 words of a text that repeats itself
