@@ -64,3 +64,28 @@ def test_keep_one_edges(spark):
     out = bag_minhash.keep_one(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, comp int"))
     assert Counter((x["doc_id"], x["text"]) for x in out.collect()) == Counter([(1, "a b c"), (3, None), (None, None), (4, ""), (6, "q"), (6, "z z z z z z")])
     assert bag_minhash.keep_one(out.where(F.lit(False))).count() == 0
+
+
+def test_lines_stage_takes_planted_passages(spark):
+    """Passages of 1 to 6 lines and 51 to 80 words in different surroundings: each stays in its first document alone."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    texts, planted = [[line(r.randint(1, 30)) for _ in range(r.randint(1, 4))] for _ in range(54)], []
+    for lines in range(1, 7):
+        for words in (51, 65, 80):
+            cuts = sorted(r.sample(range(1, words), lines - 1))
+            passage = [line(b - a) for a, b in zip([0, *cuts], [*cuts, words])]
+            at = sorted(r.sample(range(len(texts)), 3))
+            for i in at:
+                texts[i] += [*passage, line(r.randint(1, 30))]
+            planted.append((at, passage))
+    rows = [(i, "\n".join(t), "en", "s", len("\n".join(t))) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x for x in P.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), DATA).collect()}
+    left = {i: got[i]["text"].split("\n") for i in got}
+    for at, passage in planted:
+        assert set(passage) <= set(left[at[0]])
+        assert not any(set(passage) & set(left[i]) for i in at[1:])
+    of_passages = {x for _, p in planted for x in p}
+    assert all([x for x in t if x not in of_passages] == [x for x in left[i] if x not in of_passages] for i, t in enumerate(texts))
+    assert all(x["n_chars"] == len(x["text"]) for x in got.values())
