@@ -7,11 +7,18 @@ the token is smoothed from the longest context down: (count(context byte) + S *
 level q is put into a Bloom filter as (n-gram, 1) to (n-gram, q), and read back by probing 1, 2, ... until a probe fails.
 Quantised counts make the sums over all next bytes only nearly 1.
 
-The filter is a broadcast of at most MOST_BITS bits: it holds byte n-grams, whose number the alphabet bounds, and past
-that size no n-gram is left out but false positives become more frequent (``filter_load`` says how full it is).
-Token counts of the base score are exact and can't be broadcast. Texts are read in blocks of about BLOCK_BYTES; a block
-asks for the counts of its distinct tokens by 64-bit hash, ranges of hashes add up all blocks' counts and answer, and
-the answers meet the block's texts again. So a token that a third of all texts have is one number in each block.
+Context crosses the borders of tokens: p(token) = (count + W * p of its bytes) / (all tokens + W), and after the token
+before it, p = (count of the pair + W * p(token)) / (count of the one before + W), with W = WORD_SMOOTHING. The first token
+stands after an end. So unseen pairs fall back to the token and unseen tokens to their bytes.
+
+The filter of byte n-grams is a broadcast of at most MOST_BITS bits; past that size no n-gram is left out but false
+positives become more frequent (``filter_load`` says how full it is). Pairs of tokens grow with the corpus and are never
+broadcast: each range of their hashes has a filter part of its own of BITS_PER_ENTRY bits an entry, however many there
+are (``pair_entries`` and ``pair_bits`` say how many), so false positives stay at about (1 - exp(-PROBES /
+BITS_PER_ENTRY)) ** PROBES = 1.2 % a probed level.
+Token counts are exact. Texts are read in blocks of about BLOCK_BYTES; a block asks for the counts of its distinct tokens
+and pairs by 64-bit hash, ranges of hashes add up all blocks' counts and answer, and the answers meet the block's texts
+again. So a token that a third of all texts have is one number in each block.
 
 Nulls and empty texts are an end alone. A null id is not held out. Repeated rows count each and get equal scores. Empty
 tables give no rows; without training rows, all counts are 0.
@@ -31,6 +38,7 @@ from .shared import scratch, table
 
 ORDER = 5
 SMOOTHING = 4.0
+WORD_SMOOTHING = 100.0
 LOG_BASE = 1.4
 BITS_PER_ENTRY, PROBES, MOST_BITS = 10, 4, 1 << 29
 BLOCK_BYTES = 8_000_000
@@ -131,7 +139,11 @@ class Filter:
         self.ranges = len(parts)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of distinct keys, by probing one level after the other."""
+        """Quantised counts of distinct keys."""
+        return _VALUES[self.levels(keys)]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of distinct keys, by probing one level after the other."""
         part = range_of(keys, self.ranges)
         bits, start = self.bits[part], self.starts[part]
         q, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
@@ -141,7 +153,7 @@ class Filter:
                 left = left[self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
             q[left] = level
             level += 1
-        return _VALUES[q]
+        return q
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -184,30 +196,45 @@ def _distinct(texts: list[list[bytes]]) -> dict[bytes, int]:
     return out
 
 
+def _pairs(at: list[np.ndarray], n: int) -> np.ndarray:
+    """A code for each token of the texts after the one before it, ends included, in order; n is the number of distinct tokens."""
+    end = np.zeros(1, np.int64)
+    return np.concatenate([np.concatenate([end, x]) * n + np.concatenate([x, end]) for x in at]) if at else end[:0]
+
+
+def pair_keys(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """64-bit keys of pairs of tokens, from their words' hashes."""
+    return _mix(_mix(hashes[codes // len(hashes)] + _P) * _P + hashes[codes % len(hashes)])
+
+
 def _requests(tag: str, held: list[bool], texts: list[list[bytes]], ranges: int):
-    """Rows of one block: its distinct tokens' hashes and training counts by range, and the n-grams of its training tokens."""
+    """Rows of one block: its distinct tokens' and pairs' hashes and training counts by range, and the n-grams of its training tokens."""
     number = _distinct(texts)
     get = number.__getitem__
-    trained = [np.fromiter(map(get, words), np.int64, len(words)) for h, words in zip(held, texts) if not h]
+    at = [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
+    trained = [x for h, x in zip(held, at) if not h]
     counts = np.bincount(np.concatenate([*trained, np.zeros(len(trained), np.int64)]), minlength=len(number)) if trained else np.zeros(len(number), np.int64)
     listed = list(number)
-    keys, sums = summed(word_hashes(listed), counts)
+    hashes = word_hashes(listed)
+    keys, sums = summed(hashes, counts)
+    codes, n = summed(_pairs(at, len(listed)), np.repeat([not h for h in held], [len(x) + 1 for x in at]).astype(np.int64))
+    pairs, pair_sums = summed(pair_keys(codes, hashes), n)
     known = np.flatnonzero(counts)
     grams, gram_sums = gram_counts([listed[i] for i in known], counts[known])
-    for kind, k, c in ((1, keys, sums), (2, grams, gram_sums)):
+    for kind, k, c in ((1, keys, sums), (2, grams, gram_sums), (3, pairs, pair_sums)):
         edges = np.searchsorted(range_of(k, ranges), np.arange(ranges + 1))
         for r in range(ranges):
             a, z = edges[r], edges[r + 1]
             if z > a:
-                yield kind, tag, r, k[a:z].tobytes(), c[a:z].astype("<u8" if c[a:z].max() >> 32 else "<u4").tobytes()
+                yield kind, tag, r, k[a:z].tobytes(), c[a:z].astype("<u8" if (most := int(c[a:z].max())) >> 32 else "<u4" if most >> 8 else "<u1").tobytes()
 
 
 def _ints(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u8").astype(np.int64)
+    return np.frombuffer(raw, f"<u{len(raw) // max(1, n)}").astype(np.int64)
 
 
 def gather(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFrame:
-    """One pass over the texts, written: kind 0, the rows with their block's tag; kind 1 and 2, what the blocks count."""
+    """One pass over the texts, written: kind 0, the rows with their block's tag; kinds 1 to 3, what the blocks count."""
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     schema = f"kind int, block string, part int, keys binary, counts binary, doc_id {id_type}, held_out boolean, text string"
 
@@ -265,6 +292,21 @@ def _answers(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["block", "part", "totals", "n", "v"])
 
 
+def _pair_answers(group: pa.Table) -> pa.Table:
+    """Of one range of pairs: each block's levels in its keys' order, read from the range's filter, and a row with its entries and bits."""
+    rows = list(zip(*(group.column(c).to_pylist() for c in ("block", "part", "keys", "counts"))))
+    keys = [np.frombuffer(k, "<u8") for _, _, k, _ in rows]
+    totals, sums = summed(np.concatenate(keys), np.concatenate([_ints(c, len(k)) for k, (_, _, _, c) in zip(keys, rows)]))
+    known = sums > 0
+    entries = int(levels(sums[known]).sum())
+    bits = max(8, entries * BITS_PER_ENTRY // 8 * 8)
+    found = Filter([filter_part(totals[known], sums[known], bits)]).levels(totals).astype("<u1")
+    out = [(b, p, found[np.searchsorted(totals, k)].tobytes(), None, None) for k, (b, p, _, _) in zip(keys, rows)]
+    out.append((None, rows[0][1], None, entries, bits))
+    kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["block", "part", "totals", "entries", "bits"])
+
+
 def _merged(group: pa.Table) -> pa.Table:
     """N-gram counts of one range, added up, and how many entries they are in the filter."""
     keys = [np.frombuffer(k, "<u8") for k in group.column("keys").to_pylist()]
@@ -285,6 +327,11 @@ class Model:
         self.answers = cut(asked.groupBy("part").applyInArrow(_answers, "block string, part int, totals binary, n long, v long"), "lm-answers")
         total = self.answers.where("block IS NULL").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
         self.n, self.v = int(total["n"] or 0), int(total["v"] or 0)
+        pairs = self.rows.where("kind = 3").select("block", "part", "keys", "counts")
+        self.pairs = cut(pairs.groupBy("part").applyInArrow(_pair_answers, "block string, part int, totals binary, entries long, bits long"), "lm-pairs")
+        total = self.pairs.where("block IS NULL").agg(F.sum("entries").alias("entries"), F.sum("bits").alias("bits")).first()
+        #: Entries and bits of the filter of pairs, whose parts never leave their ranges.
+        self.pair_entries, self.pair_bits = int(total["entries"] or 0), int(total["bits"] or 0)
         grams = cut(self.rows.where("kind = 2").select("part", "keys", "counts").groupBy("part").applyInArrow(_merged, "part int, keys binary, counts binary, entries long"), "lm-grams")
         entries = int(grams.agg(F.sum("entries")).first()[0] or 0)
         #: Bits for each entry; BITS_PER_ENTRY unless MOST_BITS bounds the filter.
@@ -313,22 +360,31 @@ class Model:
             listed = list(number)
             hashes = word_hashes(listed)
             keys = np.unique(hashes)
-            totals = np.zeros(len(keys), np.int64)
-            edges = np.searchsorted(range_of(keys, ranges), np.arange(ranges + 1))
-            for part, raw in zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist()):
-                totals[edges[part] : edges[part + 1]] = np.frombuffer(raw, "<u8")
+            get = number.__getitem__
+            ats = [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
+            codes, back = np.unique(_pairs(ats, len(listed)), return_inverse=True)
+            by_code = pair_keys(codes, hashes)
+            pairs = np.unique(by_code)
+            totals, found = np.zeros(len(keys), np.int64), np.zeros(len(pairs), np.int64)
+            for kind, asked, into, width in ((1, keys, totals, "<u8"), (3, pairs, found, "<u1")):
+                edges = np.searchsorted(range_of(asked, ranges), np.arange(ranges + 1))
+                for k, part, raw in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "totals"))):
+                    if k == kind:
+                        into[edges[part] : edges[part + 1]] = np.frombuffer(raw, width)
             counts = totals[np.searchsorted(keys, hashes)]
             base = np.log10(counts + 0.5)
-            model = token_scores(listed, _filter(bloom_parts))
-            get, out = number.__getitem__, []
-            for words in texts:
-                at = np.fromiter(map(get, words), np.int64, len(words))
-                out.append((len(words) + 1, int(np.count_nonzero(counts[at])) + int(counts[0] > 0), float(base[at].sum() + base[0] - (len(words) + 1) * divisor), float(model[at].sum() + model[0])))
+            p = (counts + WORD_SMOOTHING * 10 ** token_scores(listed, _filter(bloom_parts))) / (n + WORD_SMOOTHING)
+            before, both = counts[codes // len(listed)], _VALUES[found[np.searchsorted(pairs, by_code)]]
+            scores = np.log10((np.minimum(both, before) + WORD_SMOOTHING * p[codes % len(listed)]) / (before + WORD_SMOOTHING))[back]
+            sums = np.add.reduceat(scores, np.cumsum([0, *(len(x) + 1 for x in ats[:-1])]))
+            out = []
+            for at, score in zip(ats, sums):
+                out.append((len(at) + 1, int(np.count_nonzero(counts[at])) + int(counts[0] > 0), float(base[at].sum() + base[0] - (len(at) + 1) * divisor), float(score)))
             columns = [docs.column("doc_id"), docs.column("held_out"), *(pa.array([x[i] for x in out], t) for i, t in ((0, pa.int64()), (1, pa.int64()))), pa.array([n] * len(out), pa.int64()), *(pa.array([x[i] for x in out], pa.float64()) for i in (2, 3))]
             return pa.Table.from_arrays(columns, names=names)
 
         docs = self.rows.where("kind = 0").select("block", "doc_id", "held_out", "text")
-        answers = self.answers.where("block IS NOT NULL").select("block", "part", "totals")
+        answers = self.answers.select(F.lit(1).alias("kind"), "block", "part", "totals").unionByName(self.pairs.select(F.lit(3).alias("kind"), "block", "part", "totals")).where("block IS NOT NULL")
         id_type = docs.schema["doc_id"].dataType.simpleString()
         return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -85,3 +85,28 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = L.Model(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).score().first()
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (True, 3, 0, 0, 0.0)
+
+
+def test_order_of_words_counts(spark):
+    """Fluent held-out texts score better than their own words shuffled, which a sum of single words' scores can't tell."""
+    r = random.Random(3)
+    follows = {f"w{i}": [f"w{r.randrange(60)}" for _ in range(3)] for i in range(60)}
+
+    def fluent(n=60):
+        out = ["w0"]
+        while len(out) < n:
+            out.append(r.choice(follows[out[-1]]))
+        return out
+
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rest = [i for i in range(2000) if i not in set(held)]
+    rows = [(i, " ".join(fluent())) for i in rest[:300]]
+    for a, b in zip(held[:40:2], held[1:40:2]):
+        words = fluent()
+        rows += [(a, " ".join(words)), (b, " ".join(r.sample(words, len(words))))]
+    model = L.Model(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = {x["doc_id"]: x for x in model.score().collect()}
+    for a, b in zip(held[:40:2], held[1:40:2]):
+        assert math.isclose(out[a]["base_score"], out[b]["base_score"])
+        assert out[a]["score"] > out[b]["score"] + 10
+    assert model.pair_bits >= 9 * model.pair_entries > 0
