@@ -149,3 +149,13 @@ def test_queries_like_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_rescan_runs_all_built_in_detectors(spark, tmp_path):
+    from maskwright.plans import catalogue
+
+    left = "db = postgres://bob:hunter2@db.host/x\n" + "ey" + "a" * 20 + "." + "b" * 20 + "." + "c" * 20 + "\npassword = hunter2hunter\n-----BEGIN PRIVATE KEY-----\n"
+    docs = spark.createDataFrame([(1, left, "en", "s", len(left))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["detector_id"] for r in catalogue.queries()["rescan_residual"](spark, str(tmp_path)).collect()}
+    assert {"connection_string", "jwt", "password_assignment", "private_key_header"} <= got
