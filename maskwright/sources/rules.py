@@ -68,9 +68,15 @@ def longest_extension(path: Column, extensions: list[str]) -> Column:
     return out
 
 
-def chunked_detections(docs: DataFrame, detectors: list[D.Detector], core: int, overlap: int = 700) -> DataFrame:
+def chunked_detections(docs: DataFrame, detectors: list[D.Detector], core: int, overlap: int | None = None) -> DataFrame:
     """Detections of long texts window by window: no task holds more of a text than a window, and each hit belongs to the
-    window in whose core it starts. ``overlap`` must exceed the longest match and its surroundings."""
+    window in whose core it starts. ``overlap`` is the longest match, 100 characters around it and one by default, and less is
+    an error. A run of characters that is longer than this and that a detector cuts into several matches can be cut elsewhere
+    than in the whole text."""
+    least = max((d.max_match_length for d in detectors), default=0) + 101
+    overlap = least if overlap is None else overlap
+    if overlap < least:
+        raise ValueError(f"these detectors need an overlap of {least} or more")
     core = max(core, overlap)
     n = F.length("text")
     at = F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(core))).alias("_own")

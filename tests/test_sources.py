@@ -123,3 +123,19 @@ def test_stream(spark, tmp_path):
     V.findings_sink(spark, str(src), str(out), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
     got = spark.read.parquet(str(out)).collect()
     assert [(r["path"], r["detector_id"], r["tier"]) for r in got] == [("p", "us_ssn", "A")]
+
+
+def test_windows_overlap_by_the_longest_match(spark):
+    import pytest
+
+    from maskwright.operators import detectors as D
+    from maskwright.sources import rules
+
+    jwt = next(d for d in D.BUILT_IN if d.id == "jwt")
+    token = "ey" + "a" * 1500 + "." + "b" * 1500 + "." + "c" * 1500
+    docs = spark.createDataFrame([("p", "x " * 11_000 + token + " x" * 20_000)], "path string, text string")
+    spans = lambda df: df.select("start", "end", "value", "confidence").collect()
+    whole = spans(D.detect(docs, [jwt]))
+    assert len(whole) == 1 and spans(rules.chunked_detections(docs, [jwt], core=23_000)) == whole
+    with pytest.raises(ValueError, match="24682"):
+        rules.chunked_detections(docs, [jwt], core=23_000, overlap=700)
