@@ -41,7 +41,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     detectors = D.checked([*D.BUILT_IN, *(D.load_yaml(a.detectors) if a.detectors else [])]) + [D.literal_target(i, t) for i, t in enumerate(a.target)]
     rules = R.parse_rules(open(a.ignore_file, encoding="utf-8").read()) if a.ignore_file else []
     docs, skipped = S.load(spark, a.paths, rules=rules, include=a.include, exclude=a.exclude, directories=(*S.IGNORED_DIRECTORIES, *a.ignore_dir), most=a.max_size)
-    found = D.detect(docs, detectors, tuple(a.category), a.threshold, can_anonymize=F.col("format").isin("text", "docx", "xlsx", "pptx", "odt", "ods", "odp"))
+    found = D.detect(docs, detectors, tuple(a.category), a.threshold, can_anonymize=F.col("format") == "text")
     found = G.visible(G.consolidate(found))
     if a.json:
         for r in P.json_rows(G.canonical_order(found)).toLocalIterator():

@@ -13,3 +13,17 @@ def test_scan(spark, tmp_path, capsys):
     assert '"skipped": 1' in out.err
     assert cli.main(["scan", f"file://{tmp_path}", "--target", "AND"], spark) == 0
     assert "user\\_target\\_0" in capsys.readouterr().out
+
+
+def test_office_findings_are_read_only(spark, tmp_path, capsys):
+    """No code rewrites these files."""
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>ssn 123-45-6789</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "b.txt").write_text("ssn 123-45-6789")
+    assert cli.main(["scan", f"file://{tmp_path}", "--json"], spark) == 0
+    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    got = {r["path"].rsplit(".", 1)[-1]: (r["can_anonymize"], r["suggested_action"]) for r in rows}
+    assert got == {"docx": (False, "review"), "txt": (True, "anonymize")}
