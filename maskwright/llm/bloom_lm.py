@@ -1,402 +1,340 @@
-"""LM scoring from a log-frequency Bloom filter of n-gram counts.
-
-Tokens are the words of a text with A-Z lower-cased and one end. The model spells tokens: ``^`` before a word, its bytes,
-a space after it; the end is a zero byte after ``^``. The probability of each byte given up to ORDER - 1 bytes before it in
-the token is smoothed from the longest context down: (count(context byte) + S * p of the shorter context) / (count(context)
-+ S), below all a uniform 1/257. Counts are those of all training tokens, quantised to powers of LOG_BASE: an n-gram of
-level q is put into a Bloom filter as (n-gram, 1) to (n-gram, q), and read back by probing 1, 2, ... until a probe fails.
-Quantised counts make the sums over all next bytes only nearly 1.
-
-Context crosses the borders of tokens: p(token) = (count + W * p of its bytes) / (all tokens + W), and after the token
-before it, p = (count of the pair + W * p(token)) / (count of the one before + W), with W = WORD_SMOOTHING. The first token
-stands after an end. So unseen pairs fall back to the token and unseen tokens to their bytes.
-
-The filter of byte n-grams is a broadcast of at most MOST_BITS bits; past that size no n-gram is left out but false
-positives become more frequent (``filter_load`` says how full it is). Pairs of tokens grow with the corpus and are never
-broadcast: each range of their hashes has a filter part of its own of BITS_PER_ENTRY bits an entry, however many there
-are (``pair_entries`` and ``pair_bits`` say how many), so false positives stay at about (1 - exp(-PROBES /
-BITS_PER_ENTRY)) ** PROBES = 1.2 % a probed level.
-Token counts are exact. Texts are read in blocks of about BLOCK_BYTES; a block asks for the counts of its distinct tokens
-and pairs by 64-bit hash, ranges of hashes add up all blocks' counts and answer, and the answers meet the block's texts
-again. So a token that a third of all texts have is one number in each block.
-
-Nulls and empty texts are an end alone. A null id is not held out. Repeated rows count each and get equal scores. Empty
-tables give no rows; without training rows, all counts are 0.
+"""LM scoring from a log-frequency Bloom filter of word n-gram counts.
+
+Tokens are the words of a text with A-Z lower-cased and one end. A text is read after an end, and every run of 2 to ORDER
+tokens in it is an n-gram, across all borders of words. Counts are those of the training texts, quantised to powers of
+LOG_BASE: an n-gram of level q is put into a Bloom filter as (n-gram, 1) to (n-gram, q), and read back by probing 1, 2, ...
+until a probe fails. Probabilities are smoothed from the token up:
+
+    p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))            exact counts; all unseen words share the last 0.5
+    p(w | h) = (c(h w) + W * p(w | h less its first)) / (c(h) + W)       c(h w) and c(h) as probed, W = WORD_SMOOTHING
+
+Quantised counts make the sums over all next words only nearly 1.
+
+The filter grows with the corpus, so no size of it could be promised to a broadcast: it stays in ranges of the n-grams'
+hashes, whose number grows with the documents, each range with a filter part of BITS_PER_ENTRY bits an entry, however
+many there are (``entries`` and ``bits`` say how many). Probes come to the parts instead: texts are read once, in blocks
+of about BLOCK_BYTES, and written as numbers of each block's distinct words; a block sends each range its distinct n-grams
+with their training counts, the range adds up all blocks' counts, makes its part of the filter and sends each block the
+levels that it reads there. So an n-gram that a third of all texts have is one number in each block. False positives
+are about (1 - exp(-PROBES / BITS_PER_ENTRY)) ** PROBES = 1.2 % for a probed level, at every size.
+
+Token counts go the same way but are exact: the words themselves are added up, not hashes of them. In a range n-grams are
+told apart by KEY_BITS bits of a hash over BLAKE2b digests of their words; as a range holds some millions at any size,
+one in about 10^5 meets another, far below the filter's own rate.
+
+Nulls and empty texts are an end alone. A null id is not held out. Repeated rows count each and get equal scores. A very
+long text is a block of its own. Extra columns play no part, whatever their names. Empty tables give no rows; without
+training rows, all counts are 0.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bag_minhash import _BYTES, _mix, _within
-from .shared import scratch, table
+from .bag_minhash import _mix
+from .shared import cut, table
 
-ORDER = 5
-SMOOTHING = 4.0
-WORD_SMOOTHING = 100.0
-LOG_BASE = 1.4
-BITS_PER_ENTRY, PROBES, MOST_BITS = 10, 4, 1 << 29
+ORDER = 3
+WORD_SMOOTHING = 20.0
+LOG_BASE = 1.5
+BITS_PER_ENTRY, PROBES = 10, 4
 BLOCK_BYTES = 8_000_000
-#: Documents for each range of hashes; at least and most so many ranges.
-RANGE_DOCS, LEAST_RANGES, MOST_RANGES = 8192, 24, 4096
-#: Words whose n-grams are worked on at a time.
-WORDS_AT_ONCE = 60_000
+#: Documents for each range of hashes, and the least number of ranges.
+RANGE_DOCS, LEAST_RANGES = 4096, 24
+#: Bits of an n-gram's hash besides its range.
+KEY_BITS = 40
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_START, _STOP, _END = 0x5E, 0x20, 0x00  # ^, space, zero byte
+_LOW = np.uint64((1 << KEY_BITS) - 1)
 
 
 # ---- words and n-grams
 
 def tokens(text: str | None) -> list[bytes]:
+    """The words with A-Z lower-cased; the end, which every text has, is left to the callers as the empty word."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, position in the token, token number) of ^word_ for each word; the empty word is the end."""
-    lengths = np.array([len(w) + 2 for w in words], np.int64)
-    sym = np.frombuffer(b"".join([b"^" + (w + b" " if w else b"\x00") for w in words]), np.uint8)
-    return sym, _within(lengths), np.repeat(np.arange(len(words)), lengths)
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    sym, at, owner = spelled(words)
-    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(int(at.max(initial=0)), 1), _P)]), dtype=np.uint64)
-    # a marked start before each word keeps ^ in a word from being taken for it
-    terms = _BYTES[sym] * powers[at]
-    return _mix(np.add.reduceat(terms, np.flatnonzero(at == 0)) if len(sym) else np.zeros(0, np.uint64))
-
-
-def gram_keys(sym: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """For each order, the key of the n-gram that ends at each symbol; 0 where the token has no such n-gram."""
-    out, h = [], np.zeros(len(sym), np.uint64)
-    code = _BYTES[sym] + np.where(at == 0, np.uint64(0x1234567), np.uint64(0))
-    for k in range(1, ORDER + 1):
-        h = (np.concatenate([np.zeros(1, np.uint64), h[:-1]]) * _P if k > 1 else np.uint64(0)) + code
-        out.append(np.where(at >= k - 1, _mix(h + np.uint64(k)) | np.uint64(1), np.uint64(0)))
-    return out
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in ascending order and the sums of their counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts, at)
-
-
-def gram_counts(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = []
-    for s in range(0, len(words), WORDS_AT_ONCE):
-        sym, at, owner = spelled(words[s : s + WORDS_AT_ONCE])
-        each = counts[s : s + WORDS_AT_ONCE][owner]
-        for keys in gram_keys(sym, at):
-            real = keys != 0
-            parts.append(summed(keys[real], each[real]))
-    return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    """64 bits of each word's BLAKE2b digest."""
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), "<u8")
 
 
-# ---- the filter
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return ((keys >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(counts) / np.log(LOG_BASE) + 1e-9).astype(np.int64)
 
+def sequence(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, place in the text, text) of the tokens of all texts, each with an end before and after it."""
+    sizes = lengths + 2
+    owner = np.repeat(np.arange(len(lengths)), sizes)
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.full(len(owner), end, np.int64)
+    out[(place > 0) & (place <= lengths[owner])] = ids
+    return out, place, owner
 
-_VALUES = np.concatenate([[0.0, 1.0], LOG_BASE ** np.arange(1, 200) * (1 + LOG_BASE) / 2])
 
+def gram_keys(hashes: np.ndarray, place: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order from 2: where its n-grams end, and their keys, which are the range and KEY_BITS more bits."""
+    h = hashes
+    for order in range(2, ORDER + 1):
+        h = np.concatenate([np.zeros(1, np.uint64), _mix(h[:-1] * _P + hashes[1:] + np.uint64(order))])
+        at = np.flatnonzero(place >= order - 1)
+        yield order, at, range_of(h[at], ranges).astype(np.uint64) << np.uint64(KEY_BITS) | (_mix(h[at]) & _LOW)
 
-def _probe(keys: np.ndarray, level, bits: int, k: int) -> np.ndarray:
-    h = _mix(keys + np.asarray(level).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return ((h >> np.uint64(32)) * np.uint64(2 * k + 1) + (h & np.uint64(0xFFFFFFFF))) % np.uint64(bits)
 
+# ---- the filter
 
-def filter_part(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    """The bits that the n-grams of one range of keys set, packed."""
-    out = np.zeros(bits, bool)
-    q = levels(counts)
-    for level in range(1, int(q.max(initial=0)) + 1):
-        some = keys[q >= level]
-        for k in range(PROBES):
-            out[_probe(some, level, bits, k).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little").tobytes()
+def levels(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(counts) / np.log(LOG_BASE) + 1e-9).astype(np.int64)
 
 
-class Filter:
-    """Parts by range of keys, each with bits of its own."""
+#: The count that a level stands for.
+_VALUES = np.concatenate([[0.0, 1.0], LOG_BASE ** np.arange(1, 120) * (1 + LOG_BASE) / 2])
 
-    def __init__(self, parts: list[bytes]):
-        self.bits = np.array([max(1, len(p)) * 8 for p in parts], np.uint64)
-        self.starts = np.concatenate([[0], np.cumsum(self.bits)[:-1]]).astype(np.int64)
-        self.data = np.frombuffer(b"".join(p or b"\x00" for p in parts), np.uint8)
-        self.ranges = len(parts)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of distinct keys."""
-        return _VALUES[self.levels(keys)]
+class Filter:
+    """The log-frequency filter of one range of n-grams: distinct keys and their counts (at least 1)."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        q = levels(counts)
+        self.entries = int(q.sum())
+        self.bits = max(64, self.entries * BITS_PER_ENTRY)
+        self.set = np.zeros(self.bits, bool)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            for at in self._places(keys[q >= level], level):
+                self.set[at] = True
+
+    def _places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        h = _mix(keys + np.uint64(level * int(_P) & (1 << 64) - 1))
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        for k in range(PROBES):
+            yield ((h + np.uint64(k) * step & np.uint64(0xFFFFFFFF)) * np.uint64(self.bits) >> np.uint64(32)).astype(np.int64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of distinct keys, by probing one level after the other."""
-        part = range_of(keys, self.ranges)
-        bits, start = self.bits[part], self.starts[part]
+        """Levels of keys, by probing one level after the other."""
         q, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(left) and level < 190:
-            for k in range(PROBES):
-                at = start[left] + _probe(keys[left], level, bits[left], k).astype(np.int64)
-                left = left[self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+        while len(left) and level < len(_VALUES):
+            hit = np.ones(len(left), bool)
+            for at in self._places(keys[left], level):
+                hit &= self.set[at]
+            left = left[hit]
             q[left] = level
             level += 1
         return q
 
 
-def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-
-def token_scores(words: list[bytes], bloom: Filter) -> np.ndarray:
-    """log10 probability of each token by the model."""
-    out = np.zeros(len(words))
-    for s in range(0, len(words), WORDS_AT_ONCE):
-        sym, at, owner = spelled(words[s : s + WORDS_AT_ONCE])
-        counts = []
-        for keys in gram_keys(sym, at):
-            distinct, back = np.unique(keys, return_inverse=True)
-            found = bloom.counts(distinct)
-            found[distinct == 0] = 0
-            counts.append(found[back])
-        p = np.full(len(sym), 1 / 257)
-        for k in range(2, ORDER + 1):
-            context = np.concatenate([[0.0], counts[k - 2][:-1]])
-            ok = (at >= k - 1) & (context > 0)
-            p = np.where(ok, np.minimum(1.0, (np.minimum(counts[k - 1], context) + SMOOTHING * p) / (context + SMOOTHING)), p)
-        out[s : s + WORDS_AT_ONCE] = np.bincount(owner, np.where(at > 0, np.log10(p), 0.0), len(words[s : s + WORDS_AT_ONCE]))
-    return out
+# ---- packed columns
 
+def _pack(x: np.ndarray) -> bytes:
+    """Non-negative integers, byte plane by byte plane, compressed."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return b"".join([bytes([width]), len(x).to_bytes(8, "little"), pa.compress(planes, codec="zstd", asbytes=True)])
 
-# ---- data frames
-
-def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 1):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
+def _unpack(raw: bytes) -> np.ndarray:
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(raw[9:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
 
-def _distinct(texts: list[list[bytes]]) -> dict[bytes, int]:
-    """Numbers of the distinct words; the end is the empty word, number 0."""
-    out: dict[bytes, int] = {b"": 0}
-    for words in texts:
-        for w in words:
-            if w not in out:
-                out[w] = len(out)
-    return out
 
+def _pack_words(words: list[bytes]) -> bytes:
+    """Words hold no space, so one between them parts them again."""
+    raw = b" ".join(words)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-def _pairs(at: list[np.ndarray], n: int) -> np.ndarray:
-    """A code for each token of the texts after the one before it, ends included, in order; n is the number of distinct tokens."""
-    end = np.zeros(1, np.int64)
-    return np.concatenate([np.concatenate([end, x]) * n + np.concatenate([x, end]) for x in at]) if at else end[:0]
 
+def _unpack_words(raw: bytes) -> list[bytes]:
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True).split(b" ")
 
-def pair_keys(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """64-bit keys of pairs of tokens, from their words' hashes."""
-    return _mix(_mix(hashes[codes // len(hashes)] + _P) * _P + hashes[codes % len(hashes)])
 
+# ---- data frames
 
-def _requests(tag: str, held: list[bool], texts: list[list[bytes]], ranges: int):
-    """Rows of one block: its distinct tokens' and pairs' hashes and training counts by range, and the n-grams of its training tokens."""
-    number = _distinct(texts)
-    get = number.__getitem__
-    at = [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
-    trained = [x for h, x in zip(held, at) if not h]
-    counts = np.bincount(np.concatenate([*trained, np.zeros(len(trained), np.int64)]), minlength=len(number)) if trained else np.zeros(len(number), np.int64)
-    listed = list(number)
-    hashes = word_hashes(listed)
-    keys, sums = summed(hashes, counts)
-    codes, n = summed(_pairs(at, len(listed)), np.repeat([not h for h in held], [len(x) + 1 for x in at]).astype(np.int64))
-    pairs, pair_sums = summed(pair_keys(codes, hashes), n)
-    known = np.flatnonzero(counts)
-    grams, gram_sums = gram_counts([listed[i] for i in known], counts[known])
-    for kind, k, c in ((1, keys, sums), (2, grams, gram_sums), (3, pairs, pair_sums)):
-        edges = np.searchsorted(range_of(k, ranges), np.arange(ranges + 1))
-        for r in range(ranges):
-            a, z = edges[r], edges[r + 1]
-            if z > a:
-                yield kind, tag, r, k[a:z].tobytes(), c[a:z].astype("<u8" if (most := int(c[a:z].max())) >> 32 else "<u4" if most >> 8 else "<u1").tobytes()
+def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 1):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
-def _ints(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // max(1, n)}").astype(np.int64)
+def blocks(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFrame:
+    """One pass over the texts, written: a row for each block, with its rows' ids and flags, its distinct words in the
+    order of their ranges, and its texts as numbers of these words."""
+    id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
+    def block(rows: pa.Table) -> list[bytes]:
+        texts = [tokens(t) for t in rows.column(2).to_pylist()]
+        words = [b"", *dict.fromkeys(chain.from_iterable(texts))]
+        order = np.argsort(range_of(word_hashes(words), ranges), kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        number = dict(zip(words, rank.tolist()))
+        lengths = np.array([len(x) for x in texts], np.int64)
+        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
+        held = rows.column(1).to_numpy().astype(np.int64)
+        return [_pack(held), _pack(lengths), _pack_words([words[i] for i in order]), _pack(ids)]
 
-def gather(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFrame:
-    """One pass over the texts, written: kind 0, the rows with their block's tag; kinds 1 to 3, what the blocks count."""
-    id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    schema = f"kind int, block string, part int, keys binary, counts binary, doc_id {id_type}, held_out boolean, text string"
+    names = ["block", "doc_ids", "held", "lengths", "words", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         own = uuid.uuid4().hex  # a task that runs again makes blocks of its own; only one attempt's rows are kept
         waiting: list[pa.RecordBatch] = []
         size = made = 0
 
-        def block(rows: pa.Table):
+        def packed() -> pa.RecordBatch:
             nonlocal made
-            tag = f"{own}-{made}"
+            rows = pa.Table.from_batches(waiting)
+            waiting.clear()
             made += 1
-            n = rows.num_rows
-            null = lambda t, m: pa.nulls(m, t)
             ids = rows.column(0).combine_chunks()
-            for part in pa.Table.from_arrays([pa.array([0] * n, pa.int32()), pa.array([tag] * n), null(pa.int32(), n), null(pa.binary(), n), null(pa.binary(), n), ids, rows.column(1), rows.column(2)], names=names).to_batches(max_chunksize=2000):
-                yield part
-            asked = list(_requests(tag, rows.column(1).to_pylist(), [tokens(t) for t in rows.column(2).to_pylist()], ranges))
-            m = len(asked)
-            kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in asked], t) for i, t in enumerate(kinds)), null(ids.type, m), null(pa.bool_(), m), null(pa.string(), m)], names)
-
-        names = ["kind", "block", "part", "keys", "counts", "doc_id", "held_out", "text"]
+            ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+            offsets = pa.array([0, rows.num_rows], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([f"{own}-{made}"]), pa.ListArray.from_arrays(offsets, ids), *(pa.array([x], pa.binary()) for x in block(rows))], names)
+
         for b in batches:
-            texts = b.column(2)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             start = 0
-            for i in range(b.num_rows):
-                size += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-                if size >= BLOCK_BYTES:
-                    waiting.append(b.slice(start, i + 1 - start))
-                    yield from block(pa.Table.from_batches(waiting))
-                    waiting, size, start = [], 0, i + 1
-            if start < b.num_rows:
-                waiting.append(b.slice(start))
+            while start < b.num_rows:
+                before = int(ends[start - 1]) if start else 0
+                end = int(np.searchsorted(ends, BLOCK_BYTES - size + before)) + 1
+                waiting.append(b.slice(start, end - start))
+                if end > b.num_rows:
+                    size += int(ends[-1]) - before
+                    break
+                yield packed()
+                size, start = 0, end
         if waiting:
-            yield from block(pa.Table.from_batches(waiting))
+            yield packed()
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    return cut(rows.mapInArrow(run, f"block string, doc_ids array<{id_type}>, held binary, lengths binary, words binary, ids binary"), "lm-blocks")
+
 
-    spark = docs.sparkSession
-    path = scratch(spark, "lm-blocks")
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    rows.write.partitionBy("kind").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+class _Texts:
+    """A block's texts, unpacked."""
+
+    def __init__(self, held: bytes, lengths: bytes, words: bytes, ids: bytes):
+        self.held, self.lengths = _unpack(held).astype(bool), _unpack(lengths).astype(np.int64)
+        self.words = _unpack_words(words)
+        self.hashes = word_hashes(self.words)
+        self.end = self.words.index(b"")
+        self.seq, self.place, self.owner = sequence(_unpack(ids).astype(np.int64), self.lengths, self.end)
+
+    def grams(self, ranges: int):
+        return gram_keys(self.hashes[self.seq], self.place, ranges)
+
+
+def _requests(rows: DataFrame, ranges: int) -> DataFrame:
+    """What the blocks send to the ranges: order 1, words; from order 2, keys of n-grams; each with training counts."""
+    low = np.uint64(KEY_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for tag, *packed in zip(*(c.to_pylist() for c in b.columns)):
+                x = _Texts(*packed)
+                own = ~x.held[x.owner]
+                counts = np.bincount(x.seq[own & (x.place > 0)], minlength=len(x.words))
+                out = []
+                edges = np.searchsorted(range_of(x.hashes, ranges), np.arange(ranges + 1))
+                for r, (a, z) in enumerate(zip(edges, edges[1:])):
+                    if z > a:
+                        out.append((1, r, tag, _pack_words(x.words[a:z]), _pack(counts[a:z])))
+                for order, at, keys in x.grams(ranges):
+                    keys, back = np.unique(keys, return_inverse=True)
+                    counts = np.bincount(back, own[at], len(keys)).astype(np.int64)
+                    edges = np.searchsorted(keys >> low, np.arange(ranges + 1, dtype=np.uint64))
+                    for r, (a, z) in enumerate(zip(edges, edges[1:])):
+                        if z > a:
+                            out.append((order, r, tag, _pack(keys[a:z] & _LOW), _pack(counts[a:z])))
+                kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([y[i] for y in out], t) for i, t in enumerate(kinds)], ["ord", "part", "block", "keys", "counts"])
+
+    return rows.select("block", "held", "lengths", "words", "ids").mapInArrow(run, "ord int, part int, block string, keys binary, counts binary")
+
+
+_ANSWER = "ord int, part int, block string, found binary, n long, v long"
 
 
 def _answers(group: pa.Table) -> pa.Table:
-    """Of one range of word hashes: each block's totals in its keys' order, and a row with N and V of the range."""
-    rows = list(zip(*(group.column(c).to_pylist() for c in ("block", "part", "keys", "counts"))))
-    keys = [np.frombuffer(k, "<u8") for _, _, k, _ in rows]
-    totals, sums = summed(np.concatenate(keys), np.concatenate([_ints(c, len(k)) for k, (_, _, _, c) in zip(keys, rows)]))
-    out = [(b, p, sums[np.searchsorted(totals, k)].astype("<u8").tobytes(), None, None) for k, (b, p, _, _) in zip(keys, rows)]
-    out.append((None, rows[0][1], None, int(sums.sum()), int(np.count_nonzero(sums))))
-    kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["block", "part", "totals", "n", "v"])
-
-
-def _pair_answers(group: pa.Table) -> pa.Table:
-    """Of one range of pairs: each block's levels in its keys' order, read from the range's filter, and a row with its entries and bits."""
-    rows = list(zip(*(group.column(c).to_pylist() for c in ("block", "part", "keys", "counts"))))
-    keys = [np.frombuffer(k, "<u8") for _, _, k, _ in rows]
-    totals, sums = summed(np.concatenate(keys), np.concatenate([_ints(c, len(k)) for k, (_, _, _, c) in zip(keys, rows)]))
-    known = sums > 0
-    entries = int(levels(sums[known]).sum())
-    bits = max(8, entries * BITS_PER_ENTRY // 8 * 8)
-    found = Filter([filter_part(totals[known], sums[known], bits)]).levels(totals).astype("<u1")
-    out = [(b, p, found[np.searchsorted(totals, k)].tobytes(), None, None) for k, (b, p, _, _) in zip(keys, rows)]
-    out.append((None, rows[0][1], None, entries, bits))
-    kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["block", "part", "totals", "entries", "bits"])
-
-
-def _merged(group: pa.Table) -> pa.Table:
-    """N-gram counts of one range, added up, and how many entries they are in the filter."""
-    keys = [np.frombuffer(k, "<u8") for k in group.column("keys").to_pylist()]
-    k, c = summed(np.concatenate(keys), np.concatenate([_ints(x, len(y)) for y, x in zip(keys, group.column("counts").to_pylist())]))
-    return pa.Table.from_arrays([pa.array([group.column("part")[0].as_py()], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype("<u8").tobytes()], pa.binary()), pa.array([int(levels(c).sum())], pa.int64())], names=["part", "keys", "counts", "entries"])
+    """Of one range: for each block what was found of its keys, in their order (words: counts; n-grams: levels), and a row
+    with sums (words: all counts, distinct words in training; n-grams: the filter's entries and bits)."""
+    order, part = group.column("ord")[0].as_py(), group.column("part")[0].as_py()
+    tags = group.column("block").to_pylist()
+    asked = group.column("keys").to_pylist()
+    counts = [_unpack(x).astype(np.int64) for x in group.column("counts").to_pylist()]
+    if order == 1:
+        lists = [_unpack_words(x) for x in asked]
+        total: Counter[bytes] = Counter()
+        for words, c in zip(lists, counts):
+            for w, k in zip(words, c.tolist()):
+                total[w] += k
+        found = [np.fromiter(map(total.__getitem__, words), np.int64, len(words)) for words in lists]
+        n, v = sum(total.values()), sum(k > 0 for k in total.values())
+    else:
+        keys = [_unpack(x) for x in asked]
+        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(back, np.concatenate(counts), len(distinct)).astype(np.int64)
+        known = sums > 0
+        bloom = Filter(distinct[known], sums[known])
+        found = np.split(bloom.levels(distinct)[back], np.cumsum([len(x) for x in keys])[:-1])
+        n, v = bloom.entries, bloom.bits
+    m = len(tags)
+    columns = [[order] * (m + 1), [part] * (m + 1), [*tags, None], [*map(_pack, found), None], [None] * m + [n], [None] * m + [v]]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["ord", "part", "block", "found", "n", "v"])
 
 
 class Model:
-    """What the corpus gave: N, V, the broadcast filter, and each block's answers."""
+    """What the corpus gave: N, V, the size of the filter, and each block's answers."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        from .shared import cut
-
-        spark = docs.sparkSession
-        self.ranges = max(LEAST_RANGES, min(MOST_RANGES, docs.count() // RANGE_DOCS))
-        self.rows = gather(docs, id_col, text_col, self.ranges)
-        asked = self.rows.where("kind = 1").select("block", "part", "keys", "counts")
-        self.answers = cut(asked.groupBy("part").applyInArrow(_answers, "block string, part int, totals binary, n long, v long"), "lm-answers")
-        total = self.answers.where("block IS NULL").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-        self.n, self.v = int(total["n"] or 0), int(total["v"] or 0)
-        pairs = self.rows.where("kind = 3").select("block", "part", "keys", "counts")
-        self.pairs = cut(pairs.groupBy("part").applyInArrow(_pair_answers, "block string, part int, totals binary, entries long, bits long"), "lm-pairs")
-        total = self.pairs.where("block IS NULL").agg(F.sum("entries").alias("entries"), F.sum("bits").alias("bits")).first()
-        #: Entries and bits of the filter of pairs, whose parts never leave their ranges.
-        self.pair_entries, self.pair_bits = int(total["entries"] or 0), int(total["bits"] or 0)
-        grams = cut(self.rows.where("kind = 2").select("part", "keys", "counts").groupBy("part").applyInArrow(_merged, "part int, keys binary, counts binary, entries long"), "lm-grams")
-        entries = int(grams.agg(F.sum("entries")).first()[0] or 0)
-        #: Bits for each entry; BITS_PER_ENTRY unless MOST_BITS bounds the filter.
-        self.filter_load = min(BITS_PER_ENTRY, MOST_BITS / max(1, entries))
-        load = self.filter_load
-
-        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for part, k, c, e in zip(*(col.to_pylist() for col in b.columns)):
-                    raw = filter_part(np.frombuffer(k, "<u8"), np.frombuffer(c, "<u8").astype(np.int64), max(8, int(e * load) // 8 * 8))
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([raw], pa.binary())], ["part", "bits"])
-
-        # at most MOST_BITS in all
-        found = {r["part"]: bytes(r["bits"]) for r in grams.mapInArrow(build, "part int, bits binary").collect()}
-        self.bloom = spark.sparkContext.broadcast([found.get(r, b"") for r in range(self.ranges)])
+        self.ranges = max(LEAST_RANGES, docs.count() // RANGE_DOCS)
+        self.rows = blocks(docs, id_col, text_col, self.ranges)
+        self.answers = cut(_requests(self.rows, self.ranges).groupBy("ord", "part").applyInArrow(_answers, _ANSWER), "lm-answers")
+        sums = {r["ord"]: r for r in self.answers.where("block IS NULL").groupBy("ord").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+        self.n, self.v = (int(sums[1]["n"]), int(sums[1]["v"])) if 1 in sums else (0, 0)
+        #: Entries and bits of the filter, whose parts never leave their ranges.
+        self.entries, self.bits = (sum(int(r[c]) for k, r in sums.items() if k > 1) for c in ("n", "v"))
 
     def score(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
-        bloom_parts, ranges, n, v = self.bloom, self.ranges, self.n, self.v
-        divisor = float(np.log10(n + 0.5 * (v + 1)))
+        ranges, n, v = self.ranges, self.n, self.v
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-        def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-            texts = [tokens(t) for t in docs.column("text").to_pylist()]
-            number = _distinct(texts)
-            listed = list(number)
-            hashes = word_hashes(listed)
-            keys = np.unique(hashes)
-            get = number.__getitem__
-            ats = [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
-            codes, back = np.unique(_pairs(ats, len(listed)), return_inverse=True)
-            by_code = pair_keys(codes, hashes)
-            pairs = np.unique(by_code)
-            totals, found = np.zeros(len(keys), np.int64), np.zeros(len(pairs), np.int64)
-            for kind, asked, into, width in ((1, keys, totals, "<u8"), (3, pairs, found, "<u1")):
-                edges = np.searchsorted(range_of(asked, ranges), np.arange(ranges + 1))
-                for k, part, raw in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "totals"))):
-                    if k == kind:
-                        into[edges[part] : edges[part + 1]] = np.frombuffer(raw, width)
-            counts = totals[np.searchsorted(keys, hashes)]
-            base = np.log10(counts + 0.5)
-            p = (counts + WORD_SMOOTHING * 10 ** token_scores(listed, _filter(bloom_parts))) / (n + WORD_SMOOTHING)
-            before, both = counts[codes // len(listed)], _VALUES[found[np.searchsorted(pairs, by_code)]]
-            scores = np.log10((np.minimum(both, before) + WORD_SMOOTHING * p[codes % len(listed)]) / (before + WORD_SMOOTHING))[back]
-            sums = np.add.reduceat(scores, np.cumsum([0, *(len(x) + 1 for x in ats[:-1])]))
-            out = []
-            for at, score in zip(ats, sums):
-                out.append((len(at) + 1, int(np.count_nonzero(counts[at])) + int(counts[0] > 0), float(base[at].sum() + base[0] - (len(at) + 1) * divisor), float(score)))
-            columns = [docs.column("doc_id"), docs.column("held_out"), *(pa.array([x[i] for x in out], t) for i, t in ((0, pa.int64()), (1, pa.int64()))), pa.array([n] * len(out), pa.int64()), *(pa.array([x[i] for x in out], pa.float64()) for i in (2, 3))]
+        def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+            x = _Texts(*(block.column(c)[0].as_py() for c in ("held", "lengths", "words", "ids")))
+            parts: dict[int, list[tuple[int, bytes]]] = {}
+            for order, part, raw in zip(*(answers.column(c).to_pylist() for c in ("ord", "part", "found"))):
+                parts.setdefault(order, []).append((part, raw))
+            found = {order: np.concatenate([_unpack(raw) for _, raw in sorted(p)]).astype(np.int64) for order, p in parts.items()}
+            counts = found[1][x.seq]
+            base = np.log10(counts + 0.5) - np.log10(n + 0.5 * (v + 1))
+            p, context = (counts + 0.5) / (n + 0.5 * (v + 1)), counts.astype(float)
+            for order, at, keys in x.grams(ranges):
+                own = np.zeros(len(p))
+                own[at] = _VALUES[found[order][np.unique(keys, return_inverse=True)[1]]]
+                # the n-gram without its last token ends one place before
+                before = context[at - 1]
+                p[at] = (np.minimum(own[at], before) + WORD_SMOOTHING * p[at]) / (before + WORD_SMOOTHING)
+                context = own
+            real = x.place > 0
+            sums = lambda values: np.bincount(x.owner[real], values[real], len(x.lengths))
+            m = len(x.lengths)
+            columns = [block.column("doc_ids").combine_chunks().flatten(), pa.array(x.held), pa.array(x.lengths + 1), pa.array(sums(counts > 0).astype(np.int64)), pa.array(np.full(m, n, np.int64)), pa.array(sums(base)), pa.array(sums(np.log10(p)))]
             return pa.Table.from_arrays(columns, names=names)
 
-        docs = self.rows.where("kind = 0").select("block", "doc_id", "held_out", "text")
-        answers = self.answers.select(F.lit(1).alias("kind"), "block", "part", "totals").unionByName(self.pairs.select(F.lit(3).alias("kind"), "block", "part", "totals")).where("block IS NOT NULL")
-        id_type = docs.schema["doc_id"].dataType.simpleString()
-        return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-_laid_out: list = [None, None]
-
-
-def _filter(parts) -> Filter:
-    """The broadcast filter, laid out once in each worker."""
-    if _laid_out[0] is not parts.value:
-        _laid_out[:] = parts.value, Filter(parts.value)
-    return _laid_out[1]
+        id_type = self.rows.schema["doc_ids"].dataType.elementType.simpleString()
+        answers = self.answers.where("block IS NOT NULL").select("block", "ord", "part", "found")
+        return self.rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_bloom_lm(spark, sf_dir: str) -> DataFrame:
