@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bag_minhash import _mix
-from .shared import cut, table
+from .shared import cut, table, uncollected
 
 ORDER = 3
 WORD_SMOOTHING = 20.0
@@ -185,6 +185,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFram
 
     names = ["block", "doc_ids", "held", "lengths", "words", "ids"]
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = uuid.uuid4().hex  # a task that runs again makes blocks of its own; only one attempt's rows are kept
         waiting: list[pa.RecordBatch] = []
@@ -237,6 +238,7 @@ def _requests(rows: DataFrame, ranges: int) -> DataFrame:
     """What the blocks send to the ranges: order 1, words; from order 2, keys of n-grams; each with training counts."""
     low = np.uint64(KEY_BITS)
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for tag, *packed in zip(*(c.to_pylist() for c in b.columns)):

@@ -4,7 +4,8 @@ The encoding of a prefix ends with one certain token: the only vocabulary token
 with the last token of what stands before it, in the sense that merging the two tokens' bytes gives these two tokens.
 So each trie node needs one last token, found from those of its ancestors, and words share the work of their common
 prefixes. Distinct words are visited in sorted order: that is the trie's depth-first order, and the stack of last
-tokens is the path from the root, of which a word keeps what it shares with the word before.
+tokens is the path from the root, of which a word keeps what it shares with the word before. Which tokens end at a node
+comes from an automaton over the vocabulary's bytes, whose states are on the same stack.
 
 Nulls and empty texts have no ids. Repeated rows get equal results; empty tables give no rows. Very long words cost time
 in proportion to their length. No row is shuffled.
@@ -16,6 +17,7 @@ import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import Cache, encode_texts, groups
-from .shared import table
+from .shared import table, uncollected
 
 #: Units kept between batches in each worker, about 100 MB.
 MOST_UNITS = 400_000
+#: Remembered pairs of tokens, about 200 MB at most.
+MOST_FITS = 1_000_000
 _NEVER = 1 << 60
 
 
@@ -57,7 +61,6 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.ids = {b: i for i, b in enumerate(self.bytes) if b and i not in self.special.values()}
-        self.longest = max(map(len, self.ids))
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: left, right, rank of the merge that makes it
         for r, m in enumerate(model["merges"]):
@@ -71,6 +74,11 @@ class Vocabulary:
         self._left: dict[int, list[tuple[int, int]]] = {}
         self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
+        self._sizes = list(map(len, self.bytes))
+        # an automaton over the tokens' bytes, by which each place in a word knows the tokens that end there
+        self._begins = {b[:k] for b in self.ids for k in range(len(b) + 1)}
+        self._states, self._number, self._goto = [b""], {b"": 0}, {}
+        self._ends: list[tuple[tuple[int, int], ...]] = [()]
 
     def _edge(self, token: int, side: int, known: dict) -> list[tuple[int, int]]:
         """The parts at a token's edge from its byte up to itself, each with the rank at which it is merged away."""
@@ -113,47 +121,65 @@ class Vocabulary:
             self._whole[token] = out
         return out
 
+    def _next(self, state: int, byte: int) -> int:
+        """The state after one more byte: the longest end of what was read that begins a token. Made when first reached."""
+        here = self._states[state] + bytes((byte,))
+        while here not in self._begins:
+            here = here[1:]
+        number = self._number.get(here)
+        if number is None:
+            if here not in self.ids and len(here) < 2:
+                raise ValueError(f"the vocabulary lacks the byte {here!r}")
+            number = self._number[here] = len(self._states)
+            self._states.append(here)
+            ends = ((n, self.ids.get(here[len(here) - n :])) for n in range(len(here), 0, -1))
+            self._ends.append(tuple((n, t) for n, t in ends if t is not None and self.whole(t)))
+        self._goto[state << 8 | byte] = number
+        return number
+
     def encode_sorted(self, words: list[bytes]) -> Iterator[list[int]]:
         """The ids of distinct words given in sorted order."""
-        ids, fits, whole, longest, size = self.ids, self._fits, self.whole, self.longest, self.bytes
+        fits, size, goto, ends = self._fits, self._sizes, self._goto, self._ends
         last: list[int] = [-1]
+        states = [0]
         before = b""
         for word in words:
             n = len(word)
             shared, most = 0, min(n, len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for i in range(shared + 1, n + 1):
-                for start in range(max(0, i - longest), i):
-                    t = ids.get(word[start:i])
-                    if t is None:
-                        continue
-                    if start:
-                        key = last[start] << 32 | t
-                        good = fits.get(key)
-                        if good is None:
-                            if len(fits) > 2_000_000:
-                                fits.clear()
-                            good = fits[key] = whole(t) and self.fits(last[start], t)
-                    else:
-                        good = whole(t)
+            del last[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
+            for i in range(shared, n):
+                byte = word[i]
+                state = goto.get(state << 8 | byte) or self._next(state, byte)
+                states.append(state)
+                # of the tokens that end here, the longest that goes with the last token before it
+                for length, t in ends[state]:
+                    start = i + 1 - length
+                    if not start:
+                        last.append(t)
+                        break
+                    key = last[start] << 32 | t
+                    good = fits.get(key)
+                    if good is None:
+                        if len(fits) >= MOST_FITS:
+                            fits.clear()
+                        good = fits[key] = self.fits(last[start], t)
                     if good:
                         last.append(t)
                         break
                 else:
-                    raise ValueError(f"the vocabulary lacks a byte of {word[:i]!r}")
+                    raise ValueError(f"the vocabulary lacks a byte of {word[: i + 1]!r}")
             before, i, out = word, n, []
             while i:
                 out.append(last[i])
-                i -= len(size[last[i]])
+                i -= size[last[i]]
             out.reverse()
             yield out
 
     def _pieces(self, unit: str) -> list:
         """Words of a unit, or ids of special tokens."""
-        if self.special_re is None or not self.special_re.search(unit):
-            return self.pattern.findall(unit)
         out: list = []
         for k, part in enumerate(self.special_re.split(unit)):
             out += [self.special[part]] if k % 2 else self.pattern.findall(part)
@@ -161,10 +187,16 @@ class Vocabulary:
 
     def encode_units(self, texts: list[str]) -> list[bytes]:
         """32-bit little-endian ids of each text; the distinct words of all of them share one trie."""
-        pieces = [self._pieces(t) for t in texts]
-        distinct = sorted({p.encode("utf-8", "surrogatepass") for ps in pieces for p in ps if p.__class__ is str})
-        made = {w: array("I", ids).tobytes() for w, ids in zip(distinct, self.encode_sorted(distinct))}
-        return [b"".join([made[p.encode("utf-8", "surrogatepass")] if p.__class__ is str else array("I", [p]).tobytes() for p in ps]) for ps in pieces]
+        if self.special_re is None or not any(s in t for s in self.special for t in texts):
+            pieces = list(map(self.pattern.findall, texts))
+        else:
+            pieces = list(map(self._pieces, texts))
+        distinct = set(chain.from_iterable(pieces))
+        made = {p: array("I", [p]).tobytes() for p in self.special.values() if p in distinct}
+        words = sorted((p.encode("utf-8", "surrogatepass"), p) for p in distinct if p not in made)
+        made.update((p, array("I", ids).tobytes()) for (_, p), ids in zip(words, self.encode_sorted([w for w, _ in words])))
+        get = made.__getitem__
+        return [b"".join(map(get, ps)) for ps in pieces]
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """32-bit little-endian ids of each whole text."""
@@ -193,6 +225,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     vocab = vocab or default_vocabulary()
     id_type = docs.select(F.col(id_col).alias("doc_id")).schema[0].dataType.simpleString()
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(*vocab)
         for b in batches:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +52,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def uncollected(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function with the cycle collector off: it would walk millions of small objects, which form no cycles, again and again."""
+
+    @wraps(run)
+    def quiet(batches: Iterator) -> Iterator:
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return quiet
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text in UTF-8. bytes.split() parts at the six bytes that WORD leaves out, and at no others."""
     return (text or "").encode("utf-8", "surrogatepass").split()
