@@ -2,19 +2,21 @@
 
 A text is cut at ``\\n`` into lines. A rolling hash over the hashes of the last WINDOW lines ends a chunk after a line when
 it falls to 0 of DIVISOR parts, so the same passage is cut at the same places whatever stands before it. Chunks of at
-least MIN_LINES lines and MIN_WORDS words count, and chunks of fewer lines from LONG_WORDS words.
+least MIN_LINES lines and MIN_WORDS words count, and single lines from LONG_WORDS words.
 
-Boundaries depend on what stands around a passage, so runs of lines count as well, wherever they begin: from each line
-with words the shortest run of LONG_WORDS words that starts there, and the shortest that ends there. Any run of at
-least LONG_WORDS words from a line with words to another is covered by such runs inside it.
+The first and the last boundary in a passage depend on what stands around it, so chunks alone leave its edges, and short
+passages, in place. Runs of lines count as well, wherever they begin: from each line with words the shortest run of
+enough lines and words (the same limits, over lines with words) that starts there, and the shortest that ends there. Any
+run of enough lines and words from a line with words to another is covered by such runs inside it.
 
 A chunk or run that other places have too is removed everywhere but at its first place (by doc_id, then position), which is
 found by SHA-256 of its bytes. A run that overlaps its first place loses only the lines after it. Everything is
 DataFrame functions.
 
 Nulls: a null text stays null; null ids sort first. Empty texts stay as they are. Rows with equal id and text are one
-document: they don't make each other's chunks repeated, and get the same result. Empty tables give no rows; other columns
-pass through. A text can end up empty; no row is dropped. Lines without a word at a run's edges stay.
+document: they don't make each other's chunks repeated, and get the same result. Empty tables give no rows. A very long
+text costs its length. Columns of any names pass through, with ``counts`` any but
+removed_chunks and removed_lines. A text can end up empty; no row is dropped. Lines without a word at a run's edges stay.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, table
+from .shared import WORD, cut, packed, table
 
 #: Lines whose hashes decide about a boundary.
 WINDOW = 2
@@ -54,13 +56,18 @@ def _start(j):
     return F.when(j == 0, F.lit(1)).otherwise(F.get("_ends", j - 1) + 1)
 
 
+def _enough(lines, words):
+    return ((lines >= MIN_LINES) & (words >= MIN_WORDS)) | (words >= LONG_WORDS)
+
+
 def _shortest(array: str, i):
-    """How many items from 0-based i on have LONG_WORDS words together, and the words of these; null if all have fewer."""
+    """How many items from 0-based i on are enough together, and the words of these; null if all aren't."""
     start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
-    add = lambda a, x: F.when(a["words"] >= LONG_WORDS, a).otherwise(F.struct((a["words"] + F.least(x, F.lit(LONG_WORDS))).alias("words"), (a["n"] + 1).alias("n")))
-    reach = lambda most: F.aggregate(F.slice(array, i + 1, most), start, add, lambda a: F.when(a["words"] >= LONG_WORDS, a))
-    # each item has a word, so LONG_WORDS items are enough; mostly a few are
-    return F.coalesce(reach(4), reach(LONG_WORDS))
+    done = lambda a: _enough(a["n"], a["words"])
+    add = lambda a, x: F.when(done(a), a).otherwise(F.struct((a["words"] + F.least(x, F.lit(LONG_WORDS))).alias("words"), (a["n"] + 1).alias("n")))
+    reach = lambda most: F.aggregate(F.slice(array, i + 1, most), start, add, lambda a: F.when(done(a), a))
+    # each item has a word, so so many are enough; mostly two are
+    return F.coalesce(reach(MIN_LINES), reach(max(MIN_LINES, MIN_WORDS)))
 
 
 def _runs():
@@ -69,8 +76,8 @@ def _runs():
     forward = F.transform(F.transform("_w", lambda x, i: F.struct(i.alias("i"), _shortest("_w", i)["n"].alias("n"))), lambda r: F.when(r["n"].isNotNull(), span(r["i"], r["i"] + r["n"] - 1)))
     last = lambda i: F.size("_w") - 1 - i
     back = F.transform("_r", lambda x, i: F.struct(i.alias("i"), F.least(x, F.lit(LONG_WORDS)).alias("own"), _shortest("_r", i).alias("s")))
-    # without its last line too long to be the shortest from its start; else it is a forward run
-    back = F.transform(back, lambda r: F.when(r["s"]["words"] - r["own"] >= LONG_WORDS, span(last(r["i"] + r["s"]["n"] - 1), last(r["i"]))))
+    # without its last line still enough, so not the shortest from its start; else it is a forward run
+    back = F.transform(back, lambda r: F.when(_enough(r["s"]["n"] - 1, r["s"]["words"] - r["own"]), span(last(r["i"] + r["s"]["n"] - 1), last(r["i"]))))
     return F.filter(F.concat(forward, back), lambda x: x.isNotNull())
 
 
@@ -81,21 +88,22 @@ def references(docs: DataFrame, **how) -> DataFrame:
     out = out.withColumn("_r", F.reverse("_w"))
     chunks = F.transform("_ends", lambda end, j: F.struct(_start(j).alias("start"), end.alias("end")))
     words = lambda c: F.aggregate(F.slice("_n", c["start"], c["end"] - c["start"] + 1), F.lit(0), lambda a, x: F.least(a + x, F.lit(LONG_WORDS)))
-    chunks = F.filter(chunks, lambda c: (words(c) >= LONG_WORDS) | ((c["end"] - c["start"] + 1 >= MIN_LINES) & (words(c) >= MIN_WORDS)))
+    chunks = F.filter(chunks, lambda c: _enough(c["end"] - c["start"] + 1, words(c)))
     row = lambda kind: lambda c: F.struct(F.lit(kind).alias("chunk"), c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(F.lit(kind), F.slice("_h", c["start"], c["end"] - c["start"] + 1)).alias("hash"))
     return out.select("_key", F.explode(F.concat(F.transform(chunks, row(True)), F.transform(_runs(), row(False)))).alias("_c")).select("_key", "_c.*")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` with repeated chunks and runs taken from the text, and removed_chunks, removed_lines (long; all
-    lines that went, by a chunk or a run).
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True, **how) -> DataFrame:
+    """The rows of ``docs`` with repeated chunks and runs taken from the text, and with ``counts`` also removed_chunks,
+    removed_lines (long; all lines that went, by a chunk or a run).
 
     Shuffles: narrow chunk and run rows by hash, and the documents by row key to bring them their repeated ones. No row
     holds more than one document; a hash that a third of all documents share is one row after partial aggregates, and AQE
     splits the join that brings it back.
     """
-    base = docs.withColumn("_key", F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)))
-    named = base.select("_key", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # the rows pass through in one column, so that their columns' names meet no others
+    base = docs.select(F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)).alias("_key"), packed(docs).alias("row"))
+    named = docs.select(F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)).alias("_key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     refs = cut(references(named, **how), "line-refs")
     # equal rows have equal keys and positions
     again = refs.groupBy("hash").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("_key", "start")))
@@ -112,15 +120,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
     gone = gone.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone"), F.count_distinct(F.when(F.col("chunk"), F.col("start"))).alias("removed_chunks"))
 
     # only documents that lose something are cut again; the others have null here and keep their text
-    out = base.join(gone, "_key", "left").withColumn("_l", F.split(F.when(F.col("_gone").isNotNull(), F.col(text_col)), "\n", -1))
+    own = F.col("row").getField(text_col)
+    out = base.join(gone, "_key", "left").withColumn("_l", F.split(F.when(F.col("_gone").isNotNull(), own), "\n", -1))
     # spans in order of their starts: what the one before has already is left out
     rest = lambda x, i: F.greatest(x["start"], F.coalesce(F.get("_gone", i - 1)["end"] + 1, F.lit(1)))
     numbers = F.flatten(F.transform("_gone", lambda x, i: F.when(rest(x, i) <= x["end"], F.sequence(rest(x, i), x["end"])).otherwise(F.array().cast("array<int>"))))
     out = out.withColumn("_stay", F.array_except(F.sequence(F.lit(1), F.size("_l")), numbers))
     text = F.array_join(F.transform("_stay", lambda i: F.get("_l", i - 1)), "\n")
-    cols = [F.coalesce(text, F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    cols = [F.coalesce(text, own).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select(*cols, count(F.col("removed_chunks")).alias("removed_chunks"), count(F.size("_l") - F.size("_stay")).alias("removed_lines"))
+    more = [count(F.col("removed_chunks")).alias("removed_chunks"), count(F.size("_l") - F.size("_stay")).alias("removed_lines")]
+    return out.select(*cols, *(more if counts else ()))
 
 
 def op9_line_chunks(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word in Java's and DuckDB's pattern syntax: no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,6 +53,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of the rows as one, so that their names can't meet an operator's own."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns))
+
+
 def uncollected(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task's function with the cycle collector off: it would walk millions of small objects, which form no cycles, again and again."""
 
