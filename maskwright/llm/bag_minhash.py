@@ -14,16 +14,18 @@ themselves:
    group brings other links;
 3. where a bucket still holds classes of several components, all outside its largest component are compared with all
    of other components in the bucket: blocks of about BLOCK such classes are held while the bucket's classes stream
-   past, so no pairs are made but those that are links. Links inside one component can't change the result and aren't
-   looked for.
+   past, a slice of about SLICE of them in each task, so that no task grows with a bucket and no pairs are made but those
+   that are links. Links inside one component can't change the result and aren't looked for. First only sketches stream;
+   texts go to the blocks and slices alone where their sketch met a likely one.
 
-In the second step, one byte of each component is compared before two texts are read: pairs that agree in fewer are left out than six
-standard deviations below what a pair of the threshold's similarity has (a chance of 1e-9).
+A sketch has one byte of each component of a signature: pairs are left out that agree in fewer than six standard
+deviations below what a pair of the threshold's similarity has (a chance of 1e-9), and those whose sizes are too far apart.
 
 Result: each document's class_id (the least doc_id with the same text) and group_id (the least doc_id of its component).
 
 A null text is in no class but its own. Texts without words are alike only if equal. Null ids count after all others.
-Repeated rows share class and group. Empty tables give no rows. Other columns play no part.
+Repeated rows share class and group. Very long texts cost their length. Empty tables give no rows. Other columns, of
+any name, play no part in ``groups`` and pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -38,14 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, table, words
+from .shared import cut, packed, table, uncollected, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares no bucket with a probability of (1 - 0.8**5)**25, which is 5e-5.
 BANDS, ROWS = 25, 5
-#: Classes held at a time in the third step.
-BLOCK = 256
+#: Classes held at a time in the third step, and classes that stream past them in one task.
+BLOCK, SLICE = 256, 1024
 #: Bytes of text hashed at a time.
 GROUP = 1_000_000
 
@@ -192,6 +194,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, digest, n_shingles, bands, sketch for rows with a text; texts are read where they are."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [x.encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
@@ -215,9 +218,14 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, digest binary, n_shingles long, bands array<long>, sketch binary")
 
 
+def least_agreement(threshold: float) -> int:
+    """Components that two sketches must share: six standard deviations below what the threshold's similarity gives."""
+    return int(_M * threshold - 6 * (_M * threshold * (1 - threshold)) ** 0.5)
+
+
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the threshold."""
-    least = int(_M * threshold - 6 * (_M * threshold * (1 - threshold)) ** 0.5)
+    least = least_agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,40 +304,94 @@ def _bags_apart(texts: list[bytes]):
     return [(shingle[a:z], weight[a:z], int(k)) for a, z, k in zip(edges, edges[1:], n)]
 
 
-def rest(open_: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _meets(held: list[tuple[bytes, int, bytes]], past: list[tuple[bytes, int, bytes]], threshold: float) -> np.ndarray:
+    """(held, past): whether two (component, shingles, sketch) are of different components and likely to be alike."""
+    a, b = (np.frombuffer(b"".join([r[2] for r in rows]), np.uint8).reshape(-1, _M).T.copy() for rows in (held, past))
+    agree = np.zeros((len(held), len(past)), np.uint8)
+    for x, y in zip(a, b):
+        agree += x[:, None] == y[None, :]
+    n, m = (np.array([r[1] for r in rows]) for rows in (held, past))
+    number: dict[bytes, int] = {}
+    c, d = (np.array([number.setdefault(r[0], len(number)) for r in rows]) for rows in (held, past))
+    close = np.minimum(n[:, None], m) >= threshold * np.maximum(n[:, None], m)
+    return (agree >= least_agreement(threshold)) & close & (c[:, None] != d)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
+    """(key, kind, rows) for runs of rows that are equal in the first ``keys`` columns and the next one, the kind."""
+    for b in batches:
+        columns = [b.column(i).to_numpy() for i in range(keys + 1)]
+        edges = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1 if b.num_rows > 1 else []
+        for a, z in zip([0, *edges], [*edges, b.num_rows]):
+            if z > a:
+                yield tuple(int(c[a]) for c in columns[:keys]), int(columns[keys][a]), b.slice(a, z - a)
+
+
+def rest(open_: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs that link components: the third step over (bucket, digest) rows."""
     here = open_.join(labels, open_["digest"] == labels["v"], "left").select("bucket", "digest", F.coalesce("label", "digest").alias("comp"))
     # most buckets hold one component; their rows end here
-    counts = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_k")).groupBy("bucket").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_main"), (F.sum("_k") - F.max("_k")).alias("_others")).where("_others > 0")
-    here = here.join(counts.withColumn("_blocks", F.ceil(F.col("_others") / BLOCK).cast("int")), "bucket")
-    here = cut(here.join(texts, "digest"), "bag-open")
-    cols = ("bucket", "block", "held", "digest", "comp", "text")
-    held = here.where("comp <> _main").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("_blocks")).cast("int")).withColumn("held", F.lit(0))
-    past = here.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("held", F.lit(1))
-    rows = held.select(*cols).union(past.select(*cols)).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "held")
+    counts = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_k")).groupBy("bucket").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_main"), F.sum("_k").alias("_all"), (F.sum("_k") - F.max("_k")).alias("_others")).where("_others > 0")
+    parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    here = here.join(counts.select("bucket", "_main", parts("_others", BLOCK).alias("_blocks"), parts("_all", SLICE).alias("_slices")), "bucket")
+    here = cut(here.join(classes.select("digest", "n", "sketch"), "digest"), "bag-open")
+    place = ("bucket", "block", "slice", "held")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "digest"), F.col(n)).cast("int")
+    held = here.where("comp <> _main").withColumn("block", some("_blocks", 1)).withColumn("slice", each("_slices")).withColumn("held", F.lit(0))
+    past = here.withColumn("block", each("_blocks")).withColumn("slice", some("_slices", 2)).withColumn("held", F.lit(1))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "block", "slice").sortWithinPartitions(*place)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, keep, found = None, [], set()
+
+        def put(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            columns = [*([k] * len(rows) for k in key), [h for h, _ in rows], [d for _, d in rows]]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [*place, "digest"])
+
+        for now, kind, rows in _groups(batches, 3):
+            if now != key:
+                if found:
+                    yield put([(0, keep[i][0]) for i in sorted(found)])
+                key, keep, found = now, [], set()
+            listed = list(zip(*(rows.column(i).to_pylist() for i in (4, 5, 6, 7))))
+            if kind == 0:
+                keep += listed
+                continue
+            for s in range(0, len(listed), SLICE):
+                part = listed[s : s + SLICE]
+                for h in range(0, len(keep), BLOCK):
+                    hit = _meets([r[1:] for r in keep[h : h + BLOCK]], [r[1:] for r in part], threshold)
+                    found |= {h + int(i) for i in np.flatnonzero(hit.any(axis=1))}
+                    yield put([(1, part[i][0]) for i in np.flatnonzero(hit.any(axis=0))])
+        if found:
+            yield put([(0, keep[i][0]) for i in sorted(found)])
+
+    columns = [*place, "digest", "comp", "n", "sketch"]
+    near = dealt(held.select(*columns).union(past.select(*columns))).mapInArrow(meet, "bucket long, block int, slice int, held int, digest binary")
+    near = cut(near.distinct(), "bag-near")
+    rows = near.join(here.select("digest", "comp").distinct(), "digest").join(texts, "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, _Held()
-        for b in batches:
-            bucket, part, kind = (b.column(i).to_numpy() for i in range(3))
-            edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
-            out: list[tuple[bytes, bytes]] = []
-            for a, z in zip([0, *edges], [*edges, b.num_rows]):
-                if z == a:
-                    continue
-                if (bucket[a], part[a]) != key:
-                    key, block = (bucket[a], part[a]), _Held()
-                digests, comps = (b.column(i).slice(a, z - a).to_pylist() for i in (3, 4))
-                whole = [x.encode("utf-8", "surrogatepass") for x in b.column(5).slice(a, z - a).to_pylist()]
-                if kind[a] == 0:
-                    block.add(digests, comps, whole)
-                else:
-                    for s in range(0, len(whole), 500):
-                        out += block.links(digests[s : s + 500], comps[s : s + 500], whole[s : s + 500], threshold)
-            out = sorted(set(out))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
-
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+        for now, kind, rows in _groups(batches, 3):
+            if now != key:
+                key, block = now, _Held()
+            digests, comps = (rows.column(i).to_pylist() for i in (4, 5))
+            whole = [x.encode("utf-8", "surrogatepass") for x in rows.column(6).to_pylist()]
+            if kind == 0:
+                block.add(digests, comps, whole)
+                continue
+            out: set[tuple[bytes, bytes]] = set()
+            for s in range(0, len(whole), 500):
+                out.update(block.links(digests[s : s + 500], comps[s : s + 500], whole[s : s + 500], threshold))
+            listed = sorted(out)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in listed], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return dealt(rows.select(*place, "digest", "comp", "text")).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -352,7 +414,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
     # the leaders were compared with all in their buckets
     open_ = shared.where("_size > 2 AND digest <> leader").select("bucket", "digest")
-    more = cut(verified(rest(open_, labels, texts, threshold), texts, threshold), "bag-edges")
+    more = cut(verified(rest(open_, labels, classes, texts, threshold), texts, threshold), "bag-edges")
     if more.limit(1).count():
         labels = components(edges.union(more))
 
@@ -371,9 +433,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     found = groups(docs, threshold=threshold)
     first = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.digest").alias("_digest"))
-    marked = docs.withColumn("_md5", F.unhex(F.md5("text")))
-    stay = marked.join(first, marked["doc_id"].eqNullSafe(first["_id"]) & (marked["_md5"] == first["_digest"]), "left_semi").dropDuplicates(["doc_id", "_md5"])
-    return stay.select(*docs.columns).unionByName(docs.where(F.col("text").isNull()))
+    marked = docs.select(F.col("doc_id").alias("_id"), F.unhex(F.md5("text")).alias("_digest"), packed(docs).alias("row")).where("_digest IS NOT NULL")
+    stay = marked.join(first, marked["_id"].eqNullSafe(first["_id"]) & (marked["_digest"] == first["_digest"]), "left_semi").dropDuplicates(["_id", "_digest"])
+    return stay.select("row.*").unionByName(docs.where(F.col("text").isNull()))
 
 
 def op4_bag_minhash(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from maskwright.llm import bag_minhash as M
 from maskwright.llm.components import components
+from maskwright.llm.shared import table
 
 
 def text_of(r, n):
@@ -101,6 +104,63 @@ def test_graded_group_like_brute_force(spark):
     assert got == want and 20 < len(set(want.values())) < 250
 
 
+def test_third_step_in_small_blocks_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 5)
+    monkeypatch.setattr(M, "SLICE", 7)
+    test_graded_group_like_brute_force(spark)
+
+
+def test_sketches_meet():
+    r = random.Random(6)
+    base = text_of(r, 120)
+    texts = [edit(r, base, k) for k in (0, 1, 2, 60)] + [text_of(r, 120)]
+    ident = M.signatures(5, *M.bags([t.encode() for t in texts])[:3]).astype(np.uint8)
+    rows = [(bytes([c]), 116, x.tobytes()) for c, x in zip([1, 2, 1, 3, 4], ident)]
+    hit = M._meets(rows[:2], rows, 0.8)
+    assert hit.tolist() == [[False, True, False, False, False], [True, False, True, False, False]]
+    assert not M._meets(rows[:1], [(b"x", 200, rows[1][2])], 0.8).any()
+
+
+def test_groups_of_the_corpus_are_those_of_all_exact_pairs(spark):
+    """sf0.01, against an index of all shingles."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    bags, at, parent = [M.bag(t or "") for _, t in rows], defaultdict(list), list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs, first = 0, {}
+    for i, b in enumerate(bags):
+        if rows[i][1] is None:
+            continue
+        if rows[i][1] in first:
+            parent[root(i)] = root(first[rows[i][1]])
+            continue
+        first[rows[i][1]] = i
+        for j in {j for s in b for j in at[s]}:
+            if M.similarity(b, bags[j]) >= M.THRESHOLD:
+                pairs += 1
+                parent[root(i)] = root(j)
+        for s in b:
+            at[s].append(i)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    assert pairs >= 4
+    assert {r["doc_id"]: r["group_id"] for r in M.groups(docs).collect()} == {d: least[root(i)] for i, (d, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("extra", ["_md5", "_id", "_digest", "row", "digest", "comp", "bucket", "n", "sketch", "label", "v", "a.b"])
+def test_columns_of_any_name_pass_through(spark, extra):
+    schema = StructType([StructField("doc_id", LongType()), StructField(extra, StringType()), StructField("text", StringType())])
+    rows = [(1, "p", "a b c"), (2, "q", "a b c"), (3, None, None), (4, "r", "d")]
+    out = M.keep_one(spark.createDataFrame(rows, schema))
+    assert out.columns == ["doc_id", extra, "text"] and sorted(tuple(x) for x in out.collect()) == [rows[0], rows[2], rows[3]]
+
+
 def test_edge_cases(spark):
     rows = [(None, "x y z", 1), (3, "x y z", 2), (3, "x y z", 2), (4, None, 3), (5, "w " * 50_000, 4), (6, "w " * 50_001, 5)]
     out = M.groups(spark.createDataFrame(rows, "doc_id long, text string, digest int")).collect()
