@@ -6,13 +6,13 @@ network is trained here, in numpy, by backpropagation through time on a bounded
 SAMPLE_DOCS documents for each language (those with the lowest hash of their id), SAMPLE_WINDOWS windows of each.
 
 Nulls and texts without a letter are ``und`` with score 0. Rows with a null id or language teach nothing. Repeated rows
-get equal results; empty tables give no rows. If nothing can be learned from, all is ``und``.
+get equal results; empty tables give no rows. If nothing can be learned from, all is ``und``. A very long text is read
+LANES windows at a time. Other columns, of any name, play no part and pass through ``accepted``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -159,17 +159,21 @@ class Network:
         out = np.zeros((len(texts), len(self.labels)))
         if not per.sum():
             return out
-        x = np.full(int(per.sum()) * WINDOW, PAD, np.int64)
+        # bytes of all texts, each from a new window on; what fills its last one is not a byte, which lengths tell
+        x = np.zeros(int(per.sum()) * WINDOW, np.uint8)
         starts = (np.cumsum(per) - per) * WINDOW
         for t, s in zip(texts, starts):
             x[s : s + len(t)] = np.frombuffer(t, np.uint8)
         x, doc = x.reshape(-1, WINDOW), np.repeat(np.arange(len(texts)), per)
+        real = np.minimum(sizes[doc] - (np.arange(len(x)) - np.repeat(starts // WINDOW, per)) * WINDOW, WINDOW)
         sums = np.zeros((len(x), len(self.labels)))
         for s in range(0, len(x), LANES):
-            w = np.ascontiguousarray(x[s : s + LANES].T)
+            w = np.ascontiguousarray(x[s : s + LANES].T).astype(np.int64)
+            fill = np.arange(WINDOW)[:, None] >= real[s : s + LANES]
+            w[fill] = PAD
             prob = self.probabilities(w)
-            if (w[-1] == PAD).any():
-                prob *= (w != PAD)[:, None, :]
+            if fill.any():
+                prob *= ~fill[:, None, :]
             sums[s : s + LANES] = prob.sum(axis=0).T
         np.add.at(out, doc, sums)
         return out / np.maximum(sizes, 1)[:, None]
@@ -224,35 +228,49 @@ def train(docs: DataFrame, **columns: str) -> Network | None:
     return net
 
 
-@lru_cache(maxsize=100_000)
-def _letter(c: str) -> bool:
-    return c.isalpha()
+def judged(net: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Languages and scores of texts, about 1 MB of them at a time."""
+    langs: list[str] = []
+    scores: list[float] = []
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and size < 1_000_000:
+            size += len(texts[end] or "")
+            end += 1
+        part = texts[start:end]
+        known = [bool(t) and net is not None and (t.isalpha() or any(map(str.isalpha, t))) for t in part]
+        pooled = net.pooled([t.encode("utf-8", "surrogatepass") if k else b"" for t, k in zip(part, known)]) if net else np.zeros((len(part), 1))
+        best = pooled.argmax(axis=1)
+        langs += [net.labels[i] if k else "und" for i, k in zip(best, known)]
+        scores += [float(min(1.0, max(0.0, p[i]))) if k else 0.0 for p, i, k in zip(pooled, best, known)]
+        start = end
+    return langs, scores
+
+
+def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score for each row; texts are read where they are, without a shuffle."""
+    id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, scores = judged(net, b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
 
-def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score for each row, and the columns ``keep``; texts are read where they are, without a shuffle."""
-    fields = docs.select(F.col(id_col).alias("doc_id"), *keep).schema.fields
+
+def accepted(docs: DataFrame, net: Network | None, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` as they are, without those that are ``und`` or whose score is below ``least``."""
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and size < 1_000_000:
-                    size += len(texts[end] or "")
-                    end += 1
-                part = texts[start:end]
-                known = [bool(t) and net is not None and (t.isalpha() or any(map(_letter, t))) for t in part]
-                pooled = net.pooled([t.encode("utf-8", "surrogatepass") if k else b"" for t, k in zip(part, known)]) if net else np.zeros((len(part), 1))
-                best = pooled.argmax(axis=1)
-                langs = [net.labels[i] if k else "und" for i, k in zip(best, known)]
-                scores = [float(min(1.0, max(0.0, p[i]))) if k else 0.0 for p, i, k in zip(pooled, best, known)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in b.columns[1:]), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
-                start = end
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    return docs.select(F.col(text_col).alias("_text_"), F.col(id_col).alias("doc_id"), *keep).mapInArrow(run, schema)
+            langs, scores = judged(net, b.column(at).to_pylist())
+            stay = b.filter(pa.array([k != "und" and x >= least for k, x in zip(langs, scores)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(stay.columns, names)
+
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, docs.schema)
 
 
 def op7_bigru_lang(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ above MOST_REPEATS times its source's size stops there, and the rest is shared b
 block, and with it a document, is taken MOST_REPEATS times at most.
 
 Nulls: null texts have no words; a null source is a source. Empty documents are taken 0 times. Repeated rows are
-documents each. Empty tables give no rows. Reruns agree: all draws follow from SEED, the sizes and the ids.
+documents each. A very long text is many blocks. Other columns, of any name, play no part and pass through
+``documents``. Empty tables give no rows. Reruns agree: all draws follow from SEED, the sizes and the ids.
 
 The driver sees one row for each source (words and blocks), never one for each document.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, table
+from .shared import WORD, cut, packed, table
 
 BLOCK_WORDS = 128
 WEIGHTS = (1, 2, 3)
@@ -166,11 +167,10 @@ class Mix:
         """
         piece = F.struct("pass", "first_word", "n_words")
         taken = self.output().groupBy("doc_id", "_text", "_part", "_row").agg(F.collect_list(piece).alias("_pieces")).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "_pieces")
-        marked = docs.withColumn("_text", F.xxhash64(text_col))
+        marked = docs.select(F.col(id_col).alias("_row_id"), F.xxhash64(text_col).alias("_row_hash"), packed(docs).alias("row"))
         if self.placed.groupBy("doc_id", "_text").count().where("count > 1").limit(1).count():
-            marked = marked.dropDuplicates([id_col, "_text"])  # each of the equal rows has pieces of its own
-        both = marked.join(taken, marked[id_col].eqNullSafe(taken["_id"]) & (marked["_text"] == taken["_hash"]))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+            marked = marked.dropDuplicates(["_row_id", "_row_hash"])  # each of the equal rows has pieces of its own
+        both = marked.join(taken, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")))
         at, names = docs.columns.index(text_col), docs.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ class Mix:
                 pick = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else b.column(k).take(pick) for k in range(len(names))], names)
 
-        return both.select(*names, "_pieces").mapInArrow(run, schema)
+        return both.select(*(F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(names)), "_pieces").mapInArrow(run, docs.schema)
 
 
 def merged(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:

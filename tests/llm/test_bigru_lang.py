@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from maskwright.llm import bigru_lang as G
 from maskwright.llm.shared import table
@@ -31,8 +33,9 @@ def test_gradients_by_differences():
 def test_held_out_accuracy_and_edges(spark):
     docs = table(spark, DATA, "documents")
     net = G.train(docs)
-    out = G.predict(docs, net, keep=("lang", "source")).where(G.held_out()).collect()
-    right = np.mean([r["lang"] == r["lang_pred"] for r in out])
+    langs = {r["doc_id"]: r["lang"] for r in docs.where(G.held_out()).collect()}
+    out = [r for r in G.predict(docs, net).collect() if r["doc_id"] in langs]
+    right = np.mean([langs[r["doc_id"]] == r["lang_pred"] for r in out])
     print("held-out accuracy", right)
     assert len(out) > 150 and right > 0.95
     raw = docs.where("lang = 'de'").first()["text"]
@@ -45,3 +48,29 @@ def test_held_out_accuracy_and_edges(spark):
     assert G.predict(df.limit(0), net).count() == 0
     assert G.train(df.withColumn("lang", F.lit(None).cast("string"))) is None
     assert {r["lang_pred"] for r in G.predict(df, None).collect()} == {"und"}
+    # kept rows are as they were
+    kept = G.accepted(docs, net)
+    sure = {r["doc_id"] for r in G.predict(docs, net).collect() if r["lang_pred"] != "und" and r["score"] >= G.LEAST_SCORE}
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in docs.collect() if r["doc_id"] in sure)
+
+
+def test_windows_and_lengths():
+    """A text's probabilities are the means over its bytes, also at the borders of windows and among other texts."""
+    net = G.Network(["a", "b", "c"], seed=5)
+    texts = [bytes(range(1, 200))[:n] for n in (0, 1, 127, 128, 129, 199)] + [bytes(300), b"\xff" * 128]
+    got = net.pooled(texts)
+    for t, g in zip(texts, got):
+        want = np.zeros(3)
+        for s in range(0, len(t), G.WINDOW):
+            want += net.probabilities(np.frombuffer(t[s : s + G.WINDOW], np.uint8).astype(np.int64)[:, None])[:, :, 0].sum(axis=0)
+        assert np.allclose(g, want / max(1, len(t)), atol=1e-5)
+
+
+@pytest.mark.parametrize("extra", ["score", "lang_pred", "_text_", "Score", "_hash", "window", "a.b"])
+def test_columns_of_any_name_pass_through(spark, extra):
+    schema = StructType([StructField("doc_id", LongType()), StructField(extra, StringType()), StructField("lang", StringType()), StructField("text", StringType())])
+    rows = [(i, "p", "de", "der die das und nicht ein " * 9) for i in range(8)] + [(9, "q", None, None), (10, "r", "de", "12")]
+    df = spark.createDataFrame(rows, schema)
+    net = G.train(df)
+    assert sorted(map(tuple, G.accepted(df, net).collect())) == rows[:8]
+    assert G.predict(df, net).columns == ["doc_id", "lang_pred", "score"]

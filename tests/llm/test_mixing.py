@@ -3,6 +3,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from maskwright.llm import mixing as M
 
@@ -68,3 +70,13 @@ def test_empty(spark):
     df = spark.createDataFrame([(1, "", "a", 1)], "doc_id long, text string, source string, target int")
     assert [tuple(r)[5:] for r in M.Mix(df).taken().collect()] == [(0, 0, 0.0, 0)]
     assert M.Mix(df.limit(0)).taken().count() == 0
+
+
+@pytest.mark.parametrize("extra", ["_text", "_pieces", "_id", "_hash", "row", "size", "block", "pass", "slot", "c0", "a.b"])
+def test_columns_of_any_name_pass_through(spark, extra):
+    schema = StructType([StructField("doc_id", LongType()), StructField(extra, StringType()), StructField("source", StringType()), StructField("text", StringType())])
+    df = spark.createDataFrame([(1, "p", "a", "x y z"), (2, "q", None, "u v"), (3, "r", "a", None)], schema)
+    m = M.Mix(df)
+    out = m.documents(df)
+    assert out.schema == df.schema and {(r[0], r[1], r[2]) for r in out.collect()} <= {(1, "p", "a"), (2, "q", None)}
+    assert sum(len(r["text"].split()) for r in out.collect()) == sum(r["taken"] for r in m.taken().collect()) > 0
