@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, packed, table, uncollected, words
+from .shared import cut, packed, runs, table, uncollected, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -197,14 +197,8 @@ def signed(docs: DataFrame) -> DataFrame:
     @uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and size < GROUP:
-                    size += len(texts[end])
-                    end += 1
-                part = texts[start:end]
+            for start, end in runs(b.column(1), GROUP):
+                part = [x.encode("utf-8", "surrogatepass") for x in b.column(1).slice(start, end - start).to_pylist()]
                 owner, shingle, weight, n = bags(part)
                 ident = signatures(len(part), owner, shingle, weight)
                 keys, sketches = band_keys(ident), ident.astype(np.uint8)
@@ -213,7 +207,6 @@ def signed(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].reshape(-1)))
                 digests = [hashlib.md5(t).digest() for t in part]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), lists, pa.array([x.tobytes() for x in sketches], pa.binary())], ["doc_id", "digest", "n_shingles", "bands", "sketch"])
-                start = end
 
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, digest binary, n_shingles long, bands array<long>, sketch binary")
 

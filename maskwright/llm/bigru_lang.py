@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import runs, table
 
 WINDOW = 128
 HIDDEN = 8
@@ -228,23 +228,17 @@ def train(docs: DataFrame, **columns: str) -> Network | None:
     return net
 
 
-def judged(net: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def judged(net: Network | None, texts: pa.Array) -> tuple[list[str], list[float]]:
     """Languages and scores of texts, about 1 MB of them at a time."""
     langs: list[str] = []
     scores: list[float] = []
-    start = 0
-    while start < len(texts):
-        end, size = start, 0
-        while end < len(texts) and size < 1_000_000:
-            size += len(texts[end] or "")
-            end += 1
-        part = texts[start:end]
+    for start, end in runs(texts, 1_000_000):
+        part = texts.slice(start, end - start).to_pylist()
         known = [bool(t) and net is not None and (t.isalpha() or any(map(str.isalpha, t))) for t in part]
         pooled = net.pooled([t.encode("utf-8", "surrogatepass") if k else b"" for t, k in zip(part, known)]) if net else np.zeros((len(part), 1))
         best = pooled.argmax(axis=1)
         langs += [net.labels[i] if k else "und" for i, k in zip(best, known)]
         scores += [float(min(1.0, max(0.0, p[i]))) if k else 0.0 for p, i, k in zip(pooled, best, known)]
-        start = end
     return langs, scores
 
 
@@ -254,7 +248,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = judged(net, b.column(1).to_pylist())
+            langs, scores = judged(net, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
@@ -266,7 +260,7 @@ def accepted(docs: DataFrame, net: Network | None, least: float = LEAST_SCORE, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = judged(net, b.column(at).to_pylist())
+            langs, scores = judged(net, b.column(at))
             stay = b.filter(pa.array([k != "und" and x >= least for k, x in zip(langs, scores)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(stay.columns, names)
 

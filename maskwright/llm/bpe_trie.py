@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import Cache, encode_texts, groups
-from .shared import table, uncollected
-
-#: Units kept between batches in each worker, about 100 MB.
-MOST_UNITS = 400_000
-#: Remembered pairs of tokens, about 200 MB at most.
-MOST_FITS = 1_000_000
+from .pretokens import Cache, encode_texts
+from .shared import runs, table, uncollected
+
+#: Units kept between batches in a task, about 50 MB.
+MOST_UNITS = 200_000
+#: Remembered pairs of tokens, about 50 MB at most.
+MOST_FITS = 400_000
+#: Bytes of text encoded at a time.
+GROUP = 3_000_000
 _NEVER = 1 << 60
 
 
@@ -204,11 +206,17 @@ class Vocabulary:
             self.heads, self.tails = Cache(MOST_UNITS // 4), Cache(MOST_UNITS)
         return encode_texts(texts, self.heads, self.tails, self.encode_units, self.encode_units)
 
+    def forget(self) -> None:
+        """Gives up what is remembered of texts, so that workers don't hold it for other work."""
+        self._fits.clear()
+        if hasattr(self, "heads"):
+            del self.heads, self.tails
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """One for each worker process."""
     return Vocabulary(path, pattern)
@@ -229,9 +237,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(*vocab)
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            for start, end in groups(texts):
-                raw = v.encode_texts(texts[start:end])
+            for start, end in runs(b.column(1), GROUP):
+                raw = v.encode_texts([x or "" for x in b.column(1).slice(start, end - start).to_pylist()])
                 offsets = np.zeros(len(raw) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in raw], out=offsets[1:])
                 values = np.frombuffer(b"".join(raw), np.int32)
@@ -239,6 +246,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 if decoded:
                     columns.append(pa.array([v.decode(values[a:z].tolist()) for a, z in zip(offsets, offsets[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+        v.forget()
 
     schema = f"doc_id {id_type}, ids array<int>" + ", decoded string" * decoded
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import runs, table
 
 BLOCK = 4096
 SAMPLE_RATE = 8000
@@ -647,24 +647,13 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
-            rows = [payload(x) for x in b.column(1).to_pylist()]
-            for s, e in _groups(rows):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), sizes.slice(s, e - s), pa.array(encode(rows[s:e]), pa.binary())], ["doc_id", "n_bytes", "media"])
+            for s, e in runs(b.column(1), GROUP):
+                rows = [payload(x) for x in b.column(1).slice(s, e - s).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), sizes.slice(s, e - s), pa.array(encode(rows), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_bytes long, media binary")
 
 
-def _groups(rows: list[bytes]):
-    s = total = 0
-    for i, x in enumerate(rows):
-        total += len(x)
-        if total >= GROUP:
-            yield s, i + 1
-            s, total = i + 1, 0
-    if s < len(rows):
-        yield s, len(rows)
-
-
 def blocks(media: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, sample_offset, pcm: the decoded PCM blocks of each stream of ``with_media``."""
     id_type = media.schema["doc_id"].dataType.simpleString()
@@ -693,10 +682,10 @@ def digests(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            streams = b.column(2).to_pylist()
-            for s, e in _groups(streams):
-                raw = decode(streams[s:e])
-                columns = [[len(x) for x in raw], [hashlib.sha256(x).hexdigest() for x in raw], list(map(zlib.crc32, _tails(streams[s:e], raw))), [len(x) for x in streams[s:e]], [hashlib.sha256(x).hexdigest() for x in streams[s:e]], [feature(x) for x in raw]]
+            for s, e in runs(b.column(2), GROUP):
+                streams = b.column(2).slice(s, e - s).to_pylist()
+                raw = decode(streams)
+                columns = [[len(x) for x in raw], [hashlib.sha256(x).hexdigest() for x in raw], list(map(zlib.crc32, _tails(streams, raw))), [len(x) for x in streams], [hashlib.sha256(x).hexdigest() for x in streams], [feature(x) for x in raw]]
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), b.column(1).slice(s, e - s), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
 

@@ -57,14 +57,3 @@ def encode_texts(texts: list[str], heads: Cache, tails: Cache, encode_new, encod
             out.append(feed.join([head(p[0]) + b"".join(map(tail, p[1:])) for p in lines]))
     return out
 
-
-def groups(texts: list[str | None], most_chars: int = 4_000_000):
-    """(start, end) of runs of texts of about so many characters, so that working memory doesn't follow the batch."""
-    start = chars = 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= most_chars:
-            yield start, i + 1
-            start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)

@@ -9,6 +9,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,16 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns))
 
 
+def runs(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts of about so many bytes, so that working memory doesn't follow the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = before = 0
+    while start < len(ends):
+        end = min(len(ends), int(np.searchsorted(ends, before + most_bytes)) + 1)
+        yield start, end
+        start, before = end, int(ends[end - 1])
+
+
 def uncollected(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task's function with the cycle collector off: it would walk millions of small objects, which form no cycles, again and again."""
 

@@ -37,8 +37,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokens import groups, units
-from .shared import scratch, table
+from .pretokens import units
+from .shared import runs, scratch, table, uncollected
 
 MAGIC = b"MWTOKEN1"
 #: Documents in a shard, about; and the most shards, above which shards grow.
@@ -291,14 +291,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
 
+    @uncollected
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer, width)
         end = b"" if end_id is None else end_id.to_bytes(width, "little")
         for b in batches:
             shard = pa.array(np.searchsorted(cuts, b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right").astype(np.int32))
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            for s, e in groups(texts):
-                yield pa.RecordBatch.from_arrays([shard.slice(s, e - s), b.column(0).slice(s, e - s), pa.array([x + end for x in enc.encode(texts[s:e])], pa.binary())], ["shard", "key", "ids"])
+            for s, e in runs(b.column(1), 4_000_000):
+                texts = [x or "" for x in b.column(1).slice(s, e - s).to_pylist()]
+                yield pa.RecordBatch.from_arrays([shard.slice(s, e - s), b.column(0).slice(s, e - s), pa.array([x + end for x in enc.encode(texts)], pa.binary())], ["shard", "key", "ids"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, number, done = None, None, []

@@ -3,6 +3,7 @@ from collections import Counter
 
 import public_tokenizers
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -89,3 +90,24 @@ def test_lines_stage_takes_planted_passages(spark):
     of_passages = {x for _, p in planted for x in p}
     assert all([x for x in t if x not in of_passages] == [x for x in left[i] if x not in of_passages] for i, t in enumerate(texts))
     assert all(x["n_chars"] == len(x["text"]) for x in got.values())
+
+
+def test_stages_keep_columns_of_any_name_and_odd_rows(spark):
+    names = ["score", "lang_pred", "_key", "_h", "_lines", "_ends", "_text", "_md5", "digest", "block", "row", "a.b"]
+    schema = StructType([StructField("doc_id", LongType()), *(StructField(n, StringType()) for n in names), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType()), StructField("text", StringType())])
+    extra = tuple(f"x{i}" for i in range(len(names)))
+    text = "der hund und die katze sind nicht im haus " * 8
+    texts = [(i, f"{text} {i} " + "wort " * (30 * i), "de") for i in range(1, 6)] + [(7, None, "de"), (8, "", None), (9, "1 2 3", "de"), (None, text, None), (10, text, "de"), (10, text, "de"), (11, text * 2000, "de")]
+    docs = spark.createDataFrame([(d, *extra, lang, "s", 0, t) for d, t, lang in texts], schema)
+    for name, stage in P.STAGES[:-1]:
+        docs = cut(stage(spark, docs, DATA), name)
+        assert docs.columns == schema.names, name
+        rows = docs.collect()
+        assert rows and all(tuple(r)[1 : 1 + len(names)] == extra for r in rows), name
+        if name == "language":
+            assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(d) for d, t, _ in texts if d not in (7, 8, 9))
+    out = P.encode(spark, docs, DATA).collect()
+    assert len(out) == docs.count() and all(r["exact"] for r in out)
+    none = spark.createDataFrame([], schema)
+    for _, stage in P.STAGES:
+        assert stage(spark, none, DATA).count() == 0
