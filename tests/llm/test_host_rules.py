@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.llm import host_rules as H
 
@@ -52,8 +54,44 @@ def test_prior():
     assert H.beta_prior(100, 10, 5, 1.0)[0] / 1e6 == pytest.approx(0.1)  # hosts don't differ: all strength in the prior
 
 
+def test_limit_follows_the_prior():
+    assert H.limit(1e5, 9e5) == pytest.approx(0.2)  # hosts alike: twice the mean
+    assert 0.2 < H.limit(5, 45) < 0.3  # hosts differ: three standard deviations
+    assert H.limit(0.3, 0.3) == H.limit(3e5, 2e5) == H.MOST
+
+
+def mixed_hosts(bad):
+    """20 hosts of 60 documents; ``bad`` gives the share of failing documents of some and how they fail."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    good = lambda: " ".join(word() for _ in range(90))
+    fails = {"short": lambda: "too short", "symbols": lambda: good() + " #" * 12, "lines": lambda: good() + f"\n{word()}" + "\nmore\nmore\nmore\nmore\nmore\nmore"}
+    rows = []
+    for h in range(20):
+        share, rule = bad.get(h, (0.08, "short"))
+        rows += [(len(rows) + i, fails[rule]() if i < 60 * share else good(), f"h{h}", "en", 0) for i in range(60)]
+    return rows
+
+
+@pytest.mark.parametrize("bad", [{}, {3: (0.9, "short")}, {3: (0.7, "symbols"), 4: (0.6, "lines")}, {h: (0.9, "short") for h in range(8)}, {3: (0.12, "short")}])
+def test_bad_hosts_are_rejected_by_the_query_and_its_sql(spark, tmp_path, bad):
+    df = spark.createDataFrame(mixed_hosts(bad), "doc_id long, text string, source string, lang string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    out = H.op5_host_rules(spark, str(tmp_path)).collect()
+    want = {f"h{h}": rule for h, (share, rule) in bad.items() if share > 0.5}
+    sources = {r["doc_id"]: r["source"] for r in df.collect()}
+    for r in out:
+        assert r["host_rules"] == want.get(sources[r["doc_id"]], "")
+        assert r["kept"] == (not r["base_failed"] and sources[r["doc_id"]] not in want)
+    assert any(not r["kept"] and not r["base_failed"] for r in out) == bool(want)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = out[0].__fields__
+    assert sorted(con.sql(f"SELECT {', '.join(names)} FROM ({H.ORACLE})").fetchall()) == sorted(map(tuple, out))
+
+
 def test_long_and_empty(spark):
-    df = spark.createDataFrame([(1, "w " * 300_000, "s", 7)], "doc_id long, text string, source string, kept int")
+    df = spark.createDataFrame([(1, "w " * 300_000, "s", 7)], "doc_id long, text string, source string, kept int").withColumns({c: F.lit(1) for c in ("host", "_host", "n", "host_rules", "rate_short")})
     row = H.judge(df).first()
     assert (row["n_words"], row["n_repeat_words"], row["base_failed"]) == (300_000, 300_000, True)
     assert H.judge(df.limit(0)).count() == 0
