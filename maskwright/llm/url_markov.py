@@ -9,7 +9,8 @@ a uniform 1/256; a context that the class never had passes to the shorter one un
 
 Nulls and urls without ``://``: empty host and path, no rule; scored on the text they have. An empty URL scores 0 and
 is allowed when the limit is at most 0. Repeated rows get equal verdicts. Without labelled URLs on either side, no model
-can be had and all unruled URLs are allowed. Empty tables give no rows.
+can be had and all unruled URLs are allowed. A very long URL costs its length. Empty tables give no rows. Other
+columns, of any name, play no part.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, its verdict) of the longest rule that fits, or nulls."""
     rule = verdict = F.lit(None).cast("string")
     for kind, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p if p != "/" else "")
+        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(kind)).otherwise(verdict)
     return rule, verdict
 
@@ -73,24 +74,23 @@ def grams(urls: DataFrame, *keep: str) -> DataFrame:
 def llr_table(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(ctx, ch, llr) for each distinct (ctx, ch) of ``wanted``: log of accepted over rejected smoothed probability.
 
-    ``counts`` has (label, ctx, ch, n) of order ORDER; lower orders are sums of it. All tables here hold distinct
-    character n-grams, which the alphabet bounds, not the number of URLs.
+    ``counts`` has (label, ctx, ch, n) of order ORDER; lower orders are sums of it, made for all orders and both labels at
+    once. All tables here hold distinct character n-grams, which the alphabet bounds, not the number of URLs.
     """
-    out = wanted.select("ctx", "ch")
-    for kind in ("allow", "block"):
-        p = F.lit(1 / 256)
-        own = counts.where(F.col("label") == kind)
-        for k in range(ORDER + 1):
-            short = F.substring("ctx", ORDER + 1 - k, k) if k else F.lit("")
-            n = own.groupBy(short.alias("_c"), F.col("ch").alias("_h")).agg(F.sum("n").alias("_n"))
-            totals = n.groupBy(F.col("_c").alias("_c2")).agg(F.sum("_n").alias("_t"))
-            out = out.withColumn("_s", short)
-            out = out.join(n, (F.col("_s") == F.col("_c")) & (F.col("ch") == F.col("_h")), "left")
-            out = out.join(totals, F.col("_s") == F.col("_c2"), "left")
-            p_k = F.when(F.col("_t").isNull(), p).otherwise((F.coalesce(F.col("_n"), F.lit(0)) + SMOOTHING * p) / (F.col("_t") + SMOOTHING))
-            out = out.withColumn(f"_p{kind}", p_k).drop("_s", "_c", "_h", "_n", "_c2", "_t")
-            p = F.col(f"_p{kind}")
-    return out.select("ctx", "ch", (F.log("_pallow") - F.log("_pblock")).alias("llr"))
+    orders = F.sequence(F.lit(0), F.lit(ORDER))
+    short = lambda k: F.substring(F.col("ctx"), F.lit(ORDER + 1) - k, k)
+    by_order = lambda df, *keep: df.select(*keep, F.explode(F.transform(orders, lambda k: F.struct(k.alias("k"), short(k).alias("c")))).alias("o")).select(*keep, "o.k", "o.c")
+    each = lambda f: [F.sum(F.when(F.col("label") == kind, F.col(f))).alias(f"{f}_{kind}") for kind in ("allow", "block")]
+    n = by_order(counts, "label", "ch", "n").groupBy("k", "c", "ch").agg(*each("n"))
+    totals = by_order(counts.groupBy("label", "ctx").agg(F.sum("n").alias("t")), "label", "t").groupBy("k", "c").agg(*each("t"))
+    met = by_order(wanted, "ctx", "ch").join(n, ["k", "c", "ch"], "left").join(totals, ["k", "c"], "left")
+    out = met.groupBy("ctx", "ch").agg(F.sort_array(F.collect_list(F.struct("k", "n_allow", "n_block", "t_allow", "t_block"))).alias("o"))
+
+    def smoothed(kind: str) -> Column:
+        step = lambda p, x: F.when(x[f"t_{kind}"].isNull(), p).otherwise((F.coalesce(x[f"n_{kind}"], F.lit(0)) + SMOOTHING * p) / (x[f"t_{kind}"] + SMOOTHING))
+        return F.aggregate("o", F.lit(1 / 256), step)
+
+    return out.select("ctx", "ch", (F.log(smoothed("allow")) - F.log(smoothed("block"))).alias("llr"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -103,6 +103,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> Da
     urls = cut(rows.where(F.col("url").isNotNull()).groupBy("url").agg(F.first("label").alias("label")), "url-markov")
     # the part comes from the URL itself: reruns and other SQL engines agree
     part = F.conv(F.substring(F.md5("url"), 1, 6), 16, 10).cast("long") % HOLD_OUT
+    # each URL becomes as many rows as it has characters: so many tasks as a shuffle has, however small the URLs are
+    urls = urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
     keyed = urls.withColumn("_k", F.unhex(F.md5("url"))).withColumn("held", F.col("label").isNotNull() & (part == 0))
     chars = cut(grams(keyed, "_k", "label", "held"), "url-grams")
     counts = chars.where(F.col("label").isNotNull() & ~F.col("held")).groupBy("label", "ctx", "ch").agg(F.count(F.lit(1)).alias("n"))
@@ -147,7 +149,7 @@ def _oracle() -> str:
     url = f"translate(url, '{_AZ}', '{_LOW}')"
     fits = {h: f"(host = '{h}' OR ends_with(host, '.{h}'))" for _, h, _ in RULES}
     order = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
-    case = lambda value: "CASE " + " ".join(f"WHEN {fits[h]}" + (f" AND starts_with(path, '{p}')" if p != "/" else "") + f" THEN '{value(k, h, p)}'" for k, h, p in order) + " END"
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits[h]} AND starts_with(path, '{p}') THEN '{value(k, h, p)}'" for k, h, p in order) + " END"
     steps, last = [], {}
     for kind in ("allow", "block"):
         steps.append(f"q_{kind} AS (SELECT ctx, ch, 1.0 / 256 AS p FROM wanted)")

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from maskwright.llm import url_markov as U
@@ -13,14 +14,15 @@ def parts(spark, urls):
 
 
 def test_hosts_paths_and_rules(spark):
-    got = parts(spark, ["http://A.Example.NET/en/x?q#f", "https://example.net/de/", "http://x.example.com/de/1", "http://example.com/fr/", "http://a.org/fr/z", "http://borg/fr/", "http://org/fr/", "no scheme/x", "://h", "ftp://H?x=/en/", "http://notexample.net/en/", "", None, "http://a.net", "a://b://c/d", "http://ÄB.net/", "http://x.net\n/y"])
+    got = parts(spark, ["http://A.Example.NET/en/x?q#f", "https://example.net/de/", "http://x.example.com/de/1", "http://example.com/fr/", "http://a.org/fr/z", "http://borg/fr/", "http://org/fr/", "no scheme/x", "://h", "ftp://H?x=/en/", "http://notexample.net/en/", "", None, "http://a.net", "a://b://c/d", "http://ÄB.net/", "http://x.net\n/y", "http://A.NET/", "http://x.net?q=/1", "http://x.net#/"])
     assert got["http://A.Example.NET/en/x?q#f"] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert got["https://example.net/de/"] == ("example.net", "/de/", "net/", "block")
     assert got["http://x.example.com/de/1"][2:] == ("example.com/de/", "block") and got["http://example.com/fr/"][2] is None
     assert got["http://a.org/fr/z"][2] == got["http://org/fr/"][2] == "org/fr/" and got["http://borg/fr/"][2] is None
     assert got["no scheme/x"] == got[""] == got[None] == ("", "", None, None)
     assert got["://h"][:2] == ("h", "") and got["ftp://H?x=/en/"][:2] == ("h", "") and got["a://b://c/d"][:2] == ("b:", "//c/d")
-    assert got["http://notexample.net/en/"][2] == "net/" and got["http://a.net"] == ("a.net", "", "net/", "block")
+    assert got["http://notexample.net/en/"][2] == "net/" and got["http://a.net"] == ("a.net", "", None, None)
+    assert got["http://A.NET/"][2] == "net/" and got["http://x.net?q=/1"] == ("x.net", "", None, None) and got["http://x.net#/"][2] is None
     assert got["http://ÄB.net/"][0] == "Äb.net" and got["http://x.net\n/y"][:2] == ("x.net\n", "/y")
 
 
@@ -61,6 +63,20 @@ def test_verdicts_follow_the_models(spark):
     assert sum(got[300 + i] == ("allow" if i < 40 else "block") for i in range(80)) > 74
 
 
+def test_sql_agrees_on_urls_without_a_path(spark, tmp_path):
+    r = random.Random(9)
+    name = lambda s: "".join(r.choice(s) for _ in range(6))
+    urls = [f"http://{name('aeiou')}.org/fr/{name('lmn')}" for _ in range(60)] + [f"http://{name('xyzq')}.net/{name('789')}" for _ in range(60)]
+    urls += [f"http://{name('aeixyz')}.net{tail}" for tail in ("", "?q=/", "#/", "/", "?") for _ in range(6)] + ["", None, "x"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "label", "_k", "score", "n", "held")}).write.parquet(str(tmp_path / "pages.parquet"))
+    got = U.op10_url_markov(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({U.ORACLE})").fetchall()) == sorted(map(tuple, got))
+    ruleless = [x for x in got if x["host"].endswith(".net") and not x["path"]]
+    assert len(ruleless) == 24 and all(x["rule"] is None for x in ruleless)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, None, "h"), (1, None, "h"), (2, "", "h"), (None, "http://b.org/fr/", "h"), (3, "x" * 20_000, "h")], "page_id long, url string, host string")
     got = U.judge(df).collect()
