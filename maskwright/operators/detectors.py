@@ -25,6 +25,10 @@ class Rule:
     validator: str | None = None
     invert: bool = False
 
+    def described(self) -> str:
+        """How evidence names the rule."""
+        return (f"pattern:{self.pattern}" if self.pattern else f"in_path:{self.in_path}" if self.in_path else f"validator:{self.validator}") + " (inverted)" * self.invert
+
     def __post_init__(self):
         if sum(x is not None for x in (self.pattern, self.in_path, self.validator)) != 1:
             raise ValueError("a rule has one condition")
@@ -48,11 +52,20 @@ class Detector:
     entropy_threshold: float = 4.0
     max_match_length: int = 8192
     origin: str = "built_in"
+    priority: int = 0
     needs: str | None = field(default=None, compare=False)  # a literal that every match contains
+    begins: str | None = field(default=None, compare=False)  # a pattern that every match begins with
 
     def rules(self) -> list[Rule]:
         return [*self.boosters, *self.suppressors]
 
+    def scanned(self) -> str:
+        """The pattern as it is searched: what a match begins with is looked at first, as word borders cost more."""
+        if not self.begins:
+            return self.pattern
+        flags = re.match(r"\(\?[a-zA-Z]+\)|", self.pattern)[0]
+        return f"{flags}(?={self.begins}){self.pattern[len(flags):]}"
+
 
 VALIDATORS = {"luhn": T.luhn}
 
@@ -72,16 +85,16 @@ _URI_END = r"""(?=\s|$|["`}\]>]|,(?=\s|$|[}\]]|["']?[a-z_][a-z0-9_.-]{0,254}["']
 _WRAPPED = rf"""(?iU)(?:(["'`])({_URI})\1|(\()({_URI})(\))|(\[)({_URI})(\])|(\{{)({_URI})(\}})|(<)({_URI})(>))(?=\s|$|[,;.)\]}}>])|({_URI}){_URI_END}"""
 
 BUILT_IN: tuple[Detector, ...] = (
-    Detector("aws_access_key", "credential", "AWS access key ID", 0.90, r"(?U)\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", specificity=100, suppresses=_SECRET, boosters=(Rule(0.05, pattern=r"(?i)aws|access_key|access key|aws_access_key_id"),), suppressors=_decoys()),
-    Detector("connection_string", "credential", "Database/service connection string with embedded credentials", 0.85, _WRAPPED, value="$1$3$6$9$12\u0001$2$4$7$10$13$15\u0001$1$5$8$11$14", specificity=100, suppresses=("email", "high_entropy_secret"), boosters=(Rule(0.05, pattern=r"(?i)database|\bdb\b|conn(?:ection)?"),), suppressors=_decoys(), max_match_length=5000, needs="://"),
-    Detector("credit_card", "financial", "Credit or debit card number", 0.55, r"(?U)\b(?:\d[ -]?){12,18}\d\b", specificity=90, boosters=(Rule(0.35, validator="luhn"), Rule(0.05, pattern=r"(?i)card|visa|mastercard|amex|discover")), suppressors=_decoys(Rule(-0.40, validator="luhn", invert=True))),
-    Detector("email", "personal_id", "Email address", 0.55, r"(?U)\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,63}\b", specificity=50, boosters=(Rule(0.10, pattern=r"(?i)contact|email|reach (?:me|us)|personal"),), suppressors=_decoys(words=_DECOY + "|noreply|no-reply|donotreply"), max_match_length=382, needs="@"),
-    Detector("high_entropy_secret", "credential", "High-entropy token", 0.65, r"[A-Za-z0-9+/_=-]{20,64}", method="entropy", specificity=10, boosters=(Rule(0.15, pattern=r"(?i)key|token|secret"),), suppressors=_decoys()),
-    Detector("jwt", "credential", "JSON Web Token (JWT)", 0.90, r"(?U)\bey[A-Za-z0-9_-]{10,8192}\.[A-Za-z0-9_-]{10,8192}\.[A-Za-z0-9_-]{10,8192}\b", specificity=100, suppresses=_SECRET, boosters=(Rule(0.05, pattern=r"(?i)token|jwt|bearer|authorization"),), suppressors=_decoys(), max_match_length=24581),
-    Detector("password_assignment", "credential", "Hard-coded password or secret assignment", 0.80, r"(?iU)(\b\w{0,64}(?:password|passwd|pwd|secret)\w{0,64}\s{0,32}[:=]\s{0,32})([^\s,;]{4,4096})", value="$1\u0001$2\u0001", specificity=80, suppresses=_SECRET, boosters=(Rule(0.15, pattern=r"(?i)prod|production|live"),), suppressors=_decoys(after=(Rule(-0.40, pattern=r"(?i)\b(placeholders?|replace[- ]before[- ]use)\b"),)), max_match_length=4300),
-    Detector("phone", "personal_id", "Phone number", 0.50, r"(?U)\b(?:\+?1[-. ]?)?\(?\d{3}\)?[-. ]?\d{3}[-. ]?\d{4}\b", specificity=50, boosters=(Rule(0.15, pattern=r"(?i)phone|call|mobile|cell|tel\.?:"),), suppressors=_decoys()),
-    Detector("private_key_header", "credential", "Private key (PEM block or header)", 0.97, r"(?s)-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----(?:.*?-----END (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----)?", specificity=100, suppresses=_SECRET, suppressors=_decoys(), max_match_length=1_048_576, needs="PRIVATE KEY-----"),
-    Detector("us_ssn", "personal_id", "U.S. Social Security Number", 0.85, r"(?U)\b\d{3}-\d{2}-\d{4}\b", specificity=90, boosters=(Rule(0.10, pattern=r"(?i)ssn|social security"),), suppressors=_decoys(after=(Rule(-0.40, pattern=r"(?i)\b(migration|legacy report|not a person)\b"),))),
+    Detector("aws_access_key", "credential", "Key id of a cloud account", 0.90, r"(?U)\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", specificity=100, suppresses=_SECRET, boosters=(Rule(0.05, pattern=r"(?i)aws|access_key|access key|aws_access_key_id"),), suppressors=_decoys(), begins=r"A[KS]IA"),
+    Detector("connection_string", "credential", "Address of a service with a user and a password in it", 0.85, _WRAPPED, value="$1$3$6$9$12\u0001$2$4$7$10$13$15\u0001$1$5$8$11$14", specificity=100, suppresses=("email", "high_entropy_secret"), boosters=(Rule(0.05, pattern=r"(?i)database|\bdb\b|conn(?:ection)?"),), suppressors=_decoys(), max_match_length=5000, needs="://"),
+    Detector("credit_card", "financial", "Number of a payment card", 0.55, r"(?U)\b(?:\d[ -]?){12,18}\d\b", specificity=90, boosters=(Rule(0.35, validator="luhn"), Rule(0.05, pattern=r"(?i)card|visa|mastercard|amex|discover")), suppressors=_decoys(Rule(-0.40, validator="luhn", invert=True)), begins=r"\p{Nd}"),
+    Detector("email", "personal_id", "Address for mail", 0.55, r"(?U)\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,63}\b", specificity=50, boosters=(Rule(0.10, pattern=r"(?i)contact|email|reach (?:me|us)|personal"),), suppressors=_decoys(words=_DECOY + "|noreply|no-reply|donotreply"), max_match_length=382, needs="@"),
+    Detector("high_entropy_secret", "credential", "Run of characters that looks random", 0.65, r"[A-Za-z0-9+/_=-]{20,64}", method="entropy", specificity=10, boosters=(Rule(0.15, pattern=r"(?i)key|token|secret"),), suppressors=_decoys()),
+    Detector("jwt", "credential", "Signed web token in three parts", 0.90, r"(?U)\bey[A-Za-z0-9_-]{10,8192}\.[A-Za-z0-9_-]{10,8192}\.[A-Za-z0-9_-]{10,8192}\b", specificity=100, suppresses=_SECRET, boosters=(Rule(0.05, pattern=r"(?i)token|jwt|bearer|authorization"),), suppressors=_decoys(), max_match_length=24581, begins=r"ey"),
+    Detector("password_assignment", "credential", "Password or secret put into text by name", 0.80, r"(?iU)(\b\w{0,64}(?:password|passwd|pwd|secret)\w{0,64}\s{0,32}[:=]\s{0,32})([^\s,;]{4,4096})", value="$1\u0001$2\u0001", specificity=80, suppresses=_SECRET, boosters=(Rule(0.15, pattern=r"(?i)prod|production|live"),), suppressors=_decoys(after=(Rule(-0.40, pattern=r"(?i)\b(placeholders?|replace[- ]before[- ]use)\b"),)), max_match_length=4300),
+    Detector("phone", "personal_id", "Number of a telephone", 0.50, r"(?U)\b(?:\+?1[-. ]?)?\(?\d{3}\)?[-. ]?\d{3}[-. ]?\d{4}\b", specificity=50, boosters=(Rule(0.15, pattern=r"(?i)phone|call|mobile|cell|tel\.?:"),), suppressors=_decoys(), begins=r"[+(\p{Nd}]"),
+    Detector("private_key_header", "credential", "Private key in PEM form, or its first line", 0.97, r"(?s)-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----(?:.*?-----END (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----)?", specificity=100, suppresses=_SECRET, suppressors=_decoys(), max_match_length=1_048_576, needs="PRIVATE KEY-----"),
+    Detector("us_ssn", "personal_id", "Social security number of the USA", 0.85, r"(?U)\b\d{3}-\d{2}-\d{4}\b", specificity=90, boosters=(Rule(0.10, pattern=r"(?i)ssn|social security"),), suppressors=_decoys(after=(Rule(-0.40, pattern=r"(?i)\b(migration|legacy report|not a person)\b"),)), begins=r"\p{Nd}"),
 )
 
 
@@ -139,9 +152,9 @@ def dimension(spark: SparkSession, detectors: list[Detector]) -> DataFrame:
     return spark.createDataFrame(rows, "detector_id string, category string, description string, method string, pattern string, base_confidence double, specificity int, suppresses array<string>, max_match_length int, origin string, rules int")
 
 
-def spans_of(d: Detector, text: Column) -> Column:
+def spans_of(d: Detector, text: Column, most: int | None = None) -> Column:
     """The detector's candidates: found, quotes stripped from grouped values, over-long ones dropped, entropy tested."""
-    found = T.match_spans(text, d.pattern, d.value) if d.value else T.match_spans(text, d.pattern)
+    found = T.match_spans(text, d.scanned(), *((d.value,) if d.value else ()), most=most)
     if d.needs:
         found = F.when(text.contains(d.needs), found).otherwise(F.array().cast(T.SPAN))
     if d.value and d.id != "connection_string":
@@ -151,43 +164,90 @@ def spans_of(d: Detector, text: Column) -> Column:
     return F.filter(found, lambda s: T.entropy(s["value"]) >= d.entropy_threshold) if d.method == "entropy" else found
 
 
+def _holds(r: Rule, value: Column, near: Column, path: Column) -> Column:
+    holds = near.rlike(r.pattern) if r.pattern else path.rlike(r.in_path) if r.in_path else VALIDATORS[r.validator](value)
+    return ~holds if r.invert else holds
+
+
 def confidence(d: Detector, value: Column, near: Column, path: Column) -> Column:
     """Base and rule weights, added in the rules' order and clamped once at the end."""
     total = F.lit(d.base)
     for r in d.rules():
-        holds = near.rlike(r.pattern) if r.pattern else path.rlike(r.in_path) if r.in_path else VALIDATORS[r.validator](value)
-        if r.invert:
-            holds = ~holds
-        total = total + F.when(holds, F.lit(r.weight)).otherwise(F.lit(0.0))
+        total = total + F.when(_holds(r, value, near, path), F.lit(r.weight)).otherwise(F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
-def detect(docs: DataFrame, detectors: list[Detector], categories: tuple[str, ...] = (), tier_limit: float = TIER_LIMIT, can_anonymize: Column | None = None, scale: float = SCALE, offset: float = OFFSET) -> DataFrame:
-    """A scored detection for each hit in (path, text): no shuffle, and no text behind the projection.
+def evidence(d: Detector, value: Column, near: Column, path: Column) -> Column:
+    """What the rules that hold say, in their order."""
+    said = [F.when(_holds(r, value, near, path), F.lit(r.described())) for r in d.rules()]
+    return F.array_compact(F.array(*said)) if said else F.array().cast("array<string>")
 
-    All detectors run whatever the categories asked for, as hidden ones decide about others; ``category_selected``
-    says which count. Patterns are constants of the plan, so each is compiled once a task.
+
+def hits(docs: DataFrame, detectors: list[Detector], keep: tuple[str, ...] = (), most: int = MOST_CANDIDATES) -> DataFrame:
+    """A row for each candidate in (path, text): path, the columns ``keep``, k (the detector's number), start, end, value, line,
+    column, near (the value with 100 characters on either side), location (of docs with segments) and over; of a text with more than ``most`` candidates
+    one row with over alone.
+
+    No shuffle, and no text behind the projection. Each detector reads a text once; only texts with candidates are
+    indexed, and each candidate costs pieces of the index. Patterns are constants of the plan, compiled once a task.
     """
-    def hits(d: Detector) -> Column:
-        text, chosen = F.col("text"), d.origin == "user_target" or not categories or d.category in categories
+    text, names = F.col("text"), [f"_s{k}" for k in range(len(detectors))]
+    segments = ["segments"] if "segments" in docs.columns else []
+    found = docs.select("path", *keep, *segments, "text", *(spans_of(d, text, most).alias(n) for d, n in zip(detectors, names)))
+    total = sum((F.size(n) for n in names), F.lit(0))
+    found = found.withColumn("_n", total).withColumn("_index", F.when(F.col("_n").between(1, most), T.index(text))).withColumn("_marked", F.contains(text, F.lit("\u0001")))
+    at = F.col("_index")
 
-        def hit(s: Column) -> Column:
-            near = T.window(text, s["start"], s["end"])
-            return F.struct(
-                F.lit(d.id).alias("detector_id"), F.lit(d.category).alias("category"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-                T.line_of(text, s["start"]).alias("line"), T.column_of(text, s["start"]).alias("column"), confidence(d, s["value"], near, F.col("path")).alias("confidence"),
-                F.lit(d.specificity).alias("specificity"), F.array(*map(F.lit, d.suppresses)).cast("array<string>").alias("suppresses"), F.lit(d.origin).alias("origin"), F.lit(chosen).alias("category_selected"),
-            )
+    def hit(k: int):
+        return lambda s: made(k, s)
 
-        return F.transform(spans_of(d, text), hit)
+    def made(k: int, s: Column) -> Column:
+        own = F.when(F.col("_marked"), T.sliced(at, s["start"], s["end"])).otherwise(s["value"])
+        near = T.sliced(at, F.greatest(s["start"] - 100, F.lit(0)), s["end"] + 100)
+        label = T.location(F.col("segments"), s["start"]) if segments else F.lit(None).cast("string")
+        return F.struct(F.lit(k).alias("k"), s["start"].alias("start"), s["end"].alias("end"), own.alias("value"), T.place(at, s["start"]).alias("at"), near.alias("near"), label.alias("location"), F.lit(False).alias("over"))
 
-    arrays = [hits(weighted(d, scale, offset)) for d in detectors]
-    out = docs.select("path", (can_anonymize if can_anonymize is not None else F.lit(True)).alias("can_anonymize"), F.explode(F.concat(*arrays)).alias("d")).select("path", "can_anonymize", "d.*")
+    kind = "array<struct<k:int,start:int,end:int,value:string,at:struct<line:int,column:int>,near:string,location:string,over:boolean>>"
+    each = F.concat(*(F.transform(n, hit(k)) for k, n in enumerate(names))).cast(kind) if names else F.array().cast(kind)
+    over = F.array(F.struct(*(F.lit(None) for _ in range(7)), F.lit(True))).cast(kind)
+    out = found.select("path", *keep, F.explode(F.when(F.col("_n") > most, over).otherwise(each)).alias("h"))
+    return out.select("path", *keep, "h.k", "h.start", "h.end", "h.value", "h.at.line", "h.at.column", "h.near", "h.location", "h.over")
+
+
+def scored(found: DataFrame, detectors: list[Detector], categories: tuple[str, ...] = (), tier_limit: float = TIER_LIMIT, scale: float = SCALE, offset: float = OFFSET, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A detection for each row of ``hits``, with confidence, tier and the detector's fields.
+
+    All detectors run whatever the categories asked for, as hidden ones decide about others; ``category_selected``
+    says which count.
+    """
+    weights = [weighted(d, scale, offset) for d in detectors]
+
+    def by_detector(values, kind: str) -> Column:
+        return F.get(F.array(*values).cast(f"array<{kind}>"), F.col("k"))
+
+    def case(f) -> Column:
+        out = None
+        for k, d in enumerate(weights):
+            x = f(d, F.col("value"), F.col("near"), F.col("path"))
+            out = F.when(F.col("k") == k, x) if out is None else out.when(F.col("k") == k, x)
+        return out if out is not None else F.lit(None)
+
+    out = found.where("NOT over").select(
+        "path", *keep, by_detector([F.lit(d.id) for d in weights], "string").alias("detector_id"), by_detector([F.lit(d.category) for d in weights], "string").alias("category"),
+        "start", "end", "value", "line", "column", "location", case(confidence).cast("double").alias("confidence"), case(evidence).cast("array<string>").alias("evidence"),
+        by_detector([F.lit(d.specificity) for d in weights], "int").alias("specificity"), by_detector([F.array(*map(F.lit, d.suppresses)).cast("array<string>") for d in weights], "array<string>").alias("suppresses"),
+        by_detector([F.lit(d.origin) for d in weights], "string").alias("origin"), by_detector([F.lit(d.priority) for d in weights], "int").alias("priority"),
+        by_detector([F.lit(d.origin == "user_target" or not categories or d.category in categories) for d in weights], "boolean").alias("category_selected"), "near",
+    )
     return out.withColumn("tier", F.when(F.col("confidence") >= tier_limit, "A").otherwise("B"))
 
 
-def within_budget(detections: DataFrame, most: int = MOST_CANDIDATES) -> tuple[DataFrame, DataFrame]:
-    """(detections of files within the budget, skipped files)."""
-    counts = detections.groupBy("path").count()
-    over = counts.where(F.col("count") > most).select("path")
-    return detections.join(over, "path", "left_anti"), over.select("path", F.lit("detection_limit").alias("code"))
+def detect(docs: DataFrame, detectors: list[Detector], categories: tuple[str, ...] = (), tier_limit: float = TIER_LIMIT, can_anonymize: Column | None = None, scale: float = SCALE, offset: float = OFFSET, most: int = MOST_CANDIDATES) -> DataFrame:
+    """A scored detection for each hit in (path, text), of texts within the budget."""
+    docs = docs.withColumn("can_anonymize", can_anonymize if can_anonymize is not None else F.lit(True))
+    return scored(hits(docs, detectors, ("can_anonymize",), most), detectors, categories, tier_limit, scale, offset, ("can_anonymize",))
+
+
+def over_budget(found: DataFrame) -> DataFrame:
+    """The texts of ``hits`` that have too many candidates, as skipped files."""
+    return found.where("over").select("path", F.lit("detection_limit").alias("code"), F.lit("detect").alias("stage"), F.lit(None).cast("string").alias("rule")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -18,10 +20,13 @@ def islands(spans: DataFrame, *order) -> DataFrame:
     return out.withColumn("island", F.sum("_new").over(by_start.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
-def linked_labels(rows: pd.DataFrame) -> pd.DataFrame:
-    """Component number of each detection of one island, by the detections' numbers: equal spans, or containment with suppression."""
-    n = len(rows)
-    root = list(range(n))
+def labelled(members: list[dict]) -> list[int]:
+    """Of the detections of one island, the number of the first one in the component of each: equal spans, or containment with
+    suppression.
+
+    Suppressed detectors' spans are looked up by their starts, so an island costs its links and not the square of its size.
+    """
+    root = list(range(len(members)))
 
     def find(i):
         while root[i] != i:
@@ -29,52 +34,72 @@ def linked_labels(rows: pd.DataFrame) -> pd.DataFrame:
             i = root[i]
         return i
 
-    start, end, kind = rows["start"].tolist(), rows["end"].tolist(), rows["detector_id"].tolist()
-    hides = [set(x) if x is not None else set() for x in rows["suppresses"]]
+    def join(i, j):
+        i, j = find(i), find(j)
+        root[max(i, j)] = min(i, j)
+
     spans: dict[tuple[int, int], int] = {}
-    for i in range(n):
-        j = spans.setdefault((start[i], end[i]), i)
-        root[find(i)] = find(j)
-    for i in range(n):
-        if hides[i]:
-            for j in range(n):
-                if i != j and kind[j] in hides[i] and start[i] <= start[j] and end[i] >= end[j]:
-                    root[find(j)] = find(i)
-    return pd.DataFrame({"path": rows["path"], "n": rows["n"], "component": [int(min(rows["n"].iloc[k] for k in range(n) if find(k) == find(i))) for i in range(n)]})
+    by_kind: dict[str, list[tuple[int, int, int]]] = {}
+    for i, m in enumerate(members):
+        join(i, spans.setdefault((m["start"], m["end"]), i))
+        by_kind.setdefault(m["detector_id"], []).append((m["start"], m["end"], i))
+    for rows in by_kind.values():
+        rows.sort()
+    for i, m in enumerate(members):
+        for kind in m["suppresses"] if m["suppresses"] is not None else ():
+            rows = by_kind.get(kind, [])
+            k = bisect_left(rows, (m["start"], -1, -1))
+            while k < len(rows) and rows[k][0] <= m["end"]:
+                if rows[k][1] <= m["end"] and rows[k][2] != i:
+                    join(i, rows[k][2])
+                k += 1
+    return [find(i) for i in range(len(members))]
+
+
+def _labels(members: pd.Series) -> pd.Series:
+    """Labels of islands of several detections; lone ones come as nulls and cost nothing here."""
+    return members.map(lambda rows: None if rows is None else labelled(list(rows)))
+
+
+_MEMBER = ("detector_id", "category", "start", "end", "value", "line", "column", "confidence", "tier", "specificity", "suppresses", "origin", "category_selected", "can_anonymize", "priority", "location", "evidence", "near")
 
 
 def grouped(detections: DataFrame) -> DataFrame:
-    """Adds component: the number, in its path, of the first detection of the group that is one finding.
+    """(path, members): the detections of each group that is one finding, in the order of their spans.
 
-    Groups lie inside overlap islands, and nearly all islands are one detection; only the others go through Python.
+    Groups lie inside overlap islands, which one window over each path finds; nearly all islands are one detection, and only the
+    others go through Python. One shuffle in all, by path.
     """
-    numbered = islands(detections, "detector_id").withColumn("n", F.row_number().over(W.partitionBy("path").orderBy("start", F.desc("end"), "detector_id")))
-    numbered = numbered.withColumn("_size", F.count(F.lit(1)).over(W.partitionBy("path", "island")))
-    many = numbered.where("_size > 1").select("path", "island", "n", "start", "end", "detector_id", "suppresses")
-    labels = many.groupBy("path", "island").applyInPandas(linked_labels, "path string, n int, component int")
-    out = numbered.join(labels, ["path", "n"], "left")
-    return out.withColumn("component", F.coalesce("component", "n")).drop("_size")
+    for c, kind in (("priority", "int"), ("location", "string"), ("evidence", "array<string>"), ("near", "string")):
+        if c not in detections.columns:
+            detections = detections.withColumn(c, F.lit(0 if kind == "int" else None).cast(kind))
+    placed = islands(detections, "detector_id").groupBy("path", "island").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("a"), (-F.col("end")).alias("z"), F.col("detector_id").alias("d"), F.struct(*_MEMBER).alias("m")))).alias("m"))
+    placed = placed.select("path", F.transform("m", lambda x: x["m"]).alias("all"))
+    spans = F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["detector_id"].alias("detector_id"), x["suppresses"].alias("suppresses")))
+    placed = placed.withColumn("labels", F.pandas_udf(_labels, "array<int>")(F.when(F.size("all") > 1, spans)))
+    of = lambda label: F.transform(F.filter(F.arrays_zip("all", "labels"), lambda z: z["labels"] == label), lambda z: z["all"])
+    parts = F.when(F.col("labels").isNull(), F.array("all")).otherwise(F.transform(F.array_distinct("labels"), of))
+    return placed.select("path", F.explode(parts).alias("members"))
 
 
 def consolidate(detections: DataFrame) -> DataFrame:
     """A canonical finding for each component: its primary detection, its extent, and the others as supporting evidence.
 
-    The primary is the least by (suppressed, -specificity, -length, detector, start, end). Supporting detectors give their
-    highest confidence, the first in the primary's order on ties; relationship: suppressed, same_span or overlap_chain.
+    The primary is the least by (suppressed, -priority, -specificity, -length, detector, start, end). Supporting detectors give
+    their highest confidence, the first in the primary's order on ties; relationship: suppressed, same_span or overlap_chain.
     """
-    fields = ("detector_id", "category", "start", "end", "value", "line", "column", "confidence", "tier", "specificity", "suppresses", "origin", "category_selected", "can_anonymize")
-    members = grouped(detections).groupBy("path", "component").agg(F.collect_list(F.struct(*fields)).alias("members"))
+    members = grouped(detections)
     m = F.col("members")
     hidden = lambda x: F.exists(m, lambda o: F.array_contains(o["suppresses"], x["detector_id"]) & (o["start"] <= x["start"]) & (o["end"] >= x["end"]))
     # arrays of structs sort by their fields from the first
-    keyed = F.array_sort(F.transform(m, lambda x: F.struct(hidden(x).alias("suppressed"), (-x["specificity"]).alias("s"), (x["start"] - x["end"]).alias("l"), x["detector_id"].alias("d"), x["start"].alias("a"), x["end"].alias("z"), x.alias("m"))))
+    keyed = F.array_sort(F.transform(m, lambda x: F.struct(hidden(x).alias("suppressed"), (-x["priority"]).alias("p"), (-x["specificity"]).alias("s"), (x["start"] - x["end"]).alias("l"), x["detector_id"].alias("d"), x["start"].alias("a"), x["end"].alias("z"), x.alias("m"))))
     out = members.withColumn("keyed", keyed).withColumn("primary", F.get("keyed", F.lit(0)))
     p, at = F.col("primary.m"), F.array_sort(F.transform(m, lambda x: F.struct(x["start"].alias("a"), x["end"].alias("z"), x["detector_id"].alias("d"))))
     signature = F.array_join(F.transform(at, lambda x: F.concat_ws(":", x["d"], x["a"].cast("string"), x["z"].cast("string"))), "|")
     first, last = F.array_min(F.transform(m, lambda x: x["start"])), F.array_max(F.transform(m, lambda x: x["end"]))
     relation = lambda x: F.when(x["suppressed"], "suppressed").when((x["a"] == p["start"]) & (x["z"] == p["end"]), "same_span").otherwise("overlap_chain")
     rest = F.slice("keyed", 2, F.size("keyed"))
-    best = lambda x: ~F.exists(F.filter("others", lambda o: (o["d"] == x["d"])), lambda o: (o["m"]["confidence"] > x["m"]["confidence"]) | ((o["m"]["confidence"] == x["m"]["confidence"]) & (F.struct(o["s"], o["l"], o["d"], o["a"], o["z"]) < F.struct(x["s"], x["l"], x["d"], x["a"], x["z"]))))
+    best = lambda x: ~F.exists(F.filter("others", lambda o: (o["d"] == x["d"])), lambda o: (o["m"]["confidence"] > x["m"]["confidence"]) | ((o["m"]["confidence"] == x["m"]["confidence"]) & (F.struct(o["p"], o["s"], o["l"], o["d"], o["a"], o["z"]) < F.struct(x["p"], x["s"], x["l"], x["d"], x["a"], x["z"]))))
     out = out.withColumn("others", rest)
     support = F.array_sort(F.transform(F.filter("others", best), lambda x: F.struct(x["d"].alias("detector_id"), x["m"]["confidence"].alias("confidence"), relation(x).alias("relationship"))))
     return out.select(
@@ -84,6 +109,7 @@ def consolidate(detections: DataFrame) -> DataFrame:
         F.exists(m, lambda x: x["origin"] == "user_target").alias("has_user_target"), first.alias("group_start"), last.alias("group_end"),
         F.size(m).alias("raw_count"), F.size(F.filter(F.slice("keyed", 2, F.size("keyed")), lambda x: x["suppressed"])).alias("suppressed_count"), F.transform(m, lambda x: x["detector_id"]).alias("raw_detectors"), support.alias("supporting"),
         F.when(p["can_anonymize"] & (p["tier"] == "A"), "anonymize").otherwise("review").alias("suggested_action"), T.preview(p["value"]).alias("preview"),
+        p["location"].alias("location"), p["evidence"].alias("evidence"), p["near"].alias("near"),
     )
 
 

@@ -50,7 +50,9 @@ def refine(findings: DataFrame, judge: Judge, tier_limit: float = TIER_LIMIT) ->
 
     Only the band goes to Python; the verdicts come back by an equi-join on the finding's id.
     """
-    asked = findings.where(unsure(F.col("confidence"))).select("id", prompt(F.col("detector_id"), F.col("preview"), F.col("path")).alias("prompt"))
+    # the characters around the value, with the value itself masked
+    near = F.replace(F.col("near"), F.col("value"), F.col("preview"))
+    asked = findings.where(unsure(F.col("confidence"))).select("id", prompt(F.col("detector_id"), F.col("preview"), near).alias("prompt"))
     said = verdicts(asked, judge).withColumnRenamed("id", "_id")
     out = findings.join(said, F.col("id") == F.col("_id"), "left").drop("_id")
     merged = F.when(F.col("verdict").isNotNull(), (F.col("confidence") + F.col("verdict")) / 2).otherwise(F.col("confidence"))

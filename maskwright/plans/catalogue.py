@@ -55,7 +55,8 @@ def oracle_sql() -> dict[str, str]:
 
 def documents(spark, sf_dir: str) -> DataFrame:
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(path.alias("path"), "text", "lang", "doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(path.alias("path"), "text", "lang", "doc_id")
+    return R.spread(docs)
 
 
 def detections(spark, sf_dir: str, **how) -> DataFrame:
@@ -110,13 +111,8 @@ def entropy_tokens(spark, sf_dir):
 
 @query(f'WITH {O.DOCS}, {O.spans(PLAIN)} SELECT path, detector_id, start, substr(text, greatest(start - 100, 0) + 1, "end" + 100 - greatest(start - 100, 0)) AS near FROM raw')
 def context_window(spark, sf_dir):
-    text = F.col("text")
-
-    def near(d):
-        return F.transform(D.spans_of(d, text), lambda s: F.struct(F.lit(d.id).alias("detector_id"), s["start"].alias("start"), T.window(text, s["start"], s["end"]).alias("near")))
-
-    hits = F.concat(*map(near, PLAIN))
-    return documents(spark, sf_dir).select("path", F.explode(hits).alias("h")).select("path", "h.*")
+    ids = F.array(*(F.lit(d.id) for d in PLAIN))
+    return D.hits(documents(spark, sf_dir), PLAIN).select("path", F.get(ids, F.col("k")).alias("detector_id"), "start", "near")
 
 
 @query(f'{_DET} SELECT path, detector_id, category, start, "end", value, round(confidence, 9) AS confidence, tier FROM det')
@@ -249,10 +245,10 @@ def extension_filter(spark, sf_dir):
     return documents(spark, sf_dir).groupBy(R.longest_extension(F.col("path"), [".txt", "0.txt", ".md"]).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f'{_DET} SELECT path, detector_id, start, "end", value FROM det')
+@query(f'{_DET} SELECT path, detector_id, start, "end", value, line, "column", round(confidence, 9) AS confidence, tier FROM det')
 def chunked_equals_whole(spark, sf_dir):
     """Detections by overlapping windows of the texts, each hit kept by the window that owns its start."""
-    return R.chunked_detections(documents(spark, sf_dir), SCAN, core=3000).select("path", "detector_id", "start", "end", "value")
+    return R.chunked_detections(documents(spark, sf_dir), SCAN, core=3000).select("path", "detector_id", "start", "end", "value", "line", "column", F.round("confidence", 9).alias("confidence"), "tier")
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 2000")

@@ -71,12 +71,6 @@ def load(spark: SparkSession, roots: list[str], **how) -> tuple[DataFrame, DataF
     return docs.where("code IS NULL").drop("code", "reason"), skipped.unionByName(failed)
 
 
-def location(segments, offset):
-    """Label of the last segment that starts at or before the offset, else the first one's; null without segments."""
-    before = F.filter(segments, lambda s: s["start"] <= offset)
-    return F.when(F.size(segments) > 0, F.coalesce(F.element_at(before, -1)["label"], F.get(segments, F.lit(0))["label"]))
-
-
 def fingerprints(spark: SparkSession, roots: list[str]) -> DataFrame:
     out = None
     for root in roots:

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import duckdb
 import pytest
@@ -57,7 +58,7 @@ def test_confidences(spark):
 
 def test_text_functions(spark):
     row = spark.createDataFrame([("a\nbcXd", "0123456789" * 5, "abcd", "4111-1111-1111-1111")], "t string, long string, short string, card string")
-    got = row.select(T.line_of(F.col("t"), F.lit(3)), T.column_of(F.col("t"), F.lit(3)), T.preview(F.col("long")), T.preview(F.col("short")), T.luhn(F.col("card")), T.entropy(F.col("short")), T.entropy(F.lit("")), T.luhn(F.lit("42"))).first()
+    got = row.select(T.place(T.index(F.col("t")), F.lit(3))["line"], T.place(T.index(F.col("t")), F.lit(3))["column"], T.preview(F.col("long")), T.preview(F.col("short")), T.luhn(F.col("card")), T.entropy(F.col("short")), T.entropy(F.lit("")), T.luhn(F.lit("42"))).first()
     assert list(got) == [2, 2, "01" + "*" * 28 + "89", "****", True, 2.0, 0.0, False]
 
 
@@ -113,9 +114,81 @@ def test_user_targets_and_budget(spark):
     target = D.literal_target(0, "Straße")
     found = scan(spark, [("p", "an der STRASSE und Straße")], [target])
     assert [r["start"] for r in found.collect()] == [19]
-    many = scan(spark, [("p", "a.b@c.org " * 5), ("q", "x@y.org")])
-    kept, skipped = D.within_budget(many, 3)
-    assert [r["path"] for r in kept.collect()] == ["q"] and [tuple(r) for r in skipped.collect()] == [("p", "detection_limit")]
+    rows = [("p", "a.b@c.org " * 5), ("q", "x@y.org"), ("r", "")]
+    assert [r["path"] for r in scan(spark, rows, most=3).collect()] == ["q"]
+    found = D.hits(spark.createDataFrame(rows, "path string, text string"), list(D.BUILT_IN), most=3)
+    assert [tuple(r) for r in D.over_budget(found).collect()] == [("p", "detection_limit", "detect", None)]
+    assert len(scan(spark, rows, most=5).collect()) == 6
+
+
+def test_places_and_slices_in_long_texts(spark):
+    r = random.Random(11)
+    texts = ["".join(r.choice("ab\n\u00e9\U0001f600 ") for _ in range(n)) for n in (0, 1, 1023, 1024, 1025, 5000)] + ["x" * 3000, "\n" * 2100]
+    rows = [(t, [min(len(t), k) for k in sorted(r.sample(range(len(t) + 1), min(len(t) + 1, 12)))]) for t in texts]
+    df = spark.createDataFrame(rows, "t string, at array<int>").withColumn("ix", T.index(F.col("t")))
+    cut = lambda k: F.struct(T.place(F.col("ix"), k).alias("p"), T.sliced(F.col("ix"), k, k + 1500).alias("s"))
+    for row in df.select("t", "at", F.transform("at", cut).alias("got")).collect():
+        for k, g in zip(row["at"], row["got"]):
+            if k < len(row["t"]):
+                assert (g["p"]["line"], g["p"]["column"]) == (row["t"].count("\n", 0, k) + 1, k - row["t"].rfind("\n", 0, k))
+            assert g["s"] == row["t"][k : k + 1500]
+
+
+def test_many_hits_in_one_text(spark):
+    """Spans are put together in parts of fixed size: 30,000 hits, each with its own line and column."""
+    text = "\n".join(f"n {i:05d} u{i}@x.org" for i in range(30_000))
+    out = {r["start"]: r for r in scan(spark, [("p", text)], [d for d in D.BUILT_IN if d.id == "email"]).collect()}
+    assert len(out) == 30_000
+    for i in (0, 1, 63, 64, 9999, 29_999):
+        at = text.index(f"u{i}@x.org")
+        assert (out[at]["line"], out[at]["column"], out[at]["value"]) == (i + 1, 9, f"u{i}@x.org")
+
+
+def test_values_are_the_texts_own(spark):
+    got = one(spark, "password = ab\x01cdefgh\x01 and x@y.org")
+    assert {k[3] for k in got} == {"ab\x01cdefgh\x01", "x@y.org"}
+
+
+def test_evidence_and_priority(spark):
+    r = one(spark, "visa 4111 1111 1111 1111", "test/a.txt")
+    (card,) = [x for k, x in r.items() if k[0] == "credit_card"]
+    assert [x.split(":")[0] for x in card["evidence"]] == ["validator", "pattern", "in_path"] and card["near"] == "visa 4111 1111 1111 1111"
+    high = D.Detector("a", "x", "", 0.5, "abc", specificity=10, priority=1)
+    low = D.Detector("b", "x", "", 0.5, "abc", specificity=90)
+    found = G.consolidate(scan(spark, [("p", "abc")], [high, low])).first()
+    assert found["detector_id"] == "a" and [x["relationship"] for x in found["supporting"]] == ["same_span"]
+
+
+def test_chunks_give_every_column_of_the_whole(spark):
+    """Windows over borders of all kinds, with a key of 100,000 characters across several cores."""
+    from maskwright.sources import rules as R
+
+    r = random.Random(13)
+    lines = [r.choice(["call 555-123-%04d" % i, "ssn 123-45-%04d x" % i, "a%d@b.org" % i, "", "plain words", "password = hunter%d" % i]) for i in range(4000)]
+    key = "-----BEGIN PRIVATE KEY-----\n" + "\n".join("A" * 64 for _ in range(1500)) + "\n-----END PRIVATE KEY-----"
+    text = "\n".join(lines[:2000]) + "\n" + key + "\n" + "\n".join(lines[2000:])
+    docs = spark.createDataFrame([("test/a.txt", text, [(0, "one"), (30_000, "two")]), ("b.txt", text[:700], []), ("c.txt", "", [])], "path string, text string, segments array<struct<start:int,label:string>>")
+    small = [replace(d, max_match_length=101_000 if d.id == "private_key_header" else 400) for d in D.BUILT_IN]
+    columns = ["path", "detector_id", "start", "end", "value", "line", "column", "location", "confidence", "evidence", "tier", "near", "priority", "can_anonymize"]
+    whole, parts = (sorted(map(repr, df.select(*columns).collect())) for df in (D.detect(docs, small), R.chunked_detections(docs, small, core=1)))
+    assert whole == parts and len(whole) > 2000 and any(repr(key)[1:200] in x for x in whole)
+    tiny = [d for d in small if d.id in ("email", "us_ssn")]
+    whole, parts = (sorted(map(repr, df.select(*columns).collect())) for df in (D.detect(docs, tiny), R.chunked_detections(docs, tiny, core=501)))
+    assert whole == parts
+    with pytest.raises(ValueError):
+        R.chunked_detections(docs, small, core=1, overlap=700)
+
+
+def test_islands_cost_their_links():
+    """A chain of 20,000 overlapping detections, and the same result as by all pairs on small ones."""
+    chain = [{"start": 2 * i, "end": 2 * i + 3, "detector_id": "ab"[i % 2], "suppresses": ["b"] if i % 2 == 0 else None} for i in range(20_000)]
+    assert G.labelled(chain) == list(range(20_000))
+    r = random.Random(14)
+    hides = {"a": ("b", "c"), "b": ("c",), "c": ()}
+    for _ in range(200):
+        rows = sorted((s := r.randint(0, 9), s + r.randint(1, 8), r.choice("abc")) for _ in range(9))
+        labels = G.labelled([{"start": s, "end": e, "detector_id": k, "suppresses": list(hides[k])} for s, e, k in rows])
+        assert sorted(sorted(i for i, x in enumerate(labels) if x == v) for v in set(labels)) == brute([(*x, hides[x[2]]) for x in rows])
 
 
 def test_redaction_leaves_nothing(spark):

@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from maskwright.functions import text as T
 from maskwright.sources import extract as X
 from maskwright.sources import files as S
 from maskwright.sources import rules as R
@@ -82,7 +83,7 @@ def test_files(spark, tmp_path):
     docs, skipped = S.load(spark, [root], rules=["*.log"], exclude=[".md"])
     assert {r["path"].rpartition("/")[2]: r["text"] for r in docs.collect()} == {"a.txt": "hello", "p.docx": "ssn 123-45-6789\ntwo\tx\ntop"}
     assert {r["path"].rpartition("/")[2]: r["code"] for r in skipped.collect()} == {"b.md": "excluded_extension", "c.log": "ignore_rule", "d.txt": "ignored_directory", "i.png": "binary_file"}
-    at = docs.where("format = 'docx'").select(S.location(F.col("segments"), F.lit(17)), S.location(F.col("segments"), F.lit(0))).first()
+    at = docs.where("format = 'docx'").select(T.location(F.col("segments"), F.lit(17)), T.location(F.col("segments"), F.lit(0))).first()
     assert list(at) == ["paragraph 2", "paragraph 1"]
     before = S.fingerprints(spark, [root]).collect()
     frame = spark.createDataFrame(before)
