@@ -50,7 +50,7 @@ LOG_BASE = 1.5
 BITS_PER_ENTRY, PROBES = 10, 4
 BLOCK_BYTES = 6_000_000
 #: Documents for each range of hashes, and the least number of ranges.
-RANGE_DOCS, LEAST_RANGES = 4096, 24
+RANGE_DOCS, LEAST_RANGES = 2048, 24
 #: Bits of an n-gram's hash besides its range.
 KEY_BITS = 40
 
