@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from .pretokens import Cache, encode_texts
 from .shared import runs, table, uncollected
 
-#: Units kept between batches in a task, about 50 MB.
-MOST_UNITS = 200_000
-#: Remembered pairs of tokens, about 50 MB at most.
-MOST_FITS = 400_000
+#: Units kept between batches in a task, about 120 MB.
+MOST_UNITS = 600_000
+#: Remembered pairs of tokens, about 100 MB at most.
+MOST_FITS = 1_000_000
 #: Bytes of text encoded at a time.
-GROUP = 3_000_000
+GROUP = 4_000_000
 _NEVER = 1 << 60
 
 

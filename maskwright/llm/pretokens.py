@@ -18,15 +18,18 @@ def units(text: str) -> list[list[str]] | None:
 
 
 class Cache(dict):
-    """A dict from units to encodings that empties itself when it holds too many; what it holds never changes a result."""
+    """A dict from units to encodings that, when it holds too many, keeps those that are needed now; what it holds never
+    changes a result."""
 
     def __init__(self, most: int):
         super().__init__()
         self.most = most
 
-    def room(self, more: int) -> None:
-        if len(self) + more > self.most:
+    def room(self, needed: set[str]) -> None:
+        if len(self) + len(needed) > self.most:
+            kept = [(x, self[x]) for x in needed if x in self]
             self.clear()
+            self.update(kept)
 
 
 def encode_texts(texts: list[str], heads: Cache, tails: Cache, encode_new, encode_whole) -> list[bytes]:
@@ -41,8 +44,8 @@ def encode_texts(texts: list[str], heads: Cache, tails: Cache, encode_new, encod
         for pieces in lines or ():
             new_heads.add(pieces[0])
             new_tails.update(pieces[1:])
-    heads.room(len(new_heads))
-    tails.room(len(new_tails))
+    heads.room(new_heads)
+    tails.room(new_tails)
     todo = [x for x in new_heads if x not in heads]
     heads.update(zip(todo, encode_new(todo)))
     todo = [x for x in new_tails if x not in tails]
