@@ -8,12 +8,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .findings import islands
 
-def candidate_pairs(plants: DataFrame, findings: DataFrame) -> DataFrame:
-    """Plants and findings of one file and category, the finding's span around the plant's."""
-    p, f = plants.alias("p"), findings.alias("f")
-    on = (F.col("p.file") == F.col("f.file")) & (F.col("p.category") == F.col("f.category")) & (F.col("f.start") <= F.col("p.start")) & (F.col("f.end") >= F.col("p.end"))
-    return p.join(f, on).select("p.file", "p.plant_id", "f.finding_id", "f.start", "f.end", "f.category", (F.col("p.start") - F.col("f.start") + F.col("f.end") - F.col("p.end")).alias("overhang"), (F.col("f.end") - F.col("f.start")).alias("length"), (F.col("p.detector_id") != F.col("f.detector_id")).cast("int").alias("other_detector"), F.col("f.confidence").alias("confidence"))
+
+#: What must hold of tier A, and of all findings, before a scan is let out.
+TARGETS = {"tier_a_precision": 0.90, "tier_a_recall": 0.50, "any_tier_recall": 0.95}
+#: Weight profiles that are tried: what is added to each base, and what scales each context weight.
+PROFILES = tuple((f"base{offset:+.2f}-contextx{scale:.2f}-v1", offset, scale) for offset in (-0.05, 0.0, 0.05) for scale in (0.75, 1.0, 1.25))
+
+
+def candidate_pairs(plants: DataFrame, findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Plants and findings of one file and category, the finding's span around the plant's.
+
+    Such pairs lie in one island of overlapping spans, so the join is an equi-join on it and no file is a task of its own.
+    ``by`` names columns that both have and that are matched apart.
+    """
+    key = ("file", *by)
+    span = lambda df, kind: df.select(*key, "category", "start", "end", F.lit(kind).alias("kind"), F.col("plant_id" if kind else "finding_id").cast("string").alias("id"), "detector_id", (F.lit(None).cast("double") if kind else F.col("confidence")).alias("confidence"))
+    spans = islands(span(plants, 1).unionByName(span(findings, 0)).where("start >= 0 AND end > start"), "kind", "id", by=key)
+    p = spans.where("kind = 1").select(*key, "category", "island", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("id").cast("long").alias("plant_id"), F.col("detector_id").alias("_d"))
+    f = spans.where("kind = 0").select(*key, "category", "island", "start", "end", F.col("id").alias("finding_id"), "detector_id", "confidence")
+    both = p.join(f, [*key, "category", "island"]).where("start <= _s AND end >= _e")
+    return both.select(*key, "island", "plant_id", "finding_id", "start", "end", "category", (F.col("_s") - F.col("start") + F.col("end") - F.col("_e")).alias("overhang"), (F.col("end") - F.col("start")).alias("length"), (F.col("_d") != F.col("detector_id")).cast("int").alias("other_detector"), "confidence")
 
 
 def _assign(rows: pd.DataFrame) -> pd.DataFrame:
@@ -67,13 +83,22 @@ def _assign(rows: pd.DataFrame) -> pd.DataFrame:
                 break
             del taken[before]
             u = before
-    return pd.DataFrame([(rows["file"].iloc[0], p, best[p, u][1]) for u, p in sorted(taken.items())], columns=["file", "plant_id", "finding_id"])
+    return pd.DataFrame([(p, best[p, u][1]) for u, p in sorted(taken.items())], columns=["plant_id", "finding_id"])
 
 
-def matched(plants: DataFrame, findings: DataFrame) -> DataFrame:
-    """(file, plant_id, finding_id): the one-to-one matching in each file; a file's candidates are few."""
-    pairs = candidate_pairs(plants, findings)
-    return pairs.groupBy("file").applyInPandas(_assign, "file string, plant_id long, finding_id string")
+def matched(plants: DataFrame, findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(file, by, plant_id, finding_id): the one-to-one matching, solved in each island of overlapping spans."""
+    key = ["file", *by]
+    pairs = candidate_pairs(plants, findings, by)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        out = _assign(rows)
+        for k in reversed(key):
+            out.insert(0, k, rows[k].iloc[0])
+        return out
+
+    kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in key)
+    return pairs.groupBy(*key, "island").applyInPandas(solve, f"{kinds}, plant_id long, finding_id string")
 
 
 def outcomes(plants: DataFrame, findings: DataFrame) -> DataFrame:
@@ -121,3 +146,124 @@ def calibration_error(table: DataFrame) -> DataFrame:
     """Brier score and expected calibration error from the buckets."""
     n = F.sum("n")
     return table.agg((F.sum("squares") / n).alias("brier"), (F.sum(F.col("n") * F.abs(F.col("mean_confidence") - F.col("hit_rate"))) / n).alias("ece"))
+
+
+def _ratio(a, b, empty: float):
+    return F.when(b > 0, a / b).otherwise(F.lit(empty))
+
+
+def _f1(precision, recall):
+    return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+
+
+def metrics(findings: DataFrame, plants: DataFrame) -> DataFrame:
+    """One row: counts, precision, recall and F1 of all findings and of tier A, and what tier B adds to recall.
+
+    Tier A is matched for itself, as a finding of tier B may hold the plant of one of tier A in the common matching.
+    """
+    real = plants.where("is_positive")
+    both = findings.withColumn("grp", F.explode(F.when(F.col("tier") == "A", F.array(F.lit("all"), F.lit("A"))).otherwise(F.array(F.lit("all")))))
+    again = real.withColumn("grp", F.explode(F.array(F.lit("all"), F.lit("A"))))
+    hits = matched(again, both, ("grp",)).agg(F.count_if(F.col("grp") == "all").alias("tp"), F.count_if(F.col("grp") == "A").alias("tp_a"))
+    found = findings.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") == "A").alias("n_a"))
+    there = plants.agg(F.count_if("is_positive").alias("p"), F.count_if(~F.col("is_positive")).alias("decoys"))
+    c = F.col
+    out = _together([t.withColumn("one", F.lit(1)) for t in (hits, found, there)], "one")
+    out = out.select(
+        c("n").alias("findings"), c("p").alias("positive_plants"), c("decoys").alias("decoy_plants"), c("n_a").alias("tier_a_findings"), c("tp_a").alias("tier_a_true_positives"), c("tp").alias("true_positives"),
+        (c("n") - c("tp")).alias("false_positives"), (c("p") - c("tp")).alias("false_negatives"), _ratio(c("tp"), c("n"), 0.0).alias("precision"), _ratio(c("tp"), c("p"), 1.0).alias("any_tier_recall"),
+        _ratio(c("tp_a"), c("n_a"), 0.0).alias("tier_a_precision"), _ratio(c("tp_a"), c("p"), 1.0).alias("tier_a_recall"),
+    )
+    return out.withColumn("f1", _f1(c("precision"), c("any_tier_recall"))).withColumn("rescue_recall", c("any_tier_recall") - c("tier_a_recall"))
+
+
+def user_impact(measured: DataFrame, files: int) -> DataFrame:
+    """Of ``metrics``: false positives in 1,000 files, and findings for each planted value."""
+    return measured.select((F.col("false_positives") / F.lit(files) * 1000 if files else F.lit(0.0)).alias("false_positives_per_1000_files"), _ratio(F.col("findings"), F.col("positive_plants"), 0.0).alias("findings_per_plant"))
+
+
+def category_breakdown(findings: DataFrame, plants: DataFrame) -> DataFrame:
+    """Measures of each category that a finding or a real plant has; matches never cross categories."""
+    real = plants.where("is_positive")
+    hits = matched(real.withColumn("grp", F.col("category")), findings.withColumn("grp", F.col("category")), ("grp",))
+    count = lambda df, name, key: df.groupBy(F.col(key).alias("category")).agg(F.count(F.lit(1)).alias(name))
+    out = _together([count(findings, "findings", "category"), count(real, "plants", "category"), count(hits, "tp", "grp")], "category")
+    precision, recall = _ratio(F.col("tp"), F.col("findings"), 0.0), _ratio(F.col("tp"), F.col("plants"), 1.0)
+    return out.select("category", "findings", "plants", (F.col("findings") - F.col("tp")).alias("false_positives"), (F.col("plants") - F.col("tp")).alias("false_negatives"), precision.alias("precision"), recall.alias("recall"), _f1(precision, recall).alias("f1"))
+
+
+def _together(tables: list[DataFrame], key: str) -> DataFrame:
+    """Counts of the same key side by side, 0 where one lacks it; small tables, one aggregate instead of joins."""
+    names = [c for t in tables for c in t.columns if c != key]
+    rows = None
+    for t in tables:
+        part = t.select(key, *((F.col(n) if n in t.columns else F.lit(0).cast("long")).alias(n) for n in names))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy(key).agg(*(F.sum(n).alias(n) for n in names))
+
+
+def detector_breakdown(findings: DataFrame, opinions: DataFrame, plants: DataFrame) -> DataFrame:
+    """Each detector by its own raw opinions, and by the canonical findings that it leads or supports.
+
+    findings: file, finding_id, start, end, category, detector_id, confidence, supporting (array of detector ids); opinions:
+    the detections, as findings. Precision asks whether an opinion is right at all, recall whether the detector's own plants are covered.
+    """
+    real = plants.where("is_positive")
+    ids = F.array_union(F.array("detector_id"), "supporting")
+    parts = findings.withColumn("by_detector", F.explode(ids))
+    own = opinions.withColumn("by_detector", F.col("detector_id"))
+    columns = ["file", "finding_id", "start", "end", "category", "detector_id", "confidence"]
+    asked = None
+    # four matchings in one: raw or canonical, against all plants or the detector's own
+    for kind, rows in (("raw", own), ("canonical", parts)):
+        for scope in ("all", "own"):
+            part = rows.select(*columns, F.concat_ws("|", F.lit(kind), F.lit(scope), "by_detector").alias("grp"))
+            asked = part if asked is None else asked.unionByName(part)
+    detectors = opinions.select("detector_id").union(findings.select("detector_id")).union(real.select("detector_id")).distinct()
+    groups = detectors.select(F.col("detector_id").alias("d"), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("scope")) for k in ("raw", "canonical") for s in ("all", "own")))).alias("g"))
+    grp = F.concat_ws("|", "g.kind", "g.scope", "d").alias("grp")
+    # detectors are few; a plant is asked for by those only whose spans meet it, so all of them would be the same rows again
+    against = real.join(F.broadcast(groups), (F.col("g.scope") == "all") | (F.col("d") == F.col("detector_id"))).select(*real.columns, grp)
+    hits = matched(against, asked, ("grp",)).select(F.split("grp", "[|]", 3).alias("g"))
+    count = lambda df, name, key="detector_id": df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).withColumnRenamed(key, "detector_id")
+    of = lambda kind, scope: hits.where((F.get("g", F.lit(0)) == kind) & (F.get("g", F.lit(1)) == scope)).select(F.get("g", F.lit(2)).alias("detector_id"))
+    out = _together([count(findings, "emitted"), count(parts, "contributions", "by_detector"), count(real, "expected"), count(opinions, "raw"), *(count(of(k, s), f"{k}_{s}") for k in ("raw", "canonical") for s in ("all", "own"))], "detector_id")
+    c = F.col
+    return out.select(
+        "detector_id", _ratio(c("raw_all"), c("raw"), 0.0).alias("precision"), _ratio(c("raw_own"), c("expected"), 1.0).alias("recall"), (c("raw") - c("raw_all")).alias("false_positives"), (c("expected") - c("raw_own")).alias("false_negatives"),
+        c("emitted").alias("emitted_findings"), c("contributions").alias("canonical_contributions"), _ratio(c("canonical_all"), c("contributions"), 0.0).alias("canonical_precision"), _ratio(c("canonical_own"), c("expected"), 1.0).alias("canonical_recall"),
+        (c("contributions") - c("canonical_all")).alias("canonical_false_positives"), (c("expected") - c("canonical_own")).alias("canonical_false_negatives"), c("expected").alias("expected_plants"), c("raw").alias("raw_opinions"),
+        (c("raw") - c("emitted")).alias("consolidated_opinions"), (c("raw") - c("contributions")).alias("unrepresented_opinions"), _ratio(c("raw") - c("emitted"), c("raw"), 0.0).alias("consolidation_rate"),
+    )
+
+
+def threshold_candidates(findings: DataFrame, preferred: float = 0.85) -> DataFrame:
+    """Every threshold that can give another set of findings, with 0, 1 and the preferred one."""
+    fixed = findings.sparkSession.createDataFrame([(0.0,), (1.0,), (preferred,)], "threshold double")
+    return findings.select(F.col("confidence").alias("threshold")).union(fixed).distinct()
+
+
+def choose_profile(rows: DataFrame, deployed: str) -> DataFrame:
+    """Of (profile, brier, ece, recall, precision, eligible) the profile with the least loss; ties: recall, precision, the
+    deployed one, the name."""
+    return rows.where("eligible").orderBy(F.col("brier") + F.col("ece"), F.desc("recall"), F.desc("precision"), (F.col("profile") != deployed).cast("int"), "profile").limit(1)
+
+
+def gates(measured: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """(gate, value, target, support, passed) of ``metrics``; a gate without support fails."""
+    support = {"tier_a_precision": "tier_a_findings"}
+    rows = F.array(*(F.struct(F.lit(g).alias("gate"), F.col(g).alias("value"), F.lit(t).alias("target"), F.col(support.get(g, "positive_plants")).alias("support")) for g, t in (targets or TARGETS).items()))
+    return measured.select(F.explode(rows).alias("g")).select("g.*", ((F.col("g.support") > 0) & (F.col("g.value") >= F.col("g.target"))).alias("passed"))
+
+
+def shared_values(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
+    """Values that two corpora share and shouldn't, as one was used to choose what the other judges."""
+    return a.select(*columns).intersect(b.select(*columns))
+
+
+def compared(before: DataFrame, after: DataFrame, percent: float = 20.0, noise_ms: float = 25.0) -> DataFrame:
+    """Of (fixture, environment, wall_ms) runs: median times of the same fixture and environment, and whether the later is slower than
+    the budget in percent and in milliseconds of noise."""
+    median = lambda df, name: df.groupBy("fixture", "environment").agg(F.median("wall_ms").alias(name))
+    both = median(before, "was").join(median(after, "now"), ["fixture", "environment"])
+    return both.withColumn("regressed", (F.col("now") > F.col("was") * (1 + percent / 100)) & (F.col("now") - F.col("was") > noise_ms))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def islands(spans: DataFrame, *order) -> DataFrame:
+def islands(spans: DataFrame, *order, by: tuple[str, ...] = ("path",)) -> DataFrame:
     """Adds island: spans of a path that overlap, directly or through others, have one number. One window over each path."""
-    by_start = W.partitionBy("path").orderBy("start", F.desc("end"), *order)
+    by_start = W.partitionBy(*by).orderBy("start", F.desc("end"), *order)
     reach = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
     out = spans.withColumn("_new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
     return out.withColumn("island", F.sum("_new").over(by_start.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
@@ -126,7 +126,7 @@ def triage_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy("tier", F.desc("confidence"), "path", "line", "column", "id")
 
 
-PUBLIC = ("id", "path", "line", "column", "detector_id", "category", "confidence", "tier", "suggested_action", "can_anonymize", "preview", "raw_count", "suppressed_count")
+PUBLIC = ("id", "path", "location", "line", "column", "detector_id", "category", "confidence", "tier", "suggested_action", "can_anonymize", "preview", "raw_count", "suppressed_count")
 
 
 def public(findings: DataFrame) -> DataFrame:
@@ -138,3 +138,20 @@ def summary(findings: DataFrame) -> DataFrame:
     """Counts in all, by tier and by category, in one pass over grouping sets."""
     out = findings.groupingSets([[], ["tier"], ["category"]], "tier", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("raw_count").cast("long").alias("raw"), F.sum("suppressed_count").cast("long").alias("suppressed"))
     return out.select(F.coalesce("tier", F.lit("*")).alias("tier"), F.coalesce("category", F.lit("*")).alias("category"), "n", "raw", "suppressed")
+
+
+def combined(summaries: DataFrame) -> DataFrame:
+    """One ``summary`` of several over separate files."""
+    return summaries.groupBy("tier", "category").agg(*(F.sum(c).alias(c) for c in ("n", "raw", "suppressed")))
+
+
+def progress(findings: DataFrame, scanned: DataFrame, skipped: DataFrame, seconds: float) -> DataFrame:
+    """One row: findings by tier, files scanned and skipped, characters, files and characters a second."""
+    parts = [findings.agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("tier") == "A").alias("tier_a")), scanned.agg(F.count(F.lit(1)).alias("scanned"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars")), skipped.agg(F.count(F.lit(1)).alias("skipped"))]
+    names = [c for p in parts for c in p.columns]
+    rows = None
+    for p in parts:
+        part = p.select(*((F.col(n) if n in p.columns else F.lit(0).cast("long")).alias(n) for n in names))
+        rows = part if rows is None else rows.unionByName(part)
+    out = rows.agg(*(F.sum(n).alias(n) for n in names))
+    return out.withColumn("files_per_second", F.col("scanned") / seconds).withColumn("chars_per_second", F.col("chars") / seconds)

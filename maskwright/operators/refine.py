@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .detectors import TIER_LIMIT
+from .findings import islands
 
 # The band that is judged, and the bounds of a description scan.
 LOW, HIGH = 0.45, 0.80
@@ -81,7 +82,35 @@ def described(docs: DataFrame, descriptions: list[str], judge: Judge, tier_limit
     lines = lines.withColumn("key", F.concat_ws("\u0001", "path", "start", "_t.i")).withColumn("prompt", F.concat(F.lit("Does this line match the description? "), F.col("_t.d"), F.lit("; line: "), F.col("line_text")))
     said = verdicts(lines, judge, "key").where("is_sensitive")
     out = lines.join(said, "key")
-    return out.select("path", F.concat(F.lit("user_target_desc_"), F.col("_t.i").cast("string")).alias("detector_id"), F.lit("request").alias("category"), "start", (F.col("start") + F.length("line_text")).alias("end"), F.col("line_text").alias("value"), F.col("verdict").alias("confidence"), F.lit(0).alias("specificity"), F.when(F.col("verdict") >= tier_limit, "A").otherwise("B").alias("tier"))
+    return out.select("path", F.concat(F.lit("user_target_desc_"), F.col("_t.i").cast("string")).alias("detector_id"), F.col("_t.d").alias("target"), F.lit("request").alias("category"), "start", (F.col("start") + F.length("line_text")).alias("end"), F.col("line_text").alias("value"), F.col("verdict").alias("confidence"), F.lit(0).alias("specificity"), F.when(F.col("verdict") >= tier_limit, "A").otherwise("B").alias("tier"))
+
+
+#: Canonical findings of a line that are asked about one by one; a line with more stays a finding of its own.
+MOST_CONFIRMED = 8
+
+
+def reconciled(opinions: DataFrame, findings: DataFrame, judge: Judge, tier_limit: float = TIER_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(merged, standing) of opinions about whole lines (``described``, with target) and canonical findings.
+
+    Each finding inside a line is shown to the judge; where exactly one of at most MOST_CONFIRMED is what the description
+    means, the opinion moves to its span with the lesser of both confidences (merged: path, finding_id, detector_id, start, end, value,
+    confidence, tier). All other opinions stand as they are. Lines and findings meet by path and island of overlap.
+    """
+    line = opinions.select("path", "start", "end", F.lit(1).alias("kind"), F.concat_ws("\u0001", "detector_id", "start", "end").alias("key"))
+    span = findings.select("path", "start", "end", F.lit(0).alias("kind"), F.col("id").alias("key"))
+    placed = islands(line.unionByName(span), "kind", "key")
+    lines = placed.where("kind = 1").select("path", "island", F.col("key").alias("opinion"), F.col("start").alias("_a"), F.col("end").alias("_z"))
+    inside = lines.join(placed.where("kind = 0").select("path", "island", F.col("key").alias("finding_id"), "start", "end"), ["path", "island"]).where("_a <= start AND end <= _z").select("path", "opinion", "finding_id")
+    few = inside.groupBy("path", "opinion").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= MOST_CONFIRMED).select("path", "opinion")
+    named = opinions.withColumn("opinion", F.concat_ws("\u0001", "detector_id", "start", "end"))
+    asked = inside.join(few, ["path", "opinion"]).join(findings.select(F.col("id").alias("finding_id"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("value").alias("_v")), "finding_id")
+    asked = asked.join(named.select("path", "opinion", "detector_id", "target", F.col("confidence").alias("_c")), ["path", "opinion"])
+    asked = asked.withColumn("key", F.concat_ws("\u0001", "path", "opinion", "finding_id")).withColumn("prompt", F.concat(F.lit("Does this value match the description? "), F.col("target"), F.lit("; value: "), F.col("_v")))
+    said = verdicts(asked, judge, "key").where("is_sensitive").select("key", "verdict")
+    confirmed = asked.join(said, "key")
+    one = confirmed.groupBy("path", "opinion").agg(F.count(F.lit(1)).alias("_k"), F.first(F.struct("finding_id", "detector_id", F.col("_s").alias("start"), F.col("_e").alias("end"), F.col("_v").alias("value"), F.least("_c", "verdict").alias("confidence"))).alias("m")).where("_k = 1")
+    merged = one.select("path", "m.*").withColumn("tier", F.when(F.col("confidence") >= tier_limit, "A").otherwise("B"))
+    return merged, named.join(one.select("path", "opinion"), ["path", "opinion"], "left_anti").drop("opinion")
 
 
 def tier_shifts(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files as S
+from ..sources import rewrite as V
+from . import detectors as D
+from . import masking as M
+
+#: Values that are shown at a time.
+MOST_REVEALED = 250
 DECISIONS = ("pending", "included", "ignored")
 
 
@@ -44,6 +53,54 @@ def output_state(made_from: Column, plan_now: Column, output_sha: Column, expect
     return F.when(made_from.isNull(), "not_created").when(~output_sha.eqNullSafe(expected_sha), "conflict").when(included == 0, "obsolete").when(made_from != plan_now, "regeneration_required").otherwise("current")
 
 
+def rendered(files: DataFrame, docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """(path, target, output, code, reason): the redacted copy of each file with findings, or why there is none.
+
+    files: path, content; docs: path, format, text, codec, bom; findings: those to replace. Texts are encoded as they were read;
+    documents are rewritten in place and read again. A file is one row, whole or refused.
+    """
+    spans = M.replacement_spans(findings, checked=True)
+    plain = M.redacted(docs.where("format = 'text'"), spans).join(docs.select("path", "codec", "bom"), "path")
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text, codec, bom in zip(b["path"], b["text"], b["codec"], b["bom"]):
+                try:
+                    rows.append((path, (bom or b"") + text.encode(codec), None, None))
+                except UnicodeEncodeError:
+                    rows.append((path, None, "not_rewritable", f"the replaced text isn't {codec}"))
+            yield pd.DataFrame(rows, columns=["path", "output", "code", "reason"])
+
+    schema = "path string, output binary, code string, reason string"
+    texts = plain.select("path", "text", "codec", "bom").mapInPandas(encode, schema)
+    packed = spans.join(docs.where("format <> 'text'").select("path"), "path").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("spans"))
+    others = V.rewritten(files.join(packed, "path"))
+    return texts.unionByName(others).select("path", M.output_path(F.col("path")).alias("target"), "output", "code", "reason")
+
+
+def results(plan: DataFrame, outputs: DataFrame) -> DataFrame:
+    """The plan with each file's output: a row for each finding with target, code and whether a copy was made."""
+    made = outputs.select("path", "target", "code", F.col("output").isNotNull().alias("made"))
+    out = plan.join(made, "path", "left")
+    return out.withColumn("made", F.coalesce("made", F.lit(False)) & (F.col("state") == "included"))
+
+
+def remaining(outputs: DataFrame, detectors: list) -> DataFrame:
+    """(path, left): detections that are still in the copies, read again from their bytes; replacements of the kind that masks use count too."""
+    again = S.read_documents(outputs.where("output IS NOT NULL").select("path", F.col("output").alias("content")))
+    counts = D.detect(again.where("code IS NULL").select("path", "text"), detectors).groupBy("path").agg(F.count(F.lit(1)).alias("left"))
+    return again.select("path").join(counts, "path", "left").select("path", F.coalesce("left", F.lit(0)).alias("left"))
+
+
+def revealed(findings: DataFrame, ids: list[str]) -> DataFrame:
+    """(id, value) of at most MOST_REVEALED findings, in no order."""
+    wanted = list(dict.fromkeys(ids))
+    if len(wanted) > MOST_REVEALED:
+        raise ValueError(f"at most {MOST_REVEALED} values are shown at a time")
+    return findings.where(F.col("id").isin(wanted)).select("id", "value")
+
+
 def publish(outputs: dict[str, bytes]) -> None:
     """Puts files in place, all or none: each is staged beside its place, then all are renamed; on failure what was there returns.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import masking as M
 from .findings import PUBLIC, public
 
 #: (codes, what a reader is told), the first that holds
@@ -22,7 +23,29 @@ GUIDANCE = (
 
 def json_rows(findings: DataFrame) -> DataFrame:
     """One JSON object for each finding, of the public fields alone."""
-    return public(findings).select(F.to_json(F.struct(*PUBLIC)).alias("json"))
+    return public(safe_labels(findings)).select(F.to_json(F.struct(*PUBLIC)).alias("json"))
+
+
+#: Longest label that leaves.
+MOST_LABEL = 512
+
+
+def plain(label: Column) -> Column:
+    """A label without control characters and runs of white space, cut in its middle where it is too long."""
+    out = F.trim(F.regexp_replace(F.regexp_replace(label, r"[\p{C}]", " "), r"(?U)\s+", " "))
+    half = (MOST_LABEL - 1) // 2
+    return F.when(F.length(out) > MOST_LABEL, F.concat(F.left(out, F.lit(half)), F.lit("\u2026"), F.right(out, F.lit(half)))).otherwise(out)
+
+
+def safe_labels(findings: DataFrame) -> DataFrame:
+    """The findings, path and location without any value found in the same file, and made plain.
+
+    Values meet labels by file, so no list of values reaches the driver and none is compared with labels of other files.
+    """
+    values = findings.groupBy("path").agg(F.collect_set(F.when(F.length("value") >= 4, F.col("value"))).alias("_values")).withColumnRenamed("path", "_p")
+    both = findings.join(values, F.col("path") == F.col("_p"))
+    clean = lambda c: plain(M.scrubbed(F.col(c), F.col("_values"))).alias(c)
+    return both.select(*(clean(c) if c in ("path", "location") else F.col(c) for c in findings.columns))
 
 
 def inert(text: Column) -> Column:
@@ -32,7 +55,8 @@ def inert(text: Column) -> Column:
 
 def markdown(findings: DataFrame) -> DataFrame:
     """(path, markdown): a section for each file with its findings in order."""
-    line = F.concat(F.lit("- **"), F.col("tier"), F.lit("** "), inert(F.col("detector_id")), F.lit(" at line "), F.col("line"), F.lit(", column "), F.col("column"), F.lit(": "), inert(F.col("preview")), F.format_string(" (%.2f)", "confidence"))
+    line = F.concat(F.lit("- **"), F.col("tier"), F.lit("** "), inert(F.col("detector_id")), F.lit(" at line "), F.col("line"), F.lit(", column "), F.col("column"), F.coalesce(F.concat(F.lit(", "), inert(F.col("location"))), F.lit("")), F.lit(": "), inert(F.col("preview")), F.format_string(" (%.2f)", "confidence"))
+    findings = safe_labels(findings)
     each = F.array_sort(F.collect_list(F.struct("line", "column", "id", line.alias("text"))))
     return findings.groupBy("path").agg(each.alias("_l")).select("path", F.concat(F.lit("## "), inert(F.col("path")), F.lit("\n\n"), F.array_join(F.transform("_l", lambda x: x["text"]), "\n")).alias("markdown"))
 

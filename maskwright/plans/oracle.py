@@ -15,6 +15,10 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+#: Patterns whose bounds are too large for DuckDB; the longest match is checked apart.
+PORTABLE = {"jwt": r"\bey[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", "password_assignment": r"(?i)(\b\w{0,64}(?:password|passwd|pwd|secret)\w{0,64}\s{0,32}[:=]\s{0,32})([^\s,;]{4,})"}
+
+
 def re2(pattern: str) -> str:
     return pattern.replace("(?U)", "").replace("(?iU)", "(?i)").replace("(?iu)", "(?i)")
 
@@ -24,7 +28,7 @@ def spans(detectors: list[Detector], source: str = "docs", keys: str = "path, te
     parts = []
     for d in detectors:
         mark = f"'\\1' || {M} || '\\2' || {M}" if d.value else f"{M} || '\\0' || {M}"
-        parts.append(f"SELECT {keys}, {quoted(d.id)} AS detector_id, string_split(regexp_replace(text, {quoted(re2(d.pattern))}, {mark}, 'g'), {M}) AS p FROM {source}")
+        parts.append(f"SELECT {keys}, {quoted(d.id)} AS detector_id, string_split(regexp_replace(text, {quoted(PORTABLE.get(d.id) or re2(d.pattern))}, {mark}, 'g'), {M}) AS p FROM {source}")
     keep = " AND ".join([f"length(value) <= CASE detector_id {' '.join(f'WHEN {quoted(d.id)} THEN {d.max_match_length}' for d in detectors)} END", *(f"(detector_id <> {quoted(d.id)} OR {ENTROPY} >= {d.entropy_threshold})" for d in detectors if d.method == "entropy")])
     return f"""parts AS ({" UNION ALL ".join(parts)}),
 hits AS (SELECT {keys}, detector_id, p, unnest(generate_series(2, len(p), 2)) AS i FROM parts WHERE len(p) > 1),
@@ -32,10 +36,10 @@ raw0 AS (SELECT {keys}, detector_id, list_sum(list_transform(p[1:i - 1], lambda
 raw AS (SELECT *, (start + length(value))::INT AS "end" FROM raw0 WHERE {keep})"""
 
 
-def scored(detectors: list[Detector], categories: tuple[str, ...] = (), limit: float = 0.85, source: str = "docs", keys: str = "path, text") -> str:
+def scored(detectors: list[Detector], categories: tuple[str, ...] = (), limit: float = 0.85, source: str = "docs", keys: str = "path, text", scale: float = 1.25, offset: float = 0.0) -> str:
     """CTEs up to det: the detections with confidence, tier and the detectors' fields."""
     case, fields = [], []
-    for d in map(weighted, detectors):
+    for d in (weighted(d, scale, offset) for d in detectors):
         terms = [repr(d.base) + "::DOUBLE"]
         for r in d.rules():
             holds = f"regexp_matches(near, {quoted(re2(r.pattern))})" if r.pattern else f"regexp_matches(path, {quoted(re2(r.in_path))})" if r.in_path else LUHN

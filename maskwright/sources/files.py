@@ -57,15 +57,20 @@ def read_documents(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, DOCS)
 
 
+def contents(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """path, content of every file below the roots, each path once."""
+    out = None
+    for root in roots:
+        part = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+        out = part if out is None else out.unionByName(part)
+    return out.dropDuplicates(["path"])
+
+
 def load(spark: SparkSession, roots: list[str], **how) -> tuple[DataFrame, DataFrame]:
     """(docs, skipped): what can be scanned, and every file that can't with code, stage and rule."""
     listed = discover(spark, roots, **how)
-    content = None
-    for root in roots:
-        part = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-        content = part if content is None else content.unionByName(part)
     wanted = listed.where("issue IS NULL").select("path")
-    docs = read_documents(content.dropDuplicates(["path"]).join(wanted, "path", "left_semi"))
+    docs = read_documents(contents(spark, roots).join(wanted, "path", "left_semi"))
     skipped = listed.where("issue IS NOT NULL").select("path", "issue.code", "issue.stage", "issue.rule")
     failed = docs.where("code IS NOT NULL").select("path", "code", F.lit("extract").alias("stage"), F.lit(None).cast("string").alias("rule"))
     return docs.where("code IS NULL").drop("code", "reason"), skipped.unionByName(failed)

@@ -4,6 +4,7 @@ import pytest
 
 from maskwright.operators import detectors as D
 from maskwright.operators import findings as G
+from maskwright.operators import masking as M
 from maskwright.operators import refine as L
 from maskwright.operators import remediation as R
 from maskwright.operators import reports as P
@@ -113,3 +114,60 @@ def test_matching_like_brute_force(spark):
         by = {(x["plant_id"], x["finding_id"]): x for x in rows}
         mine = [by[m] for m in got[f]]
         assert (-len(mine), sum(x["overhang"] for x in mine), sum(x["length"] for x in mine), sum(x["other_detector"] for x in mine), -sum(x["confidence"] for x in mine)) == best
+
+
+def test_scrubbing_and_labels(spark):
+    rows = [("see Jo@Site.org and JO@site.org.x", ["jo@site.org", "site", ""]), ("a\\E.b", ["a\\E.b"]), ("[redacted] x", ["redact"]), ("none", [])]
+    df = spark.createDataFrame(rows, "t string, v array<string>")
+    got = [r[0] for r in df.select(M.scrubbed(F.col("t"), F.col("v"))).collect()]
+    assert got == ["see [redacted] and [redacted].x", "[redacted]", "[[hidden]ed] x", "none"]
+    labels = spark.createDataFrame([(" a\tb\u0000  c ",), ("x" * 2000,)], "t string").select(P.plain(F.col("t"))).collect()
+    assert labels[0][0] == "a b c" and len(labels[1][0]) == 511 and "\u2026" in labels[1][0]
+
+
+def test_reconciled_descriptions(spark):
+    text = "badge 4711 of jo\nbadges 1 2 3\nplain line"
+    findings = spark.createDataFrame([("p", "f1", 6, 10, "4711"), ("p", "f2", 14, 16, "jo"), ("p", "f3", 24, 25, "1"), ("p", "f4", 26, 27, "2")], "path string, id string, start int, end int, value string")
+    lines = [("p", "user_target_desc_0", "a badge", "request", 0, 16, text[:16], 0.9, 0, "A"), ("p", "user_target_desc_0", "a badge", "request", 17, 29, text[17:29], 0.9, 0, "A"), ("p", "user_target_desc_0", "a badge", "request", 30, 40, text[30:], 0.9, 0, "A")]
+    opinions = spark.createDataFrame(lines, "path string, detector_id string, target string, category string, start int, end int, value string, confidence double, specificity int, tier string")
+    merged, standing = L.reconciled(opinions, findings, lambda p: (not p.endswith("jo"), 0.8, ""))
+    assert [tuple(r) for r in merged.collect()] == [("p", "f1", "user_target_desc_0", 6, 10, "4711", 0.8, "B")]
+    assert sorted(r["start"] for r in standing.collect()) == [17, 30] and standing.columns == opinions.columns
+
+
+def test_spans_must_hold_their_values(spark):
+    docs = spark.createDataFrame([("p", "abc def")], "path string, text string")
+    spans = lambda v: spark.createDataFrame([("p", 4, 7, "***", v)], "path string, start int, end int, text string, value string")
+    assert M.redacted(docs, spans("def")).first()["text"] == "abc ***" == M.redacted(docs, spans(None)).first()["text"]
+    with pytest.raises(Exception, match="another value"):
+        M.redacted(docs, spans("xyz")).collect()
+
+
+def test_revealed(found):
+    ids = [r["id"] for r in found.collect()]
+    assert R.revealed(found, [ids[0], ids[0]]).count() == 1
+    with pytest.raises(ValueError):
+        R.revealed(found, [str(i) for i in range(251)])
+
+
+def test_breakdowns_by_hand(spark):
+    from maskwright.operators import evaluate as E
+
+    plants = spark.createDataFrame([("f", 1, 0, 4, "x", "a", True), ("f", 2, 10, 14, "x", "b", True), ("g", 3, 0, 4, "y", "a", True), ("g", 4, 9, 12, "y", "a", False)], "file string, plant_id long, start int, end int, category string, detector_id string, is_positive boolean")
+    rows = [("f", "1", 0, 4, "x", "a", 0.9, "A", ["b"]), ("f", "2", 9, 15, "x", "a", 0.5, "B", []), ("g", "3", 9, 12, "y", "a", 0.9, "A", []), ("g", "4", 20, 22, "z", "c", 0.1, "B", [])]
+    found = spark.createDataFrame(rows, "file string, finding_id string, start int, end int, category string, detector_id string, confidence double, tier string, supporting array<string>")
+    raw = spark.createDataFrame([(*r[:8],) for r in rows] + [("f", "5", 1, 3, "x", "b", 0.3, "B")], "file string, finding_id string, start int, end int, category string, detector_id string, confidence double, tier string")
+    m = E.metrics(found, plants).first()
+    assert (m["true_positives"], m["false_positives"], m["false_negatives"], m["tier_a_true_positives"], m["decoy_plants"]) == (2, 2, 1, 1, 1)
+    assert m["precision"] == 0.5 and m["any_tier_recall"] == pytest.approx(2 / 3) and m["rescue_recall"] == pytest.approx(1 / 3)
+    d = {r["detector_id"]: r for r in E.detector_breakdown(found, raw, plants).collect()}
+    assert (d["a"]["precision"], d["a"]["recall"], d["a"]["false_positives"], d["a"]["expected_plants"]) == (2 / 3, 0.5, 1, 2)
+    assert (d["b"]["precision"], d["b"]["recall"], d["b"]["canonical_contributions"], d["b"]["consolidated_opinions"], d["b"]["raw_opinions"]) == (0.0, 0.0, 1, 1, 1)
+    c = {r["category"]: (r["findings"], r["plants"], r["false_positives"], r["false_negatives"]) for r in E.category_breakdown(found, plants).collect()}
+    assert c == {"x": (2, 2, 0, 0), "y": (1, 1, 1, 1), "z": (1, 0, 1, 0)}
+    assert {r["gate"]: r["passed"] for r in E.gates(E.metrics(found, plants)).collect()} == {"tier_a_precision": False, "tier_a_recall": False, "any_tier_recall": False}
+    assert sorted(r[0] for r in E.threshold_candidates(found).collect()) == [0.0, 0.1, 0.5, 0.85, 0.9, 1.0]
+    best = spark.createDataFrame([("p", 0.1, 0.1, 0.5, 0.9, True), ("q", 0.1, 0.1, 0.6, 0.9, True), ("r", 0.0, 0.0, 1.0, 1.0, False)], "profile string, brier double, ece double, recall double, precision double, eligible boolean")
+    assert E.choose_profile(best, "p").first()["profile"] == "q"
+    runs = lambda *ms: spark.createDataFrame([("f", "e", float(x)) for x in ms], "fixture string, environment string, wall_ms double")
+    assert not E.compared(runs(100, 90, 500), runs(119)).first()["regressed"] and E.compared(runs(100), runs(126)).first()["regressed"] and not E.compared(runs(10), runs(30)).first()["regressed"]
