@@ -22,6 +22,7 @@ from .sources.store import written
 
 #: Characters of a text that one task scans at a time.
 CORE = 4_000_000
+TIERS = {"A": "almost certain", "B": "to be looked at"}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     for command in (scan, redacted):
         _options(command)
     scan.add_argument("--json", action="store_true", help="one JSON object a line")
+    scan.add_argument("--markdown", action="store_true", help="a section for each file")
     redacted.add_argument("--all", action="store_true", help="findings that aren't certain as well")
     redacted.add_argument("--partial", action="store_true", help="copies of the files that can be rewritten, though others can't")
     return out
@@ -71,8 +73,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in P.json_rows(G.canonical_order(found)).toLocalIterator():
             print(r["json"])
     else:
-        for r in P.markdown(found).orderBy("path").toLocalIterator():
-            print(r["markdown"] + "\n")
+        if a.markdown:
+            for r in P.markdown(found).orderBy("path").toLocalIterator():
+                print(r["markdown"] + "\n")
+        else:
+            tier = None
+            for r in P.tiered(found).toLocalIterator():
+                if r["tier"] != tier:
+                    tier = r["tier"]
+                    print(f"Tier {tier}: {TIERS[tier]}")
+                print(r["text"])
         for r in P.skipped_groups(skipped).orderBy("guidance").collect():
             print(f"{r['guidance']}: {r['files']} files ({', '.join(r['codes'])})")
     print(json.dumps(G.progress(found, docs, skipped, time.time() - started).first().asDict()), file=sys.stderr)

@@ -124,6 +124,12 @@ def load_yaml(path: str) -> list[Detector]:
     return checked([from_mapping(yaml.safe_load(p.read_text(encoding="utf-8"))) for p in sorted(Path(path).glob("*.yaml"))])
 
 
+def has_lookaround(pattern: str) -> bool:
+    """Whether a pattern looks ahead or behind, escapes and classes apart; engines without backtracking can't run it."""
+    bare = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "", pattern, flags=re.S)
+    return re.search(r"\(\?(?:[=!]|<[=!])", bare) is not None
+
+
 def checked(detectors: list[Detector]) -> list[Detector]:
     """The detectors, after the checks on their references: unique ids, known targets of suppression, each less specific."""
     by_id = {d.id: d for d in detectors}

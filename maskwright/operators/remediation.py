@@ -53,6 +53,12 @@ def output_state(made_from: Column, plan_now: Column, output_sha: Column, expect
     return F.when(made_from.isNull(), "not_created").when(~output_sha.eqNullSafe(expected_sha), "conflict").when(included == 0, "obsolete").when(made_from != plan_now, "regeneration_required").otherwise("current")
 
 
+def effective_state(state: Column, can_anonymize: Column) -> Column:
+    """A state that is unknown, or that the file can't have, counts as read_only."""
+    known = state.isin(*DECISIONS)
+    return F.when(F.coalesce(can_anonymize, F.lit(False)) & F.coalesce(known, F.lit(False)), state).otherwise("read_only")
+
+
 def rendered(files: DataFrame, docs: DataFrame, findings: DataFrame) -> DataFrame:
     """(path, target, output, code, reason): the redacted copy of each file with findings, or why there is none.
 

@@ -18,6 +18,8 @@ GUIDANCE = (
     (("ignored_directory", "ignore_rule", "excluded_extension", "not_included"), "Left out by settings"),
     (("detection_limit",), "Too many hits"),
     (("missing_extractor",), "No extractor installed"),
+    (("symlink",), "A link, which isn't followed"),
+    (("extraction_timeout",), "Took too long to read"),
 )
 
 
@@ -82,3 +84,36 @@ def filtered(findings: DataFrame, tier: str | None = None, category: str | None
 def size_text(n: Column) -> Column:
     """A number of bytes for people."""
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.format_string("%.1f KB", n / 1024)).when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2)).otherwise(F.format_string("%.1f GB", n / 1024**3))
+
+
+def duration_text(ms: Column) -> Column:
+    """Milliseconds for people."""
+    return F.when(ms < 1000, F.concat(F.round(ms).cast("long").cast("string"), F.lit(" ms"))).when(ms < 60_000, F.format_string("%.1f s", ms / 1000)).otherwise(F.format_string("%d min %02d s", F.floor(ms / 60_000), F.floor(ms / 1000) % 60))
+
+
+def percent(done: Column, total: Column) -> Column:
+    """Whole percents done; 0 of nothing."""
+    return F.when(total > 0, F.least(F.lit(100), F.floor(100 * done / total))).otherwise(0).cast("int")
+
+
+def display_name(name: Column) -> Column:
+    """An id as words."""
+    return F.initcap(F.trim(F.regexp_replace(name, "[_\\s-]+", " ")))
+
+
+def short_paths(findings: DataFrame, roots: list[str]) -> DataFrame:
+    """Adds short: the path below the longest root that it lies in, else its last name; where two files would have the same, the whole path."""
+    out = F.substring_index(F.col("path"), "/", -1)
+    for root in sorted(set(roots), key=len):
+        base = root.rstrip("/") + "/"
+        out = F.when(F.startswith(F.col("path"), F.lit(base)), F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))).otherwise(out)
+    names = findings.select("path").distinct().withColumn("short", out)
+    again = names.groupBy("short").agg(F.count(F.lit(1)).alias("_n"))
+    names = names.join(again, "short").select(F.col("path").alias("_p"), F.when(F.col("_n") > 1, F.col("path")).otherwise(F.col("short")).alias("short"))
+    return findings.join(names, F.col("path") == F.col("_p")).drop("_p")
+
+
+def tiered(findings: DataFrame) -> DataFrame:
+    """(tier, text): the findings of each tier as lines in the order in which they are looked at."""
+    line = F.concat(F.lit("  "), F.col("path"), F.lit(":"), F.col("line"), F.lit(":"), F.col("column"), F.coalesce(F.concat(F.lit(" ("), F.col("location"), F.lit(")")), F.lit("")), F.lit("  "), display_name(F.col("detector_id")), F.lit("  "), F.col("preview"), F.format_string("  %.2f", "confidence"))
+    return safe_labels(findings).select("tier", line.alias("text"), "confidence", "path", "line", "column", "id").orderBy("tier", F.desc("confidence"), "path", "line", "column", "id").select("tier", "text")

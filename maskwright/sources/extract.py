@@ -7,7 +7,11 @@ import email
 import email.policy
 import io
 import re
+import signal
+import threading
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from xml.etree import ElementTree as ET
 
 # Limits and signatures that results must share.
@@ -334,8 +338,35 @@ def segments(path: str, raw: bytes, budget: Budget, depth: int = 0) -> tuple[str
     return "text", []
 
 
-def read(path: str, raw: bytes, most_document: int) -> tuple:
-    """A row of files.DOCS."""
+@contextmanager
+def deadline(seconds: float | None) -> Iterator[None]:
+    """Refuses what takes longer. Only a process's main thread, which Spark's workers use, can be stopped like this."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise Refused("extraction_timeout", f"reading took more than {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def read(path: str, raw: bytes, most_document: int, seconds: float | None = None) -> tuple:
+    """A row of files.DOCS; ``seconds`` is how long it may take."""
+    try:
+        with deadline(seconds):
+            return _read(path, raw, most_document)
+    except Refused as e:
+        return path, None, None, None, None, None, e.code, e.reason
+
+
+def _read(path: str, raw: bytes, most_document: int) -> tuple:
     try:
         kind, found = segments(path, raw, Budget())
         if kind == "text":

@@ -13,8 +13,11 @@ def test_scan(spark, tmp_path, capsys):
     rows = [json.loads(x) for x in out.out.splitlines() if x.startswith("{")]
     assert [r["detector_id"] for r in rows] == ["credit_card"] and "4111 1111" not in out.out
     assert '"skipped": 1' in out.err
-    assert cli.main(["scan", f"file://{tmp_path}", "--target", "AND"], spark) == 0
+    assert cli.main(["scan", f"file://{tmp_path}", "--target", "AND", "--markdown"], spark) == 0
     assert "user\\_target\\_0" in capsys.readouterr().out
+    assert cli.main(["scan", f"file://{tmp_path}"], spark) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == "Tier A: almost certain" and "a.txt:1:26  Credit Card" in lines[1] and not any("4111 1111" in x for x in lines)
 
 
 def docx(path, *texts, **more):

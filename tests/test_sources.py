@@ -140,3 +140,31 @@ def test_windows_overlap_by_the_longest_match(spark):
     assert len(whole) == 1 and spans(rules.chunked_detections(docs, [jwt], core=23_000)) == whole
     with pytest.raises(ValueError, match="24682"):
         rules.chunked_detections(docs, [jwt], core=23_000, overlap=700)
+
+
+def test_links_are_not_followed(spark, tmp_path):
+    (tmp_path / "real").mkdir()
+    (tmp_path / "real" / "a.txt").write_text("a")
+    (tmp_path / "file.txt").symlink_to(tmp_path / "real" / "a.txt")
+    (tmp_path / "folder").symlink_to(tmp_path / "real")
+    listed = {r["path"].split(str(tmp_path))[1]: r["issue"] and r["issue"]["code"] for r in S.discover(spark, [f"file://{tmp_path}"]).collect()}
+    assert listed.pop("/real/a.txt") is None and listed and set(listed.values()) == {"symlink"}
+
+
+def test_deadline(monkeypatch):
+    import time
+
+    monkeypatch.setattr(X, "segments", lambda *a: time.sleep(5))
+    began = time.time()
+    assert X.read("a.docx", DOCX, 10**6, 0.2)[6] == "extraction_timeout" and time.time() - began < 2
+
+
+def test_table_functions(spark):
+    from maskwright.sources import udtf
+
+    udtf.register(spark)
+    rows = [("a.docx", bytearray(DOCX)), ("t.txt", bytearray(b"plain")), ("i.png", bytearray(b"\x89PNG\r\n\x1a\n\0")), (None, None)]
+    spark.createDataFrame(rows, "path string, content binary").createOrReplaceTempView("given_files")
+    got = spark.sql("SELECT path, s.format, s.label, s.start, s.text FROM given_files, LATERAL document_segments(path, content) s").collect()
+    assert sorted(map(tuple, got), key=str) == [("a.docx", "docx", "header1 paragraph 1", 22, "top"), ("a.docx", "docx", "paragraph 1", 0, "ssn 123-45-6789"), ("a.docx", "docx", "paragraph 2", 16, "two\tx"), ("t.txt", "text", None, 0, "plain")]
+    assert [tuple(r) for r in spark.sql("SELECT path, s.code FROM given_files, LATERAL file_issue(path, content) s").collect()] == [("i.png", "binary_file")]

@@ -171,3 +171,17 @@ def test_breakdowns_by_hand(spark):
     assert E.choose_profile(best, "p").first()["profile"] == "q"
     runs = lambda *ms: spark.createDataFrame([("f", "e", float(x)) for x in ms], "fixture string, environment string, wall_ms double")
     assert not E.compared(runs(100, 90, 500), runs(119)).first()["regressed"] and E.compared(runs(100), runs(126)).first()["regressed"] and not E.compared(runs(10), runs(30)).first()["regressed"]
+
+
+def test_names_for_people(spark):
+    df = spark.createDataFrame([(5.4, 1, 3, "us_ssn"), (61_500.0, 5, 5, "x"), (1500.0, 0, 0, "a-b")], "ms double, done int, total int, id string")
+    got = [tuple(r) for r in df.select(P.duration_text(F.col("ms")), P.percent(F.col("done"), F.col("total")), P.display_name(F.col("id"))).collect()]
+    assert got == [("5 ms", 33, "Us Ssn"), ("1 min 01 s", 100, "X"), ("1.5 s", 0, "A B")]
+    paths = spark.createDataFrame([("/r/a/x.txt",), ("/r/b/y.txt",), ("/other/z.txt",), ("/q/z.txt",)], "path string")
+    assert {r["path"]: r["short"] for r in P.short_paths(paths, ["/r", "/r/a/"]).collect()} == {"/r/a/x.txt": "x.txt", "/r/b/y.txt": "b/y.txt", "/other/z.txt": "/other/z.txt", "/q/z.txt": "/q/z.txt"}
+    states = spark.createDataFrame([("included", True), ("included", False), ("odd", True), (None, True), ("ignored", None)], "s string, c boolean")
+    assert [r[0] for r in states.select(R.effective_state(F.col("s"), F.col("c"))).collect()] == ["included", "read_only", "read_only", "read_only", "read_only"]
+    assert D.has_lookaround("a(?=b)") and D.has_lookaround("(?<!x)y") and not D.has_lookaround(r"\(?=b") and not D.has_lookaround("[(?=]x(?:y)")
+    one, two = G.summary(G.consolidate(D.detect(spark.createDataFrame(ROWS, "path string, text string"), list(D.BUILT_IN)))), None
+    two = G.combined(one.unionByName(one))
+    assert {(r["tier"], r["category"]): r["n"] for r in two.collect()} == {(r["tier"], r["category"]): 2 * r["n"] for r in one.collect()}
