@@ -8,7 +8,7 @@ tokens is the path from the root, of which a word keeps what it shares with the
 comes from an automaton over the vocabulary's bytes, whose states are on the same stack.
 
 Nulls and empty texts have no ids. Repeated rows get equal results; empty tables give no rows. Very long words cost time
-in proportion to their length. No row is shuffled.
+in proportion to their length. Other columns, of any name, play no part. No row is shuffled.
 """
 
 from __future__ import annotations

@@ -12,8 +12,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, label) for each vertex of the edges (a, b): label is the least vertex of its component.
 
     Each round gives a vertex the least label of its neighbours and then that label's own label, so paths halve and
-    stars are done in two rounds. Labels are written each round; only a count of changes reaches the driver.
+    stars are done in two rounds. Labels are written each round; only whether some changed reaches the driver.
+
+    Edges with a null end join nothing and give no vertex of their own; repeated edges and loops count once; a loop alone is a
+    component of one. No edges give no rows. Vertices are compared by their own order, so ties can't arise.
     """
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL")
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "v"), "labels")
     while True:

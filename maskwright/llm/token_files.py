@@ -14,7 +14,9 @@ A key's slot is its rank among the set bits of the first level in which its bit
 keys that the shard lacks. Shards hold ascending, disjoint ranges of keys, so the shards in order hold all documents
 in ascending order; equal keys are in one shard, next to each other.
 
-Nulls: null texts are empty; null ids come first. Repeated rows are records each. Empty tables write no shard.
+Nulls: null texts are empty; null ids come first. Repeated rows are records each, those of one key in the order
+of their ids' bytes. Empty tables
+write no shard. A very long text is one record, whose ids one task holds. Other columns, of any name, play no part.
 Files are written under a temporary name and then renamed, so a task that runs again after a lost executor writes the
 same file again. All of them are in the shared folder, reached through pyarrow's file systems.
 """
@@ -42,7 +44,9 @@ from .shared import runs, scratch, table, uncollected
 
 MAGIC = b"MWTOKEN1"
 #: Documents in a shard, about; and the most shards, above which shards grow.
-SHARD_ROWS, MOST_SHARDS = 4096, 4096
+SHARD_ROWS, MOST_SHARDS = 4096, 16_384
+#: Records that are read at a time.
+RUN = 1024
 #: Units that a worker remembers, of each kind.
 MOST_UNITS = 1_000_000
 END_ID = 2
@@ -286,7 +290,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END
     width = 2 if top < 1 << 16 else 4
     n = docs.count()
     count = max(1, min(MOST_SHARDS, -(-n // SHARD_ROWS)))
-    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), F.array(*(F.lit(k / count) for k in range(1, count))), 100 * count)).first()[0] if count > 1 else []
+    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), F.array(*(F.lit(k / count) for k in range(1, count))), min(100 * count, 1_000_000))).first()[0] if count > 1 else []
     cuts = np.unique(np.array(cuts or [], np.int64))
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
@@ -319,7 +323,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.int64()) for k in range(3)], ["shard", "records", "n_ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInArrow(encode, "shard int, key long, ids binary")
-    rows = rows.repartition(max(count, spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"))
+    rows = rows.repartition(max(count, spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"), "ids")
     shards, at = [], 0
     for r in sorted(rows.mapInArrow(store, "shard long, records long, n_ids long").collect()):
         shards.append((*r, at))
@@ -341,9 +345,14 @@ def read(spark: SparkSession, tokens: TokenSet) -> DataFrame:
                 if (counts < 1).any() or counts.sum() != shard.records - shard.nulls:
                     raise ValueError("the shard's index lacks keys")
                 records = np.concatenate([np.arange(shard.nulls), np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))]).astype(np.int64)
-                for s in range(0, len(records), 1024):
-                    part = records[s : s + 1024]
-                    crcs = [zlib.crc32(shard.ids(int(r)).astype("<u4")) for r in part]
+                for s in range(0, len(records), RUN):
+                    part = records[s : s + RUN]
+                    # neighbours are read together: one request for many records
+                    first, last = int(part.min()), int(part.max())
+                    near = shard.ids(first, last + 1).astype("<u4") if last - first < 4 * RUN else None
+                    at = shard.offsets[part] - shard.offsets[first]
+                    ids = [shard.ids(int(r)).astype("<u4") if near is None else near[a : a + n] for r, a, n in zip(part, at, shard.offsets[part + 1] - shard.offsets[part])]
+                    crcs = [zlib.crc32(x) for x in ids]
                     keys = pa.array(shard.keys[part], mask=part < shard.nulls)
                     starts, ends = shard.offsets[part], shard.offsets[part + 1]
                     yield pa.RecordBatch.from_arrays([keys, pa.array(base + starts), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -172,3 +172,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (200, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and got[200] == 200
+
+
+def test_components_of_odd_edges(spark):
+    got = components(spark.createDataFrame([(1, 2), (2, 1), (1, 2), (5, 5)], "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (5, 5)]
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert sorted(map(tuple, components(spark.createDataFrame([(1, 2), (3, None)], "a long, b long")).collect())) == [(1, 1), (2, 1)]
