@@ -83,7 +83,11 @@ def llr_table(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     each = lambda f: [F.sum(F.when(F.col("label") == kind, F.col(f))).alias(f"{f}_{kind}") for kind in ("allow", "block")]
     n = by_order(counts, "label", "ch", "n").groupBy("k", "c", "ch").agg(*each("n"))
     totals = by_order(counts.groupBy("label", "ctx").agg(F.sum("n").alias("t")), "label", "t").groupBy("k", "c").agg(*each("t"))
-    met = by_order(wanted, "ctx", "ch").join(n, ["k", "c", "ch"], "left").join(totals, ["k", "c"], "left")
+    met = by_order(wanted, "ctx", "ch").join(n, ["k", "c", "ch"], "left")
+    # of order 0 there is one context: its total for either label is a number, and no join key that all n-grams share
+    whole = {r["label"]: int(r["t"]) for r in counts.groupBy("label").agg(F.sum("n").alias("t")).collect()}
+    met = met.withColumn("j", F.when(F.col("k") > 0, F.col("c")).otherwise(F.concat("ctx", "ch"))).join(totals.where("k > 0").withColumnRenamed("c", "j"), ["k", "j"], "left")
+    met = met.withColumns({f"t_{kind}": F.when(F.col("k") > 0, F.col(f"t_{kind}")).otherwise(F.lit(whole.get(kind)).cast("long")) for kind in ("allow", "block")})
     out = met.groupBy("ctx", "ch").agg(F.sort_array(F.collect_list(F.struct("k", "n_allow", "n_block", "t_allow", "t_block"))).alias("o"))
 
     def smoothed(kind: str) -> Column:
