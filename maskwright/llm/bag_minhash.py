@@ -242,11 +242,13 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         last, last_bag = None, Counter()
         for batch in batches:
             keep = []
-            for k, (key, one, other) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if key != last:
-                    last, last_bag = key, bag(other)
-                if similarity(bag(one), last_bag) >= threshold:
-                    keep.append(k)
+            for start, end in runs(batch.column(2), GROUP):
+                part = batch.slice(start, end - start)
+                for k, (key, one) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    if key != last:
+                        last, last_bag = key, bag(part.column(3)[k].as_py())
+                    if similarity(bag(one), last_bag) >= threshold:
+                        keep.append(start + k)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], ["a", "b"])
 
     one = texts.select(F.col("digest").alias("a"), F.col("text").alias("ta"))

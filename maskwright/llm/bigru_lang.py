@@ -260,9 +260,11 @@ def accepted(docs: DataFrame, net: Network | None, least: float = LEAST_SCORE, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = judged(net, b.column(at))
-            stay = b.filter(pa.array([k != "und" and x >= least for k, x in zip(langs, scores)], pa.bool_()))
-            yield pa.RecordBatch.from_arrays(stay.columns, names)
+            for start, end in runs(b.column(at), 4_000_000):
+                part = b.slice(start, end - start)
+                langs, scores = judged(net, part.column(at))
+                stay = part.filter(pa.array([k != "und" and x >= least for k, x in zip(langs, scores)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(stay.columns, names)
 
     return docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, docs.schema)
 

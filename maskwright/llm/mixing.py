@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, packed, table
+from .shared import WORD, cut, packed, runs, table
 
 BLOCK_WORDS = 128
 WEIGHTS = (1, 2, 3)
@@ -174,7 +174,7 @@ class Mix:
         at, names = docs.columns.index(text_col), docs.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (b.slice(start, end - start) for b in batches for start, end in runs(b.column(at), 4_000_000)):
                 rows, texts = [], []
                 for i, (text, pieces) in enumerate(zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist())):
                     passes: dict[int, list[tuple[int, int]]] = {}
@@ -182,12 +182,12 @@ class Mix:
                         passes.setdefault(p["pass"], []).append((p["first_word"], p["first_word"] + p["n_words"]))
                     spans = None
                     for number in sorted(passes):
-                        runs = merged(passes[number])
+                        taken_words = merged(passes[number])
                         if spans is None:
                             spans = [m.span() for m in _WORD.finditer(text)]
-                        whole = runs == [(0, len(spans))]
+                        whole = taken_words == [(0, len(spans))]
                         rows.append(i)
-                        texts.append(text if whole else "\n".join(text[spans[a][0] : spans[z - 1][1]] for a, z in runs))
+                        texts.append(text if whole else "\n".join(text[spans[a][0] : spans[z - 1][1]] for a, z in taken_words))
                 pick = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else b.column(k).take(pick) for k in range(len(names))], names)
 
