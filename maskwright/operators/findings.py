@@ -85,21 +85,21 @@ def grouped(detections: DataFrame) -> DataFrame:
 def consolidate(detections: DataFrame) -> DataFrame:
     """A canonical finding for each component: its primary detection, its extent, and the others as supporting evidence.
 
-    The primary is the least by (suppressed, -priority, -specificity, -length, detector, start, end). Supporting detectors give
+    The primary is the least by (suppressed, -specificity, -priority, -length, detector, start, end). Supporting detectors give
     their highest confidence, the first in the primary's order on ties; relationship: suppressed, same_span or overlap_chain.
     """
     members = grouped(detections)
     m = F.col("members")
     hidden = lambda x: F.exists(m, lambda o: F.array_contains(o["suppresses"], x["detector_id"]) & (o["start"] <= x["start"]) & (o["end"] >= x["end"]))
     # arrays of structs sort by their fields from the first
-    keyed = F.array_sort(F.transform(m, lambda x: F.struct(hidden(x).alias("suppressed"), (-x["priority"]).alias("p"), (-x["specificity"]).alias("s"), (x["start"] - x["end"]).alias("l"), x["detector_id"].alias("d"), x["start"].alias("a"), x["end"].alias("z"), x.alias("m"))))
+    keyed = F.array_sort(F.transform(m, lambda x: F.struct(hidden(x).alias("suppressed"), (-x["specificity"]).alias("s"), (-x["priority"]).alias("p"), (x["start"] - x["end"]).alias("l"), x["detector_id"].alias("d"), x["start"].alias("a"), x["end"].alias("z"), x.alias("m"))))
     out = members.withColumn("keyed", keyed).withColumn("primary", F.get("keyed", F.lit(0)))
     p, at = F.col("primary.m"), F.array_sort(F.transform(m, lambda x: F.struct(x["start"].alias("a"), x["end"].alias("z"), x["detector_id"].alias("d"))))
     signature = F.array_join(F.transform(at, lambda x: F.concat_ws(":", x["d"], x["a"].cast("string"), x["z"].cast("string"))), "|")
     first, last = F.array_min(F.transform(m, lambda x: x["start"])), F.array_max(F.transform(m, lambda x: x["end"]))
     relation = lambda x: F.when(x["suppressed"], "suppressed").when((x["a"] == p["start"]) & (x["z"] == p["end"]), "same_span").otherwise("overlap_chain")
     rest = F.slice("keyed", 2, F.size("keyed"))
-    best = lambda x: ~F.exists(F.filter("others", lambda o: (o["d"] == x["d"])), lambda o: (o["m"]["confidence"] > x["m"]["confidence"]) | ((o["m"]["confidence"] == x["m"]["confidence"]) & (F.struct(o["p"], o["s"], o["l"], o["d"], o["a"], o["z"]) < F.struct(x["p"], x["s"], x["l"], x["d"], x["a"], x["z"]))))
+    best = lambda x: ~F.exists(F.filter("others", lambda o: (o["d"] == x["d"])), lambda o: (o["m"]["confidence"] > x["m"]["confidence"]) | ((o["m"]["confidence"] == x["m"]["confidence"]) & (F.struct(o["s"], o["p"], o["l"], o["d"], o["a"], o["z"]) < F.struct(x["s"], x["p"], x["l"], x["d"], x["a"], x["z"]))))
     out = out.withColumn("others", rest)
     support = F.array_sort(F.transform(F.filter("others", best), lambda x: F.struct(x["d"].alias("detector_id"), x["m"]["confidence"].alias("confidence"), relation(x).alias("relationship"))))
     return out.select(

@@ -153,10 +153,11 @@ def test_evidence_and_priority(spark):
     r = one(spark, "visa 4111 1111 1111 1111", "test/a.txt")
     (card,) = [x for k, x in r.items() if k[0] == "credit_card"]
     assert [x.split(":")[0] for x in card["evidence"]] == ["validator", "pattern", "in_path"] and card["near"] == "visa 4111 1111 1111 1111"
-    high = D.Detector("a", "x", "", 0.5, "abc", specificity=10, priority=1)
-    low = D.Detector("b", "x", "", 0.5, "abc", specificity=90)
-    found = G.consolidate(scan(spark, [("p", "abc")], [high, low])).first()
-    assert found["detector_id"] == "a" and [x["relationship"] for x in found["supporting"]] == ["same_span"]
+    first = D.Detector("z", "x", "", 0.5, "abc", specificity=50, priority=1)
+    found = G.consolidate(scan(spark, [("p", "abc")], [first, D.Detector("a", "x", "", 0.5, "abc")])).first()
+    assert found["detector_id"] == "z" and [x["relationship"] for x in found["supporting"]] == ["same_span"]
+    found = G.consolidate(scan(spark, [("p", "abc")], [first, D.Detector("a", "x", "", 0.5, "abc", specificity=51)])).first()
+    assert found["detector_id"] == "a"
 
 
 def test_chunks_give_every_column_of_the_whole(spark):
