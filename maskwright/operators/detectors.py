@@ -204,17 +204,17 @@ def hits(docs: DataFrame, detectors: list[Detector], keep: tuple[str, ...] = (),
     found = found.withColumn("_n", total).withColumn("_index", F.when(F.col("_n").between(1, most), T.index(text))).withColumn("_marked", F.contains(text, F.lit("\u0001")))
     at = F.col("_index")
 
-    def hit(k: int):
-        return lambda s: made(k, s)
+    def tagged(k: int):
+        return lambda s: F.struct(F.lit(k).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
 
-    def made(k: int, s: Column) -> Column:
+    def hit(s: Column) -> Column:
         own = F.when(F.col("_marked"), T.sliced(at, s["start"], s["end"])).otherwise(s["value"])
         near = T.sliced(at, F.greatest(s["start"] - 100, F.lit(0)), s["end"] + 100)
         label = T.location(F.col("segments"), s["start"]) if segments else F.lit(None).cast("string")
-        return F.struct(F.lit(k).alias("k"), s["start"].alias("start"), s["end"].alias("end"), own.alias("value"), T.place(at, s["start"]).alias("at"), near.alias("near"), label.alias("location"), F.lit(False).alias("over"))
+        return F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), own.alias("value"), T.place(at, s["start"]).alias("at"), near.alias("near"), label.alias("location"), F.lit(False).alias("over"))
 
     kind = "array<struct<k:int,start:int,end:int,value:string,at:struct<line:int,column:int>,near:string,location:string,over:boolean>>"
-    each = F.concat(*(F.transform(n, hit(k)) for k, n in enumerate(names))).cast(kind) if names else F.array().cast(kind)
+    each = F.transform(F.concat(*(F.transform(n, tagged(k)) for k, n in enumerate(names))), hit).cast(kind) if names else F.array().cast(kind)
     over = F.array(F.struct(*(F.lit(None) for _ in range(7)), F.lit(True))).cast(kind)
     out = found.select("path", *keep, F.explode(F.when(F.col("_n") > most, over).otherwise(each)).alias("h"))
     return out.select("path", *keep, "h.k", "h.start", "h.end", "h.value", "h.at.line", "h.at.column", "h.near", "h.location", "h.over")
