@@ -63,7 +63,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     docs, skipped = S.load(spark, a.paths, rules=rules, include=a.include, exclude=a.exclude, directories=(*S.IGNORED_DIRECTORIES, *a.ignore_dir), most=a.max_size)
     # files are opened once and texts scanned once, whatever is made of them below
     docs = written(docs, "texts").withColumn("can_anonymize", F.col("format").isin("text", *V.FORMATS))
-    hits = written(R.chunked_hits(docs, detectors, CORE, keep=("can_anonymize",)), "hits")
+    hits = written(R.chunked_hits(docs, detectors, CORE, keep=("can_anonymize",), most=D.MOST_CANDIDATES), "hits")
     skipped = written(skipped.unionByName(D.over_budget(hits)), "skipped")
     found = D.scored(hits, detectors, tuple(a.category), a.threshold, keep=("can_anonymize",)).join(D.over_budget(hits).select("path"), "path", "left_anti")
     found = written(G.visible(G.consolidate(found)), "findings")

@@ -102,10 +102,10 @@ def windows(docs: DataFrame, core: int, overlap: int) -> DataFrame:
     return out.select(*rest, F.col("w.text").alias("text"), F.col("w.first").alias("_first"), F.col("w.own").alias("_own"), (F.col("w.own") + core).alias("_end"), F.col("w.lines").alias("_lines"), F.col("w.last").alias("_last"))
 
 
-def chunked_hits(docs: DataFrame, detectors: list[D.Detector], core: int, overlap: int | None = None, keep: tuple[str, ...] = (), most: int = D.MOST_CANDIDATES) -> DataFrame:
+def chunked_hits(docs: DataFrame, detectors: list[D.Detector], core: int, overlap: int | None = None, keep: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """``detectors.hits`` of long texts window by window: no task holds more of a text than a window, and each hit belongs to the
     window in whose core it starts. ``overlap`` is the longest match, 100 characters around it and one by default, and less is
-    an error. Places are those in the whole text. The budget holds for each window. A run of characters that is longer than the overlap and that a
+    an error. Places are those in the whole text. A budget ``most`` holds for each window. A run of characters that is longer than the overlap and that a
     detector cuts into several matches can be cut elsewhere than in the whole text."""
     least = max((d.max_match_length for d in detectors), default=0) + 101
     overlap = least if overlap is None else overlap

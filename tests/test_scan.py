@@ -233,3 +233,11 @@ def test_rescan_runs_all_built_in_detectors(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["detector_id"] for r in catalogue.queries()["rescan_residual"](spark, str(tmp_path)).collect()}
     assert {"connection_string", "jwt", "password_assignment", "private_key_header"} <= got
+
+
+def test_no_limit_on_a_texts_candidates(spark):
+    mail = next(d for d in D.BUILT_IN if d.id == "email")
+    n = 100_001
+    docs = spark.createDataFrame([("p", "a@b.co " * n), ("q", "x@y.org")], "path string, text string")
+    got = D.detect(docs, [mail]).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("start").alias("last")).collect()
+    assert sorted(map(tuple, got)) == [("p", n, 7 * (n - 1)), ("q", 1, 0)]
