@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,6 +96,41 @@ def location(segments: Column, offset: Column) -> Column:
     return F.when(F.size(segments) > 0, F.coalesce(F.element_at(before, -1)["label"], F.get(segments, F.lit(0))["label"]))
 
 
+#: The border of a word of ASCII letters, digits and _; Java's own \b counts letters of all scripts, with or without (?U).
+_WORD = "[0-9A-Za-z_]"
+_BORDER = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+#: What simple case folding adds to ASCII letters.
+_FOLDED = {"k": "\\x{212a}", "s": "\\x{17f}"}
+
+
+def re2_pattern(pattern: str) -> str:
+    """A Java pattern that finds what RE2 (DuckDB) finds by this one of ASCII characters, its U flag apart: borders, digits, words and
+    spaces of ASCII, and (?i) by simple case folding, which joins k and s with one letter each beyond ASCII."""
+    flags = re.match(r"\(\?([a-zA-Z]+)\)|", pattern)
+    fold = "i" in (flags[1] or "")
+    out, inside = [], None  # inside: the start in out of the class that is open
+    for part in re.findall(r"\\x\{[0-9a-fA-F]+\}|\\.|\(\?[:=!<]*|\[\^?\]?|.", pattern[flags.end() :], re.S):
+        own = chr(int(part[3:-1], 16)) if part.startswith("\\x{") else part
+        if not own.isascii():
+            raise ValueError(f"beyond ASCII: {pattern}")
+        if inside is None and part[0] == "[":
+            inside = len(out)
+        elif inside is not None and part == "]":
+            known = re.compile("".join(out[inside:]) + "]", re.I)
+            negated = out[inside].startswith("[^")
+            part = "".join(x for c, x in _FOLDED.items() if fold and (known.match(c) is None) == negated) + part
+            inside = None
+        elif part == "\\b":
+            part = _BORDER
+        elif part == "\\s":
+            part = "\\t\\n\\f\\r " if inside is not None else "[\\t\\n\\f\\r ]"
+        elif fold and inside is None and own.lower() in _FOLDED:
+            part = f"[{own}{_FOLDED[own.lower()]}]"
+        out.append(part)
+    kept = "".join(f for f in flags[1] or "" if f not in "uU")
+    return (f"(?{kept})" if kept else "") + "".join(out)
+
+
 def literal_pattern(value: str) -> str:
     """A case-insensitive pattern for a literal."""
     return "(?iu)" + "".join(f"\\x{{{ord(c):x}}}" for c in value)

@@ -241,3 +241,27 @@ def test_no_limit_on_a_texts_candidates(spark):
     docs = spark.createDataFrame([("p", "a@b.co " * n), ("q", "x@y.org")], "path string, text string")
     got = D.detect(docs, [mail]).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("start").alias("last")).collect()
     assert sorted(map(tuple, got)) == [("p", n, 7 * (n - 1)), ("q", 1, 0)]
+
+
+@pytest.mark.parametrize("name", ["scored_detections", "hits_by_detector", "public_findings", "supporting_detections", "chunked_equals_whole", "plant_match_metrics", "rescan_residual"])
+def test_words_border_on_other_scripts_like_sql(spark, tmp_path, name):
+    """Word borders, digits, spaces and cases beyond ASCII, where Java's patterns and the SQL's differ."""
+    card = "4289216504451655"
+    texts = [f"der ütest {card} heitver", f"teſt {card}", f"faKe {card}", f"tıest tesé {card}", f"é{card}é", "é123-45-6789 ١٢٣-45-6789", "tel.: 555-123-4567é", "üa.b@c.orgä", "Apache Licenſe", "paſsword\u000b= hunter22x", f"äexampleä ab{card}"]
+    docs = spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = entry.queries()[name](spark, str(tmp_path))
+    rows = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows)) and rows
+
+
+def test_runs_are_tried_where_they_begin(spark):
+    token = replace(next(d for d in D.BUILT_IN if d.id == "high_entropy_secret"), entropy_threshold=0.0)
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a" * r.randint(1, 150), " ", "é", "."]) for _ in range(r.randint(1, 30))) for _ in range(200)]
+    got = scan(spark, [(str(i), t) for i, t in enumerate(texts)], [token]).select("path", "start", "end").collect()
+    import re
+
+    assert sorted(map(tuple, got)) == sorted((str(i), m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(token.pattern, t))
