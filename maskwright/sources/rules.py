@@ -71,11 +71,11 @@ def longest_extension(path: Column, extensions: list[str]) -> Column:
 
 
 def windows(docs: DataFrame, core: int, overlap: int) -> DataFrame:
-    """(the columns of docs, window's text as text, _first, _own, _end, _lines, _last): the texts in windows of ``core`` characters with ``overlap`` more
-    on either side; _first is the window's place in the text, _lines the line feeds before it, and _last the place of the last of these."""
-    pieces = F.when(F.length("text") <= core, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{core}}}"), F.lit(0)))
+    """(the columns of docs, window's text as text, _first, _own, _end, _lines, _last): the texts in windows of ``core`` characters and the rest of the line that
+    they end in, with ``overlap`` more on either side; _first is the window's place in the text, _lines the line feeds before it, and _last the place of the last of these."""
+    pieces = F.when(F.length("text") <= core, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{core}}}[^\n]*\n?"), F.lit(0)))
     feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    kind = "array<struct<own:int,text:string,first:int,lines:int,last:int>>"
+    kind = "array<struct<own:int,text:string,first:int,end:int,lines:int,last:int>>"
 
     def cut(p):
         start = F.struct(F.lit(0).alias("own"), F.lit(0).alias("lines"), F.lit(-1).alias("last"), F.array().cast(kind).alias("out"))
@@ -86,7 +86,7 @@ def windows(docs: DataFrame, core: int, overlap: int) -> DataFrame:
                 lines = lambda t, n: n + feeds(t)
                 at = lambda t, first, last: F.when(F.contains(t, F.lit("\n")), first + F.length(t) - F.length(F.substring_index(t, "\n", -1)) - 1).otherwise(last)
                 behind = a["own"] - F.length(x["back"])
-                row = F.struct(a["own"].alias("own"), F.concat(x["back"], x["piece"], x["ahead"]).alias("text"), behind.alias("first"), lines(x["gone"], a["lines"]).alias("lines"), at(x["gone"], behind - F.length(x["gone"]), a["last"]).alias("last"))
+                row = F.struct(a["own"].alias("own"), F.concat(x["back"], x["piece"], x["ahead"]).alias("text"), behind.alias("first"), (a["own"] + F.length(x["piece"])).alias("end"), lines(x["gone"], a["lines"]).alias("lines"), at(x["gone"], behind - F.length(x["gone"]), a["last"]).alias("last"))
                 # before the next piece lies what is gone now and what was seen again
                 return F.struct((a["own"] + F.length(x["piece"])).alias("own"), lines(F.concat(x["gone"], x["back"]), a["lines"]).alias("lines"), at(F.concat(x["gone"], x["back"]), behind - F.length(x["gone"]), a["last"]).alias("last"), F.concat(a["out"], F.array(row)).alias("out"))
 
@@ -99,14 +99,15 @@ def windows(docs: DataFrame, core: int, overlap: int) -> DataFrame:
 
     rest = [c for c in docs.columns if c != "text"]
     out = docs.where(F.length("text") > 0).select(*rest, F.explode(T.let(pieces, cut)).alias("w"))
-    return out.select(*rest, F.col("w.text").alias("text"), F.col("w.first").alias("_first"), F.col("w.own").alias("_own"), (F.col("w.own") + core).alias("_end"), F.col("w.lines").alias("_lines"), F.col("w.last").alias("_last"))
+    return out.select(*rest, F.col("w.text").alias("text"), F.col("w.first").alias("_first"), F.col("w.own").alias("_own"), F.col("w.end").alias("_end"), F.col("w.lines").alias("_lines"), F.col("w.last").alias("_last"))
 
 
 def chunked_hits(docs: DataFrame, detectors: list[D.Detector], core: int, overlap: int | None = None, keep: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """``detectors.hits`` of long texts window by window: no task holds more of a text than a window, and each hit belongs to the
     window in whose core it starts. ``overlap`` is the longest match, 100 characters around it and one by default, and less is
-    an error. Places are those in the whole text. A budget ``most`` holds for each window. A run of characters that is longer than the overlap and that a
-    detector cuts into several matches can be cut elsewhere than in the whole text."""
+    an error. Places are those in the whole text. A budget ``most`` holds for each window. As windows begin with a line, a run that a detector cuts
+    into several matches is cut as in the whole text, however long it is; only matches one after the other across line feeds, for longer
+    than the overlap, can be cut elsewhere."""
     least = max((d.max_match_length for d in detectors), default=0) + 101
     overlap = least if overlap is None else overlap
     if overlap < least:
