@@ -179,3 +179,26 @@ def test_components_of_odd_edges(spark):
     assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (5, 5)]
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert sorted(map(tuple, components(spark.createDataFrame([(1, 2), (3, None)], "a long, b long")).collect())) == [(1, 1), (2, 1)]
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    from maskwright.llm import components as C
+
+    written, cut = [], C.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        written.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(C, "cut", counted)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(100) if i % 10 != 9], "a int, b int")
+        got = {r["v"]: r["label"] for r in C.components(edges).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 10 for i in range(100)} and len(written) > 3 and max(written) <= 4
