@@ -101,7 +101,8 @@ def consolidate(detections: DataFrame) -> DataFrame:
     rest = F.slice("keyed", 2, F.size("keyed"))
     best = lambda x: ~F.exists(F.filter("others", lambda o: (o["d"] == x["d"])), lambda o: (o["m"]["confidence"] > x["m"]["confidence"]) | ((o["m"]["confidence"] == x["m"]["confidence"]) & (F.struct(o["s"], o["p"], o["l"], o["d"], o["a"], o["z"]) < F.struct(x["s"], x["p"], x["l"], x["d"], x["a"], x["z"]))))
     out = out.withColumn("others", rest)
-    support = F.array_sort(F.transform(F.filter("others", best), lambda x: F.struct(x["d"].alias("detector_id"), x["m"]["confidence"].alias("confidence"), relation(x).alias("relationship"), x["a"].alias("start"), x["z"].alias("end"))))
+    # repeated detections are equally good, and equal here
+    support = F.array_sort(F.array_distinct(F.transform(F.filter("others", best), lambda x: F.struct(x["d"].alias("detector_id"), x["m"]["confidence"].alias("confidence"), relation(x).alias("relationship"), x["a"].alias("start"), x["z"].alias("end")))))
     return out.select(
         "path", T.stable_id(F.col("path"), first, F.concat(F.lit("canonical:"), last.cast("string"), F.lit(":"), signature)).alias("id"),
         p["detector_id"].alias("detector_id"), p["category"].alias("category"), p["start"].alias("start"), p["end"].alias("end"), p["line"].alias("line"), p["column"].alias("column"), p["value"].alias("value"),

@@ -281,7 +281,7 @@ def test_odd_values_like_sql(spark, tmp_path, name):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows)) and rows
 
 
-@pytest.mark.parametrize("name", ["labels_join_findings", "public_findings", "plant_match_metrics", "evaluation_metrics", "quality_gates", "weight_profiles", "scored_detections", "hits_by_detector"])
+@pytest.mark.parametrize("name", ["labels_join_findings", "public_findings", "plant_match_metrics", "evaluation_metrics", "quality_gates", "weight_profiles", "consolidated_findings", "supporting_detections", "scored_detections", "hits_by_detector"])
 def test_null_paths_and_repeated_rows_like_sql(spark, tmp_path, name):
     """Texts of a null source or id, rows and labels that repeat."""
     text = "a.b@mail.org 4111 1111 1111 1111 token q9X2mK7pL4vN8sT1wZ6yB3cD"
