@@ -19,8 +19,9 @@ levels that it reads there. So an n-gram that a third of all texts have is one n
 are about (1 - exp(-PROBES / BITS_PER_ENTRY)) ** PROBES = 1.2 % for a probed level, at every size.
 
 Token counts go the same way but are exact: the words themselves are added up, not hashes of them. In a range n-grams are
-told apart by KEY_BITS bits of a hash over BLAKE2b digests of their words; as a range holds some millions at any size,
-one in about 10^5 meets another, far below the filter's own rate.
+told apart by KEY_BITS bits of a hash over 64-bit hashes of their words; as a range holds some millions at any size,
+one in about 10^5 meets another, far below the filter's own rate. A range's filter is made and read in pieces of SLICE
+n-grams, each with its own bits, so that a piece and its probes stay in a core's cache.
 
 Nulls and empty texts are an end alone. A null id is not held out. Repeated rows count each and get equal scores. A very
 long text is a block of its own. Extra columns play no part, whatever their names. Empty tables give no rows; without
@@ -30,10 +31,8 @@ training rows, all counts are 0.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +52,10 @@ BLOCK_BYTES = 6_000_000
 RANGE_DOCS, LEAST_RANGES = 2048, 24
 #: Bits of an n-gram's hash besides its range.
 KEY_BITS = 40
+#: N-grams of a piece of a range's filter.
+SLICE = 1 << 16
+#: Bytes of a word that are hashed in columns; longer words go through BLAKE2b.
+LONG_WORD = 64
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << KEY_BITS) - 1)
@@ -65,9 +68,47 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64 bits of each word's BLAKE2b digest."""
-    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), "<u8")
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, their numbers in all texts one after the other, words of each text): the ``tokens`` of many texts at once.
+    Arrow parts at the same six bytes, and leaves an empty word where a text begins or ends with one."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten().dictionary_encode()
+    words, ids = flat.dictionary.cast(pa.binary()), flat.indices.to_numpy().astype(np.int64)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.index(words, pa.scalar(b"", pa.binary())).as_py()
+    if empty >= 0:
+        real = ids != empty
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        ids, lengths = ids[real], np.bincount(owner[real], minlength=len(lengths))
+    return words, ids, lengths
+
+
+def _array(words: pa.Array | list[bytes]) -> pa.Array:
+    return words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+
+
+def word_hashes(words: pa.Array | list[bytes]) -> np.ndarray:
+    """64 bits of each word: its bytes, eight at a time, through a mixing function; BLAKE2b of words of more than LONG_WORD bytes."""
+    words = _array(words)
+    if not len(words):
+        return np.empty(0, np.uint64)
+    _, places, data = words.buffers()
+    places = np.frombuffer(places, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    starts, ends, sizes = places[:-1], places[1:], np.diff(places)
+    raw = np.frombuffer(b"".join([data or b"", bytes(8)]), np.uint8)
+    eights = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    out = _mix(sizes.astype(np.uint64) + _P)
+    left = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+    done = 0
+    while len(left):
+        rest = np.minimum(sizes[left] - done, 8).astype(np.uint64)
+        part = eights[starts[left] + done] & np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest)
+        out[left] = _mix(out[left] * _P + _mix(part + np.uint64(done)))
+        done += 8
+        left = left[sizes[left] > done]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -93,6 +134,21 @@ def gram_keys(hashes: np.ndarray, place: np.ndarray, ranges: int) -> Iterator[tu
         yield order, at, range_of(h[at], ranges).astype(np.uint64) << np.uint64(KEY_BITS) | (_mix(h[at]) & _LOW)
 
 
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys of KEY_BITS bits in order, the place of each key among them), sorted with their places as one number."""
+    spare = 64 - KEY_BITS
+    if not 0 < len(keys) < 1 << spare:
+        return np.unique(keys, return_inverse=True)
+    both = keys << np.uint64(spare) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    at = (both & np.uint64((1 << spare) - 1)).astype(np.int64)
+    both >>= np.uint64(spare)
+    new = np.concatenate([[True], both[1:] != both[:-1]])
+    back = np.empty(len(keys), np.int64)
+    back[at] = np.cumsum(new) - 1
+    return both[new], back
+
+
 # ---- the filter
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -150,14 +206,21 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _pack_words(words: list[bytes]) -> bytes:
+def _pack_words(words: pa.Array | list[bytes]) -> bytes:
     """Words hold no space, so one between them parts them again."""
-    raw = b" ".join(words)
+    words = _array(words)
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    raw = pc.binary_join(one, pa.scalar(b" ", pa.binary()))[0].as_buffer()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack_words(raw: bytes) -> list[bytes]:
-    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True).split(b" ")
+    return _unpack_array(raw).to_pylist()
+
+
+def _unpack_array(raw: bytes) -> pa.Array:
+    joined = pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    return pc.split_pattern(pa.array([joined], pa.binary()), " ").flatten()
 
 
 # ---- data frames
@@ -166,22 +229,24 @@ def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 1):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFrame:
     """One pass over the texts, written: a row for each block, with its rows' ids and flags, its distinct words in the
     order of their ranges, and its texts as numbers of these words."""
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def block(rows: pa.Table) -> list[bytes]:
-        texts = [tokens(t) for t in rows.column(2).to_pylist()]
-        words = [b"", *dict.fromkeys(chain.from_iterable(texts))]
+        words, ids, lengths = split(_whole(rows.column(2)))
+        if pc.index(words, pa.scalar(b"", pa.binary())).as_py() < 0:
+            words = pa.concat_arrays([words, pa.array([b""], pa.binary())])
         order = np.argsort(range_of(word_hashes(words), ranges), kind="stable")
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
-        number = dict(zip(words, rank.tolist()))
-        lengths = np.array([len(x) for x in texts], np.int64)
-        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
         held = rows.column(1).to_numpy().astype(np.int64)
-        return [_pack(held), _pack(lengths), _pack_words([words[i] for i in order]), _pack(ids)]
+        return [_pack(held), _pack(lengths), _pack_words(words.take(pa.array(order))), _pack(rank[ids])]
 
     names = ["block", "doc_ids", "held", "lengths", "words", "ids"]
 
@@ -196,8 +261,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFram
             rows = pa.Table.from_batches(waiting)
             waiting.clear()
             made += 1
-            ids = rows.column(0).combine_chunks()
-            ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+            ids = _whole(rows.column(0))
             offsets = pa.array([0, rows.num_rows], pa.int32())
             return pa.RecordBatch.from_arrays([pa.array([f"{own}-{made}"]), pa.ListArray.from_arrays(offsets, ids), *(pa.array([x], pa.binary()) for x in block(rows))], names)
 
@@ -225,9 +289,9 @@ class _Texts:
 
     def __init__(self, held: bytes, lengths: bytes, words: bytes, ids: bytes):
         self.held, self.lengths = _unpack(held).astype(bool), _unpack(lengths).astype(np.int64)
-        self.words = _unpack_words(words)
+        self.words = _unpack_array(words)
         self.hashes = word_hashes(self.words)
-        self.end = self.words.index(b"")
+        self.end = pc.index(self.words, pa.scalar(b"", pa.binary())).as_py()
         self.seq, self.place, self.owner = sequence(_unpack(ids).astype(np.int64), self.lengths, self.end)
 
     def grams(self, ranges: int):
@@ -249,7 +313,7 @@ def _requests(rows: DataFrame, ranges: int) -> DataFrame:
                 edges = np.searchsorted(range_of(x.hashes, ranges), np.arange(ranges + 1))
                 for r, (a, z) in enumerate(zip(edges, edges[1:])):
                     if z > a:
-                        out.append((1, r, tag, _pack_words(x.words[a:z]), _pack(counts[a:z])))
+                        out.append((1, r, tag, _pack_words(x.words.slice(a, z - a)), _pack(counts[a:z])))
                 for order, at, keys in x.grams(ranges):
                     keys, back = np.unique(keys, return_inverse=True)
                     counts = np.bincount(back, own[at], len(keys)).astype(np.int64)
@@ -274,21 +338,23 @@ def _answers(group: pa.Table) -> pa.Table:
     asked = group.column("keys").to_pylist()
     counts = [_unpack(x).astype(np.int64) for x in group.column("counts").to_pylist()]
     if order == 1:
-        lists = [_unpack_words(x) for x in asked]
-        total: Counter[bytes] = Counter()
-        for words, c in zip(lists, counts):
-            for w, k in zip(words, c.tolist()):
-                total[w] += k
-        found = [np.fromiter(map(total.__getitem__, words), np.int64, len(words)) for words in lists]
-        n, v = sum(total.values()), sum(k > 0 for k in total.values())
+        lists = [_unpack_array(x) for x in asked]
+        back = pa.concat_arrays(lists).dictionary_encode().indices.to_numpy()
+        sums = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+        found = sums[back]
+        n, v = int(sums.sum()), int((sums > 0).sum())
     else:
-        keys = [_unpack(x) for x in asked]
-        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+        lists = [_unpack(x) for x in asked]
+        distinct, back = distinct_keys(np.concatenate(lists))
         sums = np.bincount(back, np.concatenate(counts), len(distinct)).astype(np.int64)
-        known = sums > 0
-        bloom = Filter(distinct[known], sums[known])
-        found = np.split(bloom.levels(distinct)[back], np.cumsum([len(x) for x in keys])[:-1])
-        n, v = bloom.entries, bloom.bits
+        q, n, v = np.empty(len(distinct), np.int64), 0, 0
+        for a in range(0, len(distinct), SLICE):
+            keys, c = distinct[a : a + SLICE], sums[a : a + SLICE]
+            bloom = Filter(keys[c > 0], c[c > 0])
+            q[a : a + SLICE] = bloom.levels(keys)
+            n, v = n + bloom.entries, v + bloom.bits
+        found = q[back]
+    found = np.split(found, np.cumsum([len(x) for x in lists])[:-1])
     m = len(tags)
     columns = [[order] * (m + 1), [part] * (m + 1), [*tags, None], [*map(_pack, found), None], [None] * m + [n], [None] * m + [v]]
     kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64()]

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from maskwright.llm import bloom_lm as L
 
@@ -159,3 +160,23 @@ def test_order_of_words_counts(spark):
     for a, b in zip(ids[:40:2], ids[1:40:2]):
         assert math.isclose(out[a]["base_score"], out[b]["base_score"])
         assert out[a]["score"] > out[b]["score"] + 10
+
+
+def test_columns_of_words_are_those_of_each_text():
+    """Splitting, hashes and distinct keys of whole columns, against one text, word or key at a time."""
+    r = random.Random(4)
+    chars = [chr(i) for i in range(128)] + ["é", "\x85", "\xa0", "\u2003", "\U0001d4b3", "İ"] + [" "] * 40
+    texts = ["".join(r.choice(chars) for _ in range(r.randint(0, 60))) for _ in range(500)] + [None, "", " ", " a ", "x" * 200 + " " + "y" * 65]
+    words, ids, lengths = L.split(pa.array(texts))
+    found = [words[i].as_py() for i in ids.tolist()]
+    assert found == [w for t in texts for w in L.tokens(t)] and lengths.tolist() == [len(L.tokens(t)) for t in texts]
+    hashes = L.word_hashes(words)
+    assert len(set(hashes.tolist())) == len(words) == len(set(words.to_pylist()))
+    assert np.array_equal(L.word_hashes(words.slice(7, 50)), hashes[7:57]) and np.array_equal(L.word_hashes(words.to_pylist()[:9]), hashes[:9])
+    near = [bytes(64), bytes(63), bytes(65), bytes(8), bytes(9), bytes(16), b"", b"a", b"a\0", b"\0a"]
+    assert len(set(L.word_hashes(near).tolist())) == len(near)
+    assert L._unpack_words(L._pack_words(words.slice(3, 20))) == words.slice(3, 20).to_pylist()
+    for keys in ([], [5], [2**40 - 1, 0, 2**40 - 1], np.random.default_rng(1).integers(0, 500, 2000)):
+        keys = np.array(keys, np.uint64)
+        for a, b in zip(L.distinct_keys(keys), np.unique(keys, return_inverse=True)):
+            assert np.array_equal(a, b)
