@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, packed, runs, table, uncollected, words
+from .shared import cut, packed, runs, table, trimmed, uncollected, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -220,6 +220,7 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the threshold."""
     least = least_agreement(threshold)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, _M) for c in (b.column(2), b.column(3)))
@@ -238,6 +239,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     Rows arrive sorted by b, so its shingles are counted once a run.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_bag = None, Counter()
         for batch in batches:
@@ -339,6 +341,7 @@ def rest(open_: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFra
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket", "block", "slice").sortWithinPartitions(*place)
 
+    @trimmed
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, keep, found = None, [], set()
 
@@ -370,6 +373,7 @@ def rest(open_: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFra
     near = cut(near.distinct(), "bag-near")
     rows = near.join(here.select("digest", "comp").distinct(), "digest").join(texts, "digest")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, _Held()
         for now, kind, rows in _groups(batches, 3):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import runs, table
+from .shared import runs, table, trimmed
 
 WINDOW = 128
 HIDDEN = 8
@@ -246,6 +246,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     """doc_id, lang_pred, score for each row; texts are read where they are, without a shuffle."""
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = judged(net, b.column(1))
@@ -258,6 +259,7 @@ def accepted(docs: DataFrame, net: Network | None, least: float = LEAST_SCORE, t
     """The rows of ``docs`` as they are, without those that are ``und`` or whose score is below ``least``."""
     names, at = docs.columns, docs.columns.index(text_col)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, end in runs(b.column(at), 4_000_000):

@@ -72,15 +72,9 @@ class Vocabulary:
             self.parts.setdefault(made, (*pair, r))
         self.pattern = regex.compile(pattern)
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._right: dict[int, list[tuple[int, int]]] = {}
-        self._left: dict[int, list[tuple[int, int]]] = {}
-        self._fits: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
         self._sizes = list(map(len, self.bytes))
-        # an automaton over the tokens' bytes, by which each place in a word knows the tokens that end there
         self._begins = {b[:k] for b in self.ids for k in range(len(b) + 1)}
-        self._states, self._number, self._goto = [b""], {b"": 0}, {}
-        self._ends: list[tuple[tuple[int, int], ...]] = [()]
+        self.forget()
 
     def _edge(self, token: int, side: int, known: dict) -> list[tuple[int, int]]:
         """The parts at a token's edge from its byte up to itself, each with the rank at which it is merged away."""
@@ -202,15 +196,21 @@ class Vocabulary:
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """32-bit little-endian ids of each whole text."""
-        if not hasattr(self, "heads"):
-            self.heads, self.tails = Cache(MOST_UNITS // 4), Cache(MOST_UNITS)
         return encode_texts(texts, self.heads, self.tails, self.encode_units, self.encode_units)
 
     def forget(self) -> None:
-        """Gives up what is remembered of texts, so that workers don't hold it for other work."""
-        self._fits.clear()
-        if hasattr(self, "heads"):
-            del self.heads, self.tails
+        """Gives up all that was made for texts, so that workers don't hold it for other work.
+
+        What is kept of it would lie strewn among the rest, and hold the memory around it.
+        """
+        self._right: dict[int, list[tuple[int, int]]] = {}
+        self._left: dict[int, list[tuple[int, int]]] = {}
+        self._fits: dict[int, bool] = {}
+        self._whole: dict[int, bool] = {}
+        # an automaton over the tokens' bytes, by which each place in a word knows the tokens that end there
+        self._states, self._number, self._goto = [b""], {b"": 0}, {}
+        self._ends: list[tuple[tuple[int, int], ...]] = [()]
+        self.heads, self.tails = Cache(MOST_UNITS // 4), Cache(MOST_UNITS)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")

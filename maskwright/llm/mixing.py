@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, packed, runs, table
+from .shared import WORD, cut, packed, runs, table, trimmed
 
 BLOCK_WORDS = 128
 WEIGHTS = (1, 2, 3)
@@ -173,6 +173,7 @@ class Mix:
         both = marked.join(taken, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")))
         at, names = docs.columns.index(text_col), docs.columns
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in (b.slice(start, end - start) for b in batches for start, end in runs(b.column(at), 4_000_000)):
                 rows, texts = [], []

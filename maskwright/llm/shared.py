@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -71,9 +72,37 @@ def runs(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
         start, before = end, int(ends[end - 1])
 
 
+def trim() -> None:
+    """Gives the memory that this process has freed back to the system; allocators would keep it for as long as the process lives.
+
+    The collection is for the interpreter's lists of free objects, each of which holds the memory around it.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        give_back = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # not glibc
+        return
+    give_back(ctypes.c_size_t(0))
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function after which its worker, which stays for other work, holds no more than it needs."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def uncollected(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task's function with the cycle collector off: it would walk millions of small objects, which form no cycles, again and again."""
+    """A task's function, trimmed, with the cycle collector off: it would walk millions of small objects, which form no cycles, again and again."""
 
+    @trimmed
     @wraps(run)
     def quiet(batches: Iterator) -> Iterator:
         gc.disable()

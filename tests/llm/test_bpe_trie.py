@@ -1,5 +1,8 @@
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -46,3 +49,37 @@ def test_frame(spark):
     assert B.encode(df).count() == 5 and B.encode(df.limit(0)).count() == 0
     assert {r["decoded"] for r in B.decode(B.encode(df)).collect()} == {"", "a b", "hello  world"}
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_workers_give_back_what_texts_took():
+    """After a task neither the vocabulary nor the process holds what was made for its texts, and ids stay the same."""
+    code = """
+import random, re
+import pyarrow as pa
+from maskwright.llm import bpe_trie
+from maskwright.llm.shared import trim
+
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", f.read()))) // 1024
+
+v = bpe_trie.vocabulary(*bpe_trie.default_vocabulary())
+r = random.Random(5)
+texts = [" ".join("".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(500)) for _ in range(900)]
+v.encode_texts(texts[:1])
+v.forget()
+before = held()
+first = v.encode_texts(texts)
+peak = held()
+v.forget()
+assert len(v._states) == len(v._ends) == len(v._number) == 1 and not (v._goto or v._fits or v._whole or v._left or v._right or v.heads or v.tails)
+assert v.encode_texts(texts) == first
+del first
+v.forget()
+trim()
+assert held() - before < 0.3 * (peak - before), (before, peak, held())
+print(before, peak, held())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True)
+    assert not done.returncode, done.stderr
+    print(done.stdout)
