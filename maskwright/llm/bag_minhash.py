@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, few
 from .shared import cut, packed, runs, table, trimmed, uncollected, words
 
 SHINGLE = 5
@@ -50,6 +50,8 @@ BANDS, ROWS = 25, 5
 BLOCK, SLICE = 256, 1024
 #: Bytes of text hashed at a time.
 GROUP = 1_000_000
+#: Narrow rows that a row with a text counts for when files are dealt out.
+TEXT_ROWS = 10
 
 _M = BANDS * ROWS
 _RNG = np.random.default_rng(42)
@@ -324,14 +326,14 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
                 yield tuple(int(c[a]) for c in columns[:keys]), int(columns[keys][a]), b.slice(a, z - a)
 
 
-def rest(open_: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that link components: the third step over (bucket, digest) rows."""
+def rest(open_: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, count: int) -> DataFrame:
+    """Pairs that link components: the third step over (bucket, digest) rows, ``count`` of them at most."""
     here = open_.join(labels, open_["digest"] == labels["v"], "left").select("bucket", "digest", F.coalesce("label", "digest").alias("comp"))
     # most buckets hold one component; their rows end here
     counts = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_k")).groupBy("bucket").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_main"), F.sum("_k").alias("_all"), (F.sum("_k") - F.max("_k")).alias("_others")).where("_others > 0")
     parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     here = here.join(counts.select("bucket", "_main", parts("_others", BLOCK).alias("_blocks"), parts("_all", SLICE).alias("_slices")), "bucket")
-    here = cut(here.join(classes.select("digest", "n", "sketch"), "digest"), "bag-open")
+    here = cut(few(here.join(classes.select("digest", "n", "sketch"), "digest"), count), "bag-open")
     place = ("bucket", "block", "slice", "held")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     some = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "digest"), F.col(n)).cast("int")
@@ -370,7 +372,7 @@ def rest(open_: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFra
 
     columns = [*place, "digest", "comp", "n", "sketch"]
     near = dealt(held.select(*columns).union(past.select(*columns))).mapInArrow(meet, "bucket long, block int, slice int, held int, digest binary")
-    near = cut(near.distinct(), "bag-near")
+    near = cut(few(near.distinct(), count), "bag-near")
     rows = near.join(here.select("digest", "comp").distinct(), "digest").join(texts, "digest")
 
     @trimmed
@@ -397,23 +399,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """doc_id, digest, class_id, group_id for each row, and comp, which names the group even where ids repeat."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(signed(docs), "bag-signed")
-    classes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "bag-classes")
+    count = rows.count()
+    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = cut(few(classes, count), "bag-classes")
     placed = cut(classes.select("digest", F.explode("bands").alias("bucket")), "bag-buckets")
     leaders = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct(F.xxhash64("bucket", "digest").alias("h"), "digest")).alias("l")).where("_size > 1")
-    shared = cut(placed.join(leaders.select("bucket", "_size", F.col("l.digest").alias("leader")), "bucket"), "bag-shared")
+    shared = cut(placed.join(leaders.select("bucket", "_size", F.col("l.digest").alias("leader")), "bucket").transform(few, BANDS * count), "bag-shared")
     pairs = shared.where("digest <> leader").select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct()
-    pairs = cut(likely(pairs, classes, threshold), "bag-pairs")
+    pairs = cut(few(likely(pairs, classes, threshold).distinct(), BANDS * count), "bag-pairs")
 
     # the texts of all classes that share a bucket, one row each: copies are dropped before the shuffle
     wanted = shared.select("digest").distinct()
     all_texts = docs.where(F.col("text").isNotNull()).select(F.unhex(F.md5("text")).alias("digest"), "text")
-    texts = cut(all_texts.dropDuplicates(["digest"]).join(wanted, "digest", "left_semi"), "bag-texts")
-    edges = cut(verified(pairs, texts, threshold), "bag-edges")
+    texts = cut(few(all_texts.dropDuplicates(["digest"]).join(wanted, "digest", "left_semi"), TEXT_ROWS * count), "bag-texts")
+    edges = cut(few(verified(pairs, texts, threshold).distinct(), BANDS * count), "bag-edges")
     labels = components(edges)
 
     # the leaders were compared with all in their buckets
     open_ = shared.where("_size > 2 AND digest <> leader").select("bucket", "digest")
-    more = cut(verified(rest(open_, labels, classes, texts, threshold), texts, threshold), "bag-edges")
+    more = cut(few(verified(rest(open_, labels, classes, texts, threshold, BANDS * count), texts, threshold).distinct(), BANDS * count), "bag-edges")
     if more.limit(1).count():
         labels = components(edges.union(more))
 

@@ -11,6 +11,11 @@ from .shared import cut
 FILE_ROWS = 250_000
 
 
+def few(rows: DataFrame, count: int) -> DataFrame:
+    """The rows, about ``count`` at most, in as many parts as they need and one for each core at least."""
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // FILE_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) for each vertex of the edges (a, b): label is the least vertex of its component.
 

@@ -202,3 +202,29 @@ def test_rounds_of_components_write_few_files(spark, monkeypatch):
         for k, v in was.items():
             spark.conf.set(k, v)
     assert got == {i: i - i % 10 for i in range(100)} and len(written) > 3 and max(written) <= 4
+
+
+def test_tables_between_steps_are_few_files(spark, monkeypatch):
+    """With many shuffle partitions only the signed rows, which are written where they are read, may follow these."""
+    from maskwright.llm import bag_minhash
+
+    written, cut = [], bag_minhash.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        written.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(bag_minhash, "cut", counted)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = [(i, " ".join(f"w{i // 10}_{k}" for k in range(100)) + f" x{i}") for i in range(100)]
+        got = {r["doc_id"]: r["group_id"] for r in bag_minhash.groups(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 10 for i in range(100)}
+    few = [n for name, n in written if name not in ("bag-signed", "bag-buckets")]
+    assert len(few) >= 7 and max(few) <= 4, written
